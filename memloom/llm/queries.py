@@ -50,3 +50,47 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from memloom.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _public_tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), _public_tokenizer("byte_bpe_50k.json"), kind="byte", end_id=2, capacity=1024)
+
+
+@query("op10_token_files")
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memloom.llm.token_files import read_token_files, write_token_files
+
+    files = write_token_files(table(spark, sf_dir, "documents"), _public_tokenizer("word_bpe_49k.json"), kind="word", end_id=2)
+    return read_token_files(files)
+
+
+@query(
+    "op3_substring_dedup",
+    """
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+    s AS (
+      SELECT doc_id, i, md5(array_to_string(words[i:i+19], ' ')) AS g
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20)
+    ), r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS nth FROM s) WHERE nth > 1),
+    c AS (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT doc_id, i, unnest(range(0, 20)) AS j FROM r)),
+    k AS (SELECT doc_id, i, word FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w) ANTI JOIN c USING (doc_id, i)),
+    t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM k GROUP BY doc_id),
+    n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+    SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+    FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN t ON t.doc_id = w.doc_id
+    """,
+)
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memloom.llm.substring_dedup import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
