@@ -94,3 +94,19 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = remove_repeats(table(spark, sf_dir, "documents"), window=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_media_sniffing")
+def op2_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memloom.llm.media import media_digests, store_texts
+
+    return media_digests(store_texts(table(spark, sf_dir, "documents")))
+
+
+@query("op6_toxicity_ftrl")
+def op6_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memloom.llm.toxicity import held_out_rows, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    weights = train(docs, table(spark, sf_dir, "labels"), held_out=held_out_rows(0, 5))
+    return score(docs, weights).select("doc_id", held_out_rows(0, 5).alias("held_out"), "score", "predicted")

@@ -65,6 +65,14 @@ class Words(NamedTuple):
     hashes: np.ndarray
     data: np.ndarray
     edges: np.ndarray  # document k has the bytes edges[k]:edges[k + 1] of data
+    sums: np.ndarray  # running hash sums of the bytes, for prefixes()
+
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places of words of more than n bytes, and the hashes of their first n bytes."""
+        at = np.flatnonzero(self.ends - self.starts > n)
+        start = self.starts[at]
+        with np.errstate(over="ignore"):
+            return at, mix((self.sums[start + n] - self.sums[start]) * _powers.get(len(self.data) + 1)[1][start] + U64(n))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,14 +114,14 @@ def _split(rows: slice, block: np.ndarray, edges: np.ndarray, inside: np.ndarray
         stops[at - 1] |= inside[at - 1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     first = np.searchsorted(starts, edges)
-    hashes = np.zeros(0, U64)
+    hashes = sums = np.zeros(0, U64)
     if hashed:
         up, down = _powers.get(n + 1)
         with np.errstate(over="ignore"):
             sums = np.zeros(n + 1, U64)
             np.cumsum(_VALUES[block] * up[:n], out=sums[1:])
             hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
-    return Words(rows, first, starts, ends, hashes, block, edges)
+    return Words(rows, first, starts, ends, hashes, block, edges, sums)
 
 
 _STEPS = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, 64, dtype=U64) * U64(2) + U64(1)
