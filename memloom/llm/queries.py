@@ -110,3 +110,58 @@ def op6_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights = train(docs, table(spark, sf_dir, "labels"), held_out=held_out_rows(0, 5))
     return score(docs, weights).select("doc_id", held_out_rows(0, 5).alias("held_out"), "score", "predicted")
+
+
+@query(
+    "op5_decontamination",
+    """
+    WITH w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
+    ), b AS (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark
+    ), g AS (
+      SELECT DISTINCT item_id, least(len(words), 13) AS n, array_to_string(words[i:i+12], ' ') AS g
+      FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 11, 2))) AS i FROM b WHERE len(words) > 0)
+    ), ns AS (SELECT DISTINCT n FROM g),
+    s AS (
+      SELECT doc_id, n, i, array_to_string(words[i:i+n-1], ' ') AS g
+      FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM w, ns WHERE len(words) >= n)
+    ), h AS (SELECT s.doc_id, s.i, s.n, g.item_id FROM s JOIN g ON g.n = s.n AND g.g = s.g),
+    c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM h)) GROUP BY doc_id),
+    t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+    SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.ids, '')) AS items_sha256,
+           coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(words) AS contaminated
+    FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN t ON t.doc_id = w.doc_id
+    """,
+)
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memloom.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, share=20)
+
+
+@query(
+    "op1_perspective_rotation",
+    """
+    WITH t AS (
+      SELECT conv_id, coalesce(CAST(floor(turn / 256.0) AS BIGINT), -1) AS block, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
+    ), p AS (SELECT DISTINCT conv_id, speaker AS me FROM t WHERE speaker <> 'system'),
+    r AS (
+      SELECT t.conv_id, p.me, block, turn, speaker, text, speaker = me AS own,
+             '<|im_start|>' || CASE WHEN speaker = me THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user name=' || speaker END || chr(10) AS head,
+             text || '<|im_end|>' AS body
+      FROM t JOIN p ON p.conv_id IS NOT DISTINCT FROM t.conv_id
+    ), o AS (
+      SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, me, block ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING) AS stop,
+             row_number() OVER (PARTITION BY conv_id, me, block ORDER BY turn NULLS FIRST, speaker, text) AS nth FROM r
+    )
+    SELECT conv_id, me AS perspective, block, count(*) AS n_turns, count(*) FILTER (own) AS n_own, string_agg(head || body || chr(10), '' ORDER BY nth) AS text,
+           coalesce(string_agg(CAST(stop - 1 - length(body) AS BIGINT) || '-' || CAST(stop - 1 AS BIGINT), ',' ORDER BY nth) FILTER (own), '') AS mask,
+           CAST(coalesce(sum(length(body)) FILTER (own), 0) AS BIGINT) AS own_chars
+    FROM o GROUP BY conv_id, me, block
+    """,
+)
+def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memloom.llm.chat import rotate_perspectives
+
+    return rotate_perspectives(table(spark, sf_dir, "conversations"))
