@@ -165,3 +165,14 @@ def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from memloom.llm.chat import rotate_perspectives
 
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+@query("op7_quality_cotraining")
+def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memloom.llm.quality import co_train, document_views, score_quality
+    from memloom.llm.toxicity import held_out_rows
+
+    views = document_views(table(spark, sf_dir, "documents"))
+    model = co_train(views, table(spark, sf_dir, "labels"), held_out=held_out_rows(0, 5))
+    found = score_quality(views, model)
+    return found.select("doc_id", held_out_rows(0, 5).alias("held_out"), "text_score", "meta_score", "score", "predicted", (F.col("predicted") == 1).alias("kept"))
