@@ -176,3 +176,11 @@ def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = co_train(views, table(spark, sf_dir, "labels"), held_out=held_out_rows(0, 5))
     found = score_quality(views, model)
     return found.select("doc_id", held_out_rows(0, 5).alias("held_out"), "text_score", "meta_score", "score", "predicted", (F.col("predicted") == 1).alias("kept"))
+
+
+@query("op4_pitman_yor")
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memloom.llm.pitman_yor import score_corpus
+    from memloom.llm.toxicity import held_out_rows
+
+    return score_corpus(table(spark, sf_dir, "documents"), held_out=held_out_rows(2, 7))
