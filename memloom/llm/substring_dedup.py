@@ -226,32 +226,64 @@ def _match(window: int):
     return run
 
 
+def _kept(spans: list[int] | None, text: str | None, window: int) -> tuple[int, int, bytes]:
+    """Number of words, of those that are covered, and the others joined."""
+    words = (text or "").encode().split()
+    total, removed = len(words), 0
+    if spans:
+        change = np.zeros(total + 1, np.int64)
+        at = np.array(spans, np.int64)
+        start = at >> 32
+        fits = start < total  # rows that repeat a doc_id with another text may be shorter
+        np.add.at(change, start[fits], 1)
+        np.add.at(change, np.minimum(start + (at & 0xFFFFFFFF) + window - 1, total)[fits], -1)
+        gone = np.cumsum(change[:-1]) > 0
+        removed = int(gone.sum())
+        words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+    return total, removed, b" ".join(words)
+
+
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, removed, kept = [], [], []
-            for spans, text in zip(batch.column("spans").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = (text or "").encode().split()
-                total.append(len(words))
-                if spans:
-                    change = np.zeros(len(words) + 1, np.int64)
-                    at = np.array(spans, np.int64)
-                    start = at >> 32
-                    fits = start < len(words)  # rows that repeat a doc_id with another text may be shorter
-                    np.add.at(change, start[fits], 1)
-                    np.add.at(change, np.minimum(start + (at & 0xFFFFFFFF) + window - 1, len(words))[fits], -1)
-                    gone = np.cumsum(change[:-1]) > 0
-                    removed.append(int(gone.sum()))
-                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                else:
-                    removed.append(0)
-                kept.append(b" ".join(words))
+            made = [_kept(spans, text, window) for spans, text in zip(batch.column("spans").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            total, removed, kept = zip(*made, strict=True) if made else ((), (), ())
             kept = pa.array(kept, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), kept], ["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
+def _replace(window: int):
+    """Texts that lost words become the words kept; the spans column goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for i, spans in enumerate(batch.column("spans").to_pylist()):
+                if spans:
+                    texts[i] = _kept(spans, texts[i], window)[2].decode()
+            names = [n for n in batch.schema.names if n != "spans"]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
+
+    return run
+
+
+def _with_spans(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    """docs and a column spans: the covered stretches of each row's document, as start << 32 | number of windows."""
+    known = docs.where("doc_id is not null")
+    texts = known.select("doc_id", "text")
+    dealt = texts.mapInArrow(_stretches(window, anchor), _STRETCH).repartition("part").sortWithinPartitions("part", "doc_id", "at")
+    settled = dealt.mapInArrow(_settle, "part long, doc_id long, at long")
+    needs = settled.where("part is not null").groupBy("doc_id").agg(F.collect_list(F.struct("part", "at")).alias("needs"))  # within one document
+    stretches = known.hint("merge").join(needs, "doc_id").select("doc_id", "text", "needs").mapInArrow(_words_needed(window), "part long, doc_id long, at long, words binary")
+    matched = stretches.repartition("part").sortWithinPartitions("part", "doc_id", "at").mapInArrow(_match(window), "doc_id long, at long")
+    covered = settled.where("part is null").select("doc_id", "at").unionAll(matched)
+    spans = covered.groupBy("doc_id").agg(F.collect_list("at").alias("spans"))
+    nobody = docs.where("doc_id is null").withColumn("spans", F.array().cast("array<long>"))
+    return known.hint("merge").join(spans, "doc_id", "left").unionByName(nobody)
+
+
 def remove_repeats(docs: DataFrame, *, window: int = 20, anchor: int = 8) -> DataFrame:
     """docs (doc_id long, text, ...) -> (doc_id, n_words, n_removed, kept string), a row for each row of docs.
 
@@ -263,14 +295,11 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, anchor: int = 8) -> Dat
     whole and count as no one's source. Other columns are ignored, whatever their names.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = texts.where("doc_id is not null")
-    dealt = known.mapInArrow(_stretches(window, anchor), _STRETCH).repartition("part").sortWithinPartitions("part", "doc_id", "at")
-    settled = dealt.mapInArrow(_settle, "part long, doc_id long, at long")
-    needs = settled.where("part is not null").groupBy("doc_id").agg(F.collect_list(F.struct("part", "at")).alias("needs"))  # within one document
-    stretches = known.hint("merge").join(needs, "doc_id").mapInArrow(_words_needed(window), "part long, doc_id long, at long, words binary")
-    matched = stretches.repartition("part").sortWithinPartitions("part", "doc_id", "at").mapInArrow(_match(window), "doc_id long, at long")
-    covered = settled.where("part is null").select("doc_id", "at").unionAll(matched)
-    spans = covered.groupBy("doc_id").agg(F.collect_list("at").alias("spans"))
-    nobody = texts.where("doc_id is null").withColumn("spans", F.array().cast("array<long>"))
-    out = known.hint("merge").join(spans, "doc_id", "left").unionByName(nobody)
+    out = _with_spans(texts, window, anchor)
     return out.select("doc_id", "text", "spans").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
+
+
+def replace_repeats(docs: DataFrame, *, window: int = 20, anchor: int = 8) -> DataFrame:
+    """docs with texts cut as by remove_repeats(); texts that lose nothing, and all other columns (none named spans), stay as they are."""
+    out = _with_spans(docs, window, anchor).select(*docs.columns, "spans")
+    return out.mapInArrow(_replace(window), docs.schema)

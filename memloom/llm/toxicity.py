@@ -110,25 +110,39 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out: F.Column, max_rows: i
     return fit_ftrl([np.frombuffer(buckets[i], "<u4") for i in order], rows["toxic"].to_numpy()[order] if len(rows) else np.zeros(0))
 
 
+def _scores(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    table = np.zeros(1 << BITS, np.float32)
+    table[weights.buckets] = weights.values
+    for batch in batches:
+        total = np.full(batch.num_rows, weights.intercept)
+        for rows, doc, bucket in _features(batch.column("text")):
+            hit = np.flatnonzero(table[bucket])  # most buckets weigh nothing
+            both = np.unique(doc[hit].astype(np.int64) << 32 | bucket[hit])  # presence, not counts
+            total[rows] += np.bincount(both >> 32, table[both & 0xFFFFFFFF], rows.stop - rows.start)
+        yield batch, 1 / (1 + np.exp(-np.clip(total, -35, 35))) if weights.trained else np.zeros(batch.num_rows)
+
+
 def score(docs: DataFrame, weights: Weights) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, score double, predicted int) for each row; null and empty texts get the intercept's score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << BITS, np.float32)
-        table[weights.buckets] = weights.values
-        for batch in batches:
-            total = np.full(batch.num_rows, weights.intercept)
-            for rows, doc, bucket in _features(batch.column("text")):
-                hit = np.flatnonzero(table[bucket])  # most buckets weigh nothing
-                both = np.unique(doc[hit].astype(np.int64) << 32 | bucket[hit])  # presence, not counts
-                total[rows] += np.bincount(both >> 32, table[both & 0xFFFFFFFF], rows.stop - rows.start)
-            found = 1 / (1 + np.exp(-np.clip(total, -35, 35))) if weights.trained else np.zeros(batch.num_rows)
+        for batch, found in _scores(batches, weights):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, weights: Weights) -> DataFrame:
+    """The rows of docs, all columns, whose score is under 0.5."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _scores(batches, weights):
+            yield batch.filter(pa.array(found < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out_rows(fold: int, of: int) -> F.Column:
     """crc32 of the doc_id as text, modulo of, is fold."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of == fold, F.lit(False))
