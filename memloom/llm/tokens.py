@@ -3,20 +3,37 @@
 The cache rests on one property of the two supported kinds of tokenizer: a text may be cut
 at certain white space and the ids of the parts, joined, are those of the whole. Kind
 ``byte`` (byte-level BPE, GPT-2 pattern): before a space, and around a newline, that
-touches no other white space. Kind ``word`` (white space is dropped): at any space or
-newline. Texts that can't be cut so are encoded in one piece.
+touches no other white space. Kind ``word`` (lower case, white space is dropped): at any
+space or newline. Texts that can't be cut so are encoded in one piece.
+
+A chunk that is plain letters and then plain punctuation is two words to the tokenizer's
+own pattern, so it is handed to the library's BPE model as such, without the cost of its
+normaliser and pattern; any other chunk goes through the whole tokenizer.
 """
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 
 import numpy as np
-from tokenizers import Tokenizer
 
-#: Chunks whose ids a worker keeps, about 250 bytes each; beyond it only those of the last batch stay.
-CACHED = 300_000
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks of an executor share its cores already
+
+from tokenizers import Tokenizer  # noqa: E402
+
+#: Chunks of each of two generations whose ids a worker keeps, about 220 bytes each.
+CACHED = 150_000
 _TOUCHING = re.compile(r"\s[ \n]|[ \n]\s")
+#: Letters that both lower-case alike and are stable under normalisation (U+0130 is not), then punctuation without apostrophes.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([.,;:!?%#$*&|()\"-]*)")
+#: White space other than space and newline.
+_OTHER_SPACE = [chr(x) for x in (0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: Byte-level BPE writes bytes as characters: printable Latin-1 as itself, the others from U+0100 on.
+_SAME = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: b if b in _SAME else 0x100 + sum(x not in _SAME for x in range(b)) for b in range(256)}
+_SPACE = chr(_BYTE_CHARS[0x20])
 _loaded: dict[tuple[str, str], ChunkedTokenizer] = {}
 
 
@@ -27,66 +44,72 @@ def tokenizer(path: str, kind: str) -> ChunkedTokenizer:
     return _loaded[path, kind]
 
 
+class _Cache(dict):
+    """Values by key, made when first asked for. A full generation becomes the old one, from which keys in use are taken over."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def trim(self) -> None:
+        if len(self) > CACHED:
+            self.old = dict(self)
+            self.clear()
+
+
 class ChunkedTokenizer:
     def __init__(self, path: str, kind: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = kind
-        self.after: dict[str, bytes] = {}  # chunks that follow a space
-        self.first: dict[str, bytes] = {}  # chunks that begin a line
-        self.newline = self._whole(["\n"])[0] if kind == "byte" else b""
-        self.mark = self._whole(["\n" if kind == "byte" else "0"])[0]
+        self.lead = " " if kind == "byte" else ""
+        self.tails = _Cache(self._whole)
+        self.after = _Cache(lambda x: self._chunk(x, self.lead))  # chunks that follow a space
+        self.first = _Cache(lambda x: self._chunk(x, ""))  # chunks that begin a line
+        self.cores = _Cache(self._core)
+        self.newline = self._whole("\n") if kind == "byte" else b""
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        texts = [x or "" for x in texts]
-        return self._words(texts) if self.kind == "word" else self._bytes(texts)
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, texts: list[str]) -> list[bytes]:
-        parts = [x.replace("\n", " ").split(" ") for x in texts]
-        self.after = self._filled(self.after, set().union(*parts), " ", " 0 ", "0")
-        get = self.after.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        if odd := [i for i, x in enumerate(texts) if _TOUCHING.search(x)]:
-            for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-                out[i] = ids
-        lines = [[line.split(" ") for line in x.split("\n")] if out[i] is None else [] for i, x in enumerate(texts)]
-        self.first = self._filled(self.first, {p[0] for x in lines for p in x}, "", "\n", "\n")
-        after: set[str] = set()
-        for x in lines:
-            for p in x:
-                after.update(p[1:])
-        self.after = self._filled(self.after, after, " ", "\n", "\n")
-        first, get = self.first, self.after.__getitem__
-        for i, x in enumerate(lines):
-            if out[i] is None:
-                out[i] = self.newline.join([first[p[0]] + b"".join(map(get, p[1:])) for p in x])
-        return out
-
-    def _filled(self, cache: dict[str, bytes], needed: set[str], lead: str, between: str, marked: str) -> dict[str, bytes]:
-        """The cache with all that is needed; unknown chunks are encoded many at a time, parted by a token that none of them has."""
-        new = [x for x in needed if x not in cache]
-        if len(cache) + len(new) > CACHED:
-            cache = {x: cache[x] for x in needed if x in cache}
-        alone = [x for x in new if not x or marked in x]
-        new = [x for x in new if x and marked not in x]
-        cache.update(zip(alone, self._whole([lead + x for x in alone]), strict=True))
-        if self.kind == "word":
-            cache[""] = b""
-        mark = np.frombuffer(self.mark, "<u4")[0]
-        groups = [new[i : i + 500] for i in range(0, len(new), 500)]
-        for group, ids in zip(groups, self._whole([between.join([lead + x if self.kind == "byte" else x for x in g]) for g in groups]), strict=True):
-            ids = np.frombuffer(ids, "<u4")
-            at = np.flatnonzero(ids == mark)
-            if len(at) != len(group) - 1:  # a chunk normalises to the mark: take them one by one
-                cache.update(zip(group, self._whole([lead + x for x in group]), strict=True))
-                continue
-            edges, data = np.concatenate([[-1], at, [len(ids)]]).tolist(), ids.tobytes()
-            cache.update((x, data[4 * edges[j] + 4 : 4 * edges[j + 1]]) for j, x in enumerate(group))
-        return cache
+        for cache in (self.after, self.first, self.cores, self.tails):
+            cache.trim()
+        one = self._words if self.kind == "word" else self._lines
+        return [one(x or "") for x in texts]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _core(self, word: str) -> bytes:
+        """Ids of letters, after a space if the word begins with one."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        elif word[0] == " ":
+            word = _SPACE + word[1:]
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _chunk(self, chunk: str, lead: str) -> bytes:
+        if plain := _PLAIN.fullmatch(chunk):
+            core, tail = plain.groups()
+            ids = self.cores[lead + (core.lower() if self.kind == "word" else core)]
+            return ids + self.tails[tail] if tail else ids
+        return self._whole(lead + chunk) if chunk or self.kind == "byte" else b""
+
+    def _words(self, text: str) -> bytes:
+        return b"".join(map(self.after.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def _lines(self, text: str) -> bytes:
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in _OTHER_SPACE) and _TOUCHING.search(text):
+            return self._whole(text)
+        out, get = [], self.after.__getitem__
+        for line in text.split("\n"):
+            head, space, rest = line.partition(" ")
+            out.append(self.first[head] + b"".join(map(get, rest.split(" "))) if space else self.first[head])
+        return self.newline.join(out)
