@@ -37,7 +37,7 @@ def ambiguous_flags(people: DataFrame) -> DataFrame:
 def context_scores(name: Column, context: Column) -> tuple[Column, Column]:
     """How many patterns around the name speak for a person, and for a concept."""
     lower = F.lower(context)
-    total = lambda ps: sum((lower.rlike(with_name(p, F.lower(name))).cast("int") for p in ps), F.lit(0))
+    total = lambda ps: sum((F.rlike(lower, with_name(p, F.lower(name))).cast("int") for p in ps), F.lit(0))
     return total(PERSON_CONTEXTS), total(CONCEPT_CONTEXTS)
 
 
@@ -139,7 +139,7 @@ def people_in(queries: DataFrame, people: DataFrame) -> DataFrame:
     words = queries.select("query_id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), F.lit(1)))).alias("token"))
     first = F.regexp_extract(F.lower("word"), "[a-z0-9_]+", 0)  # a word of the name that the text must have: an equi-join
     met = words.join(names.withColumn("token", first), "token")
-    whole = F.col("text").rlike(F.concat(F.lit("(?i)" + LEFT), F.regexp_replace("word", r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit(RIGHT)))
+    whole = F.rlike("text", F.concat(F.lit("(?i)" + LEFT), F.regexp_replace("word", r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit(RIGHT)))
     judged = disambiguate(met.where(whole).withColumn("context", F.col("text")))
     return judged.where(F.col("flagged").isNull() | (F.col("meaning") == "person")).select("query_id", "name").distinct()
 
@@ -147,7 +147,7 @@ def people_in(queries: DataFrame, people: DataFrame) -> DataFrame:
 def unknown_words(queries: DataFrame, people: DataFrame, projects: DataFrame, wiki: DataFrame) -> DataFrame:
     """queries (query_id, text) -> (query_id, word): capitalised words that are not common and that nothing here knows."""
     words = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"{LEFT}([A-Z][a-z]{{2,15}}){RIGHT}"), F.lit(1)))).alias("word"))
-    known = people.select(F.lower(F.explode(F.concat(F.array("name"), F.col("aliases")))).alias("key")).unionAll(projects.select(F.lower("name"))).unionAll(wiki.where("confirmed").select(F.lower("word"))).distinct()
+    known = people.select(F.explode(F.concat(F.array("name"), F.col("aliases"))).alias("key")).select(F.lower("key").alias("key")).unionAll(projects.select(F.lower("name"))).unionAll(wiki.where("confirmed").select(F.lower("word"))).distinct()
     return words.where(~F.lower("word").isin(COMMON_WORDS)).withColumn("key", F.lower("word")).join(known, "key", "left_anti").select("query_id", "word")
 
 
