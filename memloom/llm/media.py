@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memloom.llm.shared import arrow_map
+
 #: Rows that are held as Python objects at a time.
 BATCH = 256
 ROW = 576
@@ -231,7 +233,7 @@ def sniff_column(df: DataFrame, key: str, blob: str, declared: str) -> DataFrame
                 yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("declared"), pa.array(types, pa.string()), pa.array(carved, struct_type)], ["key", "declared", "corrected", "embedded"])
 
     inner = df.select(F.col(key).alias("key"), F.col(declared).cast("string").alias("declared"), F.col(blob).cast("binary").alias("b"))
-    return inner.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, declared string, {_SNIFFED}")
+    return inner.transform(arrow_map, run, f"key {df.schema[key].dataType.simpleString()}, declared string, {_SNIFFED}")
 
 
 def to_png(samples: bytes) -> bytes:
@@ -312,7 +314,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(map(len, raw), pa.int64()), pa.array(declared, pa.string()), pa.array(records, pa.binary())], ["doc_id", "n_bytes", "declared", "record"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
-    return texts.mapInArrow(run, "doc_id long, n_bytes long, declared string, record binary")
+    return texts.transform(arrow_map, run, "doc_id long, n_bytes long, declared string, record binary")
 
 
 def media_digests(stored: DataFrame) -> DataFrame:
@@ -335,4 +337,4 @@ def media_digests(stored: DataFrame) -> DataFrame:
                 made = zip(*map(one, *(rows.column(c).to_pylist() for c in ("doc_id", "n_bytes", "declared", "record"))), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(made, types, strict=True)], [n for n, _ in types])
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.transform(arrow_map, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm.components import connected_components
-from memloom.llm.shared import materialize
+from memloom.llm.shared import arrow_map, materialize
 from memloom.llm.words import U64, mix, shingle_set, split_words
 
 #: Buckets of so many members at most are compared in full.
@@ -136,7 +136,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, part: int = 75, whole: int =
     row for each map task; hot buckets are split by the join's adaptive skew handling.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialize(texts.mapInArrow(_features(k, bands, rows), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "features")
+    found = materialize(texts.transform(arrow_map, _features(k, bands, rows), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"), "features")
     filled = found.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     reps = filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
@@ -177,4 +177,4 @@ def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, part:
     texts = texts.where("doc_id is not null")
     second = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     both = second.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    return both.select("a", "text_a", "b", "text_b").mapInArrow(_verified(k, part, whole), "a long, b long").distinct()
+    return both.select("a", "text_a", "b", "text_b").transform(arrow_map, _verified(k, part, whole), "a long, b long").distinct()

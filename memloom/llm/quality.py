@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.shared import materialize
+from memloom.llm.shared import arrow_map, materialize
 from memloom.llm.words import U64, mix, split_words
 
 LANGS, SOURCES = 16, 32
@@ -122,7 +122,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
 def document_views(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang, source, n_chars, ...) -> the numbers of both views, as a table in the shared folder."""
     own = docs.select(*(F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "double"))))
-    return materialize(own.mapInArrow(_views, _VIEWS), "views")
+    return materialize(own.transform(arrow_map, _views, _VIEWS), "views")
 
 
 def _surest(views: DataFrame, model: tuple[Linear, Linear], view: int, label: int, grow: int) -> pa.Table:
@@ -136,7 +136,7 @@ def _surest(views: DataFrame, model: tuple[Linear, Linear], view: int, label: in
             top = top[sure[top] > np.log(9)]  # surer than 0.9
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(top)) for c in ("doc_id", "content", "meta")), pa.array(sure[top])], ["doc_id", "content", "meta", "sure"])
 
-    return views.mapInArrow(run, f"{_VIEWS}, sure double").orderBy(F.desc("sure"), "doc_id").limit(grow).toArrow()
+    return views.transform(arrow_map, run, f"{_VIEWS}, sure double").orderBy(F.desc("sure"), "doc_id").limit(grow).toArrow()
 
 
 def co_train(views: DataFrame, labels: DataFrame, *, held_out: F.Column, max_rows: int = 8000, rounds: int = 3, grow: int = 500) -> Model:
@@ -187,4 +187,4 @@ def score_quality(views: DataFrame, model: Model) -> DataFrame:
             text, meta, both = model.probabilities(_matrix(batch.column("content"), CONTENT), _matrix(batch.column("meta"), META))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text), pa.array(meta), pa.array(both), pa.array((both >= 0.5).astype(np.int32))], ["doc_id", "text_score", "meta_score", "score", "predicted"])
 
-    return views.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, predicted int")
+    return views.transform(arrow_map, run, "doc_id long, text_score double, meta_score double, score double, predicted int")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memloom.llm.shared import arrow_map, release_memory
 from memloom.llm.words import U64, mix, split_words
 
 BITS = 20
@@ -103,11 +104,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: F.Column, max_ro
     return texts.join(F.broadcast(sample), "doc_id")  # max_rows small rows
 
 
-def train(docs: DataFrame, labels: DataFrame, *, held_out: F.Column, max_rows: int = 8000) -> Weights:
-    rows = training_rows(docs, labels, held_out, max_rows).select("doc_id", "toxic", "text").mapInArrow(_buckets, "doc_id long, toxic int, buckets binary").toArrow()
+def train(docs: DataFrame, labels: DataFrame, *, held_out: F.Column, max_rows: int = 6000) -> Weights:
+    rows = training_rows(docs, labels, held_out, max_rows).select("doc_id", "toxic", "text").transform(arrow_map, _buckets, "doc_id long, toxic int, buckets binary").toArrow()
     order = np.lexsort((rows["doc_id"].to_numpy(), mix(rows["doc_id"].to_numpy().astype(np.int64).view(U64)))) if len(rows) else []
     buckets = rows["buckets"].to_pylist()
-    return fit_ftrl([np.frombuffer(buckets[i], "<u4") for i in order], rows["toxic"].to_numpy()[order] if len(rows) else np.zeros(0))
+    found = fit_ftrl([np.frombuffer(buckets[i], "<u4") for i in order], rows["toxic"].to_numpy()[order] if len(rows) else np.zeros(0))
+    del rows, buckets
+    release_memory()
+    return found
 
 
 def _scores(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -130,7 +134,7 @@ def score(docs: DataFrame, weights: Weights) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, score double, predicted int")
+    return texts.transform(arrow_map, run, "doc_id long, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, weights: Weights) -> DataFrame:
@@ -140,7 +144,7 @@ def drop_toxic(docs: DataFrame, weights: Weights) -> DataFrame:
         for batch, found in _scores(batches, weights):
             yield batch.filter(pa.array(found < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow_map, run, docs.schema)
 
 
 def held_out_rows(fold: int, of: int) -> F.Column:
