@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.shared import materialize
+from memloom.llm.shared import arrow_map, materialize
 from memloom.llm.tokens import tokenizer
 
 #: Rounds of multiplicative weights, and the most by which one changes a length's coverage.
 ROUNDS, STEP = 300, 0.1
-BATCH = 512
+BATCH = 1000
 
 Configuration = tuple[tuple[int, int], ...]  # (length, copies), lengths descending
 
@@ -180,7 +180,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, kind: str = "byte", end_id: in
     their own. An empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = texts.mapInArrow(_pieces(tokenizer_path, kind, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long")
+    made = texts.transform(arrow_map, _pieces(tokenizer_path, kind, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long")
     made = materialize(made, "pieces")
     counts = made.groupBy("length", "task").agg(F.count("*").alias("n"))
     histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most

@@ -30,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.shared import materialize, new_folder
+from memloom.llm.shared import arrow_map, materialize, new_folder
 from memloom.llm.tokens import tokenizer
 
 _INDEX, _TABLE, _SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Documents that are tokenised, or read back, at a time.
-BATCH = 512
+BATCH = 1000
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -151,7 +151,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, kind: str, end_id
             fs.move(part, at)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "path": [name], "n_docs": [len(writer.ids)], "n_tokens": [n_tokens]})
 
-    files = materialize(ordered.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long"), "token-files")
+    files = materialize(ordered.transform(arrow_map, write, "shard int, path string, n_docs long, n_tokens long"), "token-files")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -174,4 +174,4 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 file.close()
 
     n = max(1, files.sparkSession.sparkContext.defaultParallelism, files.count())
-    return files.select("path", "start").repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("path", "start").repartition(n).transform(arrow_map, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
