@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memloom.llm.shared import arrow_map
 from memloom.llm.words import U64, mix, shingles, split_words
 
 _PLACE = U64((1 << 28) - 1)
@@ -139,10 +140,12 @@ def _stretches(window: int, anchor: int):
             part, content, doc_id, at = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((at, doc_id))
             part, content, doc_id, at = part[order], content[order], doc_id[order], at[order]
+            _, lead, of = np.unique(content, return_index=True, return_inverse=True)
             first = np.zeros(len(part), bool)
-            first[np.unique(content, return_index=True)[1]] = True
+            first[lead] = True
             yield _rows(part[first], content[first], doc_id[first], at[first], np.zeros(int(first.sum()), bool))
-            doc_id, at = _merged(doc_id[~first], at[~first])
+            later = (doc_id != doc_id[lead][of]) | (at != at[lead][of])  # a row that repeats a doc_id is no later place
+            doc_id, at = _merged(doc_id[later], at[later])
             yield _rows(mix(doc_id.view(U64)), np.zeros(len(at), U64), doc_id, at, np.ones(len(at), bool))
 
     return run
@@ -170,11 +173,12 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(rows[0]):
             continue
         order = np.lexsort((np.arange(len(rows[0])), rows[1], rows[0]))  # stable: the first of each content leads
-        head = np.zeros(len(order), bool)
-        head[np.concatenate([[True], (rows[0][order][1:] != rows[0][order][:-1]) | (rows[1][order][1:] != rows[1][order][:-1])])] = True
-        first = np.zeros(len(order), bool)
-        first[order[head]] = True
-        doc_id, at = _merged(rows[2][~first], rows[3][~first])
+        head = np.concatenate([[True], (rows[0][order][1:] != rows[0][order][:-1]) | (rows[1][order][1:] != rows[1][order][:-1])])
+        lead = np.empty(len(order), np.int64)  # for each row, the first of its content
+        lead[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+        first = lead == np.arange(len(order))
+        later = (rows[2] != rows[2][lead]) | (rows[3] != rows[3][lead])
+        doc_id, at = _merged(rows[2][later], rows[3][later])
         yield out(np.zeros(len(at), np.int64), doc_id, at, True)
         rows = [x[first] for x in rows]
         last = int(np.searchsorted(rows[0], rows[0][-1]))
@@ -209,12 +213,15 @@ def _match(window: int):
     """Stretches sorted by (part, doc_id, at) -> the spans of windows that started earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard = None, SuffixAutomaton()
+        part, place, shard = None, None, SuffixAutomaton()
         for batch in batches:
             docs, ats = [], []
             for p, doc_id, at, words in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "at", "words")), strict=True):
                 if p != part:
-                    part, shard = p, SuffixAutomaton()
+                    part, place, shard = p, None, SuffixAutomaton()
+                if (doc_id, at) == place:  # of a row that repeats a doc_id
+                    continue
+                place = doc_id, at
                 start = at >> 32
                 for j, matched in enumerate(shard.grow(words.split(b" "))):
                     if matched >= window:
@@ -273,11 +280,11 @@ def _with_spans(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """docs and a column spans: the covered stretches of each row's document, as start << 32 | number of windows."""
     known = docs.where("doc_id is not null")
     texts = known.select("doc_id", "text")
-    dealt = texts.mapInArrow(_stretches(window, anchor), _STRETCH).repartition("part").sortWithinPartitions("part", "doc_id", "at")
-    settled = dealt.mapInArrow(_settle, "part long, doc_id long, at long")
+    dealt = texts.transform(arrow_map, _stretches(window, anchor), _STRETCH).repartition("part").sortWithinPartitions("part", "doc_id", "at")
+    settled = dealt.transform(arrow_map, _settle, "part long, doc_id long, at long")
     needs = settled.where("part is not null").groupBy("doc_id").agg(F.collect_list(F.struct("part", "at")).alias("needs"))  # within one document
-    stretches = known.hint("merge").join(needs, "doc_id").select("doc_id", "text", "needs").mapInArrow(_words_needed(window), "part long, doc_id long, at long, words binary")
-    matched = stretches.repartition("part").sortWithinPartitions("part", "doc_id", "at").mapInArrow(_match(window), "doc_id long, at long")
+    stretches = known.hint("merge").join(needs, "doc_id").select("doc_id", "text", "needs").transform(arrow_map, _words_needed(window), "part long, doc_id long, at long, words binary")
+    matched = stretches.repartition("part").sortWithinPartitions("part", "doc_id", "at").transform(arrow_map, _match(window), "doc_id long, at long")
     covered = settled.where("part is null").select("doc_id", "at").unionAll(matched)
     spans = covered.groupBy("doc_id").agg(F.collect_list("at").alias("spans"))
     nobody = docs.where("doc_id is null").withColumn("spans", F.array().cast("array<long>"))
@@ -296,10 +303,10 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, anchor: int = 8) -> Dat
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = _with_spans(texts, window, anchor)
-    return out.select("doc_id", "text", "spans").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
+    return out.select("doc_id", "text", "spans").transform(arrow_map, _cut(window), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def replace_repeats(docs: DataFrame, *, window: int = 20, anchor: int = 8) -> DataFrame:
     """docs with texts cut as by remove_repeats(); texts that lose nothing, and all other columns (none named spans), stay as they are."""
     out = _with_spans(docs, window, anchor).select(*docs.columns, "spans")
-    return out.mapInArrow(_replace(window), docs.schema)
+    return out.transform(arrow_map, _replace(window), docs.schema)
