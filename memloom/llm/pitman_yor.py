@@ -28,23 +28,26 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.llm.shared import arrow_map
 from memloom.llm.words import U64, mix, split_words
 
 CLASS_BITS = 16
 CLASSES = 1 << CLASS_BITS
 SWEEPS, BURN_IN = 4, 2
-#: Share of a sample's tokens beyond which a word is spread, and the rows of that sample.
-HOT, SAMPLE_ROWS = 0.002, 2000
+#: Share of a sample's tokens beyond which a word is spread, and the rows of each task in that sample.
+HOT, SAMPLE_ROWS = 0.002, 100
 END, BEGIN = U64(0x0E4D0E4D0E4D0E4D), U64(0x0B0B0B0B0B0B0B0B)
-#: Documents that one message names with 15 bits.
-ROWS = 1 << 15
+#: Documents of a message, which it names with 15 bits; they bound a worker's memory.
+ROWS = 3000
+_ROW_BITS = (1 << 15) - 1
 _SMALL = 48
-_BLOCKS = 64
+_BLOCKS = 512
 
 
 class Prior(NamedTuple):
@@ -92,8 +95,8 @@ def sample_tables(c: np.ndarray, r: np.ndarray, d: float, rng: np.random.Generat
     order = np.argsort(c, kind="stable")
     edges = np.searchsorted(c[order], np.arange(_SMALL + 2))
     for v in range(2, _SMALL + 1):
-        for i in range(edges[v], edges[v + 1], 100_000):
-            own = order[i : min(i + 100_000, edges[v + 1])]
+        for i in range(edges[v], edges[v + 1], 20_000):
+            own = order[i : min(i + 20_000, edges[v + 1])]
             x = _stirling[d][v, 1 : v + 1][None, :] + np.log(r[own])[:, None] * np.arange(1, v + 1)
             total = np.cumsum(np.exp(x - x.max(1, keepdims=True)), axis=1)
             t[own] = 1 + (total < (rng.random(len(own)) * total[:, -1])[:, None]).sum(1)
@@ -161,9 +164,6 @@ def _messages(shards: int, hot: np.ndarray, scoring: bool):
     """
     place = np.argsort(hot) if len(hot) else np.zeros(0, int)
 
-    def pack(*arrays: np.ndarray) -> bytes:
-        return zstandard.ZstdCompressor(level=1).compress(b"".join(len(x).to_bytes(4, "little") + x.tobytes() for x in arrays))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = TaskContext.get().partitionId() << 33
         for whole in batches:
@@ -175,7 +175,7 @@ def _messages(shards: int, hot: np.ndarray, scoring: bool):
                 out = []
                 if scoring:
                     ids = batch.column("doc_id")
-                    out.append((start % shards, 2, pack(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.int8), held.astype(np.int8), np.bincount(row, minlength=batch.num_rows).astype(np.int32))))
+                    out.append((start % shards, 2, _pack(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.int8), held.astype(np.int8), np.bincount(row, minlength=batch.num_rows).astype(np.int32))))
                 else:
                     row, token, context = row[~held[row]], token[~held[row]], context[~held[row]]
                 tail = context << U64(16) | (np.where(held, 0, 1 << 15)[row] | (row if scoring else 0)).astype(U64)
@@ -187,7 +187,7 @@ def _messages(shards: int, hot: np.ndarray, scoring: bool):
                     edges = np.searchsorted(packed >> U64(48), np.arange(shards + 1).astype(U64))
                     for s in np.flatnonzero(np.diff(edges)):
                         own = packed[edges[s] : edges[s + 1]] & U64((1 << 48) - 1)
-                        out.append((int(s), 1, pack(*_columns(own))))
+                        out.append((int(s), 1, _pack(*_columns(own))))
                     token, tail = token[~warm], tail[~warm]
                 words, word = np.unique(token, return_inverse=True)
                 packed = np.sort(word.astype(U64) << U64(32) | tail)
@@ -196,7 +196,7 @@ def _messages(shards: int, hot: np.ndarray, scoring: bool):
                 edges = np.searchsorted(packed >> U64(32), word_edges.astype(U64))
                 for s in np.flatnonzero(np.diff(edges)):
                     own = packed[edges[s] : edges[s + 1]] - (U64(word_edges[s]) << U64(32))
-                    out.append((int(s), 0, pack(words[word_edges[s] : word_edges[s + 1]], *_columns(own))))
+                    out.append((int(s), 0, _pack(words[word_edges[s] : word_edges[s + 1]], *_columns(own))))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([start] * len(out), pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["shard", "kind", "base", "data"])
                 start += batch.num_rows
 
@@ -210,6 +210,10 @@ def _columns(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (step >> U64(16)).astype(np.uint32), (step & U64(0xFFFF)).astype(np.uint16), (packed & U64(0xFFFF)).astype(np.uint16)
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(len(x).to_bytes(4, "little") + x.tobytes() for x in arrays))
+
+
 def _unpacked(data: bytes, *types: str) -> list[np.ndarray]:
     raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
     for t in types:
@@ -248,7 +252,7 @@ def _shards(batches: Iterator[pa.RecordBatch], shards: int, n_hot: int, prior: P
         base = np.repeat([p[4] for p in parts], [len(p[3]) for p in parts])
         training = row >= 1 << 15
         types, counts = np.unique(keys[training], return_counts=True)
-        yield Shard(number, shards, words, types, counts, n_hot, prior), keys, training, base, (row & (ROWS - 1)).astype(np.int64)
+        yield Shard(number, shards, words, types, counts, n_hot, prior), keys, training, base, (row & _ROW_BITS).astype(np.int64)
 
 
 def _gather(shards: int, n_hot: int, prior: Prior):
@@ -265,26 +269,35 @@ def _gather(shards: int, n_hot: int, prior: Prior):
                 one += [t.sum(), k[:n].sum()]
                 hot.append(np.bincount(shard.word, t, n + n_hot)[n:])
             rest += np.concatenate([one, *hot])
-        blocks = np.split(contexts, _BLOCKS, axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(_BLOCKS)], pa.int32()), pa.array([rest.tobytes(), *(b.tobytes() for b in blocks)], pa.binary())], ["block", "sums"])
+        yield _packed_sums({-1: rest, **dict(enumerate(np.split(contexts.astype(np.int64), _BLOCKS, axis=1)))})
 
     return run
 
 
+def _packed_sums(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    squeeze = zstandard.ZstdCompressor(level=1)
+    return pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([squeeze.compress(x.astype(np.int64).tobytes()) for x in sums.values()], pa.binary())], ["block", "sums"])
+
+
+def _sums_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int64)
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, sums in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-            x = np.frombuffer(sums)
+            x = _sums_of(sums)
             total[block] = total[block] + x if block in total else x
-    yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "sums"])
+    yield _packed_sums(total)
 
 
-_SUMS = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, log_count double, log_model double"
+_SUMS = "base long, kind int, data binary"
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, log_count double, log_model double"
 
 
 def _scores(shards: int, n_hot: int, prior: Prior, totals: Totals):
-    """A partition's shards -> for each document with tokens there, its sums; the documents' own rows come with none."""
+    """A partition's shards -> for each message's documents, packed, the sums of those with tokens there; the documents themselves go on as they are."""
 
     def probabilities(shard: Shard, types: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Averaged P(w | g) of distinct keys; types: their places in shard.keys, or -1."""
@@ -302,15 +315,12 @@ def _scores(shards: int, n_hot: int, prior: Prior, totals: Totals):
         return out / len(shard.samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for batch in batches:  # the documents' rows go on at once, the tokens are kept for _shards()
-            kind = batch.column("kind").to_numpy()
-            for i in np.flatnonzero(kind == 2):
-                ids, null, held, n = _unpacked(batch.column("data")[int(i)].as_py(), "<i8", "i1", "i1", "<i4")
-                uid = batch.column("base")[int(i)].as_py() + np.arange(len(ids))
-                zero = np.zeros(len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(n.astype(np.int64)), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)], _NAMES)
-            rows.append(batch.filter(pa.array(kind != 2)))
+        rows, found = [], []
+        for batch in batches:  # the documents go on at once, the tokens are kept for _shards()
+            kind = batch.column("kind")
+            documents = batch.filter(pc.equal(kind, 2))
+            yield pa.RecordBatch.from_arrays([documents.column(c) for c in ("base", "kind", "data")], ["base", "kind", "data"])
+            rows.append(batch.filter(pc.not_equal(kind, 2)))
         for shard, keys, _, base, row in _shards(iter(rows), shards, n_hot, prior):
             distinct, inverse = np.unique(keys, return_inverse=True)
             at = np.minimum(np.searchsorted(shard.keys, distinct), max(len(shard.keys) - 1, 0))
@@ -319,31 +329,58 @@ def _scores(shards: int, n_hot: int, prior: Prior, totals: Totals):
             count[shard.n :] = totals.hot_count
             count = count[distinct >> CLASS_BITS]
             each = np.log10(np.maximum(probabilities(shard, types, distinct), 1e-300))
-            uid, place = np.unique(base + row, return_inverse=True)
-            total = lambda x: np.bincount(place, x[inverse], len(uid))
-            n = len(uid)
-            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.array(total(count > 0).astype(np.int64)), pa.array(total(np.log10(count + 1.0))), pa.array(total(each))], _NAMES)
+            found.append(_by_document(base, row, [(count > 0)[inverse], np.log10(count + 1.0)[inverse], each[inverse]]))
+        if found:
+            base, row, sums = (np.concatenate(x, axis=-1) for x in zip(*found, strict=True))
+            base, row, sums = _by_document(base, row, sums)
+            edges = np.flatnonzero(np.diff(base, prepend=base[0] - 1))
+            data = [_pack(row[a:b].astype(np.uint16), sums[0, a:b].astype(np.uint32), sums[1, a:b], sums[2, a:b]) for a, b in zip(edges, [*edges[1:], len(base)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(base[edges]), pa.array([0] * len(edges), pa.int32()), pa.array(data, pa.binary())], ["base", "kind", "data"])
 
     return run
 
 
-_NAMES = [x.split()[0] for x in _SUMS.split(", ")]
+def _by_document(base: np.ndarray, row: np.ndarray, values: list[np.ndarray] | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the values by document, in order."""
+    uid, first, place = np.unique(base + row, return_index=True, return_inverse=True)
+    return base[first], row[first], np.array([np.bincount(place, v, len(uid)) for v in values])
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All that was found for a message's documents, added up."""
+    documents: dict[int, bytes] = {}
+    sums: dict[int, np.ndarray] = defaultdict(lambda: np.zeros((3, ROWS)))
+    for batch in batches:
+        for base, kind, data in zip(*(batch.column(c).to_pylist() for c in ("base", "kind", "data")), strict=True):
+            if kind == 2:
+                documents[base] = data
+            else:
+                row, *values = _unpacked(data, "<u2", "<u4", "<f8", "<f8")
+                sums[base][:, row] += np.array(values)
+    for base, data in documents.items():
+        ids, null, held, n = _unpacked(data, "<i8", "i1", "i1", "<i4")
+        known, log_count, log_model = sums[base][:, : len(ids)]
+        columns = [pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(log_count), pa.array(log_model)]
+        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SCORES.split(", ")])
 
 
 def hot_words(texts: DataFrame) -> np.ndarray:
-    """Hashes of the words with more than HOT of the tokens of SAMPLE_ROWS rows: at most 1 / HOT of them."""
+    """Hashes of the words with more than HOT of the tokens of each task's first SAMPLE_ROWS rows: at most 1 / HOT of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, token, _ in _tokens(batch):
-                words, n = np.unique(token, return_counts=True)
-                some = np.argsort(-n, kind="stable")[: int(2 / HOT)]
-                yield pa.RecordBatch.from_arrays([pa.array(words[some].view(np.int64)), pa.array(n[some].astype(np.int64)), pa.array([int(n.sum())] + [0] * (len(some) - 1), pa.int64())], ["word", "n", "total"])
+            tokens = [token for _, _, token, _ in _tokens(batch.slice(0, SAMPLE_ROWS))]
+            if not tokens:
+                continue
+            words, n = np.unique(np.concatenate(tokens), return_counts=True)
+            some = np.argsort(-n, kind="stable")[: int(2 / HOT)]
+            yield pa.RecordBatch.from_arrays([pa.array(words[some].view(np.int64)), pa.array(n[some].astype(np.int64)), pa.array([int(n.sum())] + [0] * (len(some) - 1), pa.int64())], ["word", "n", "total"])
+            return
 
-    found = texts.limit(SAMPLE_ROWS).mapInArrow(run, "word long, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    found = texts.transform(arrow_map, run, "word long, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     total = found.agg(F.sum("total")).first()[0] or 0
-    rows = found.where(F.col("n") > HOT * total).orderBy("word").limit(int(1 / HOT)).collect() if total else []
-    return np.array([r["word"] for r in rows], np.int64).view(U64)
+    rows = found.where(F.col("n") > HOT * total).select("word").collect() if total else []
+    return np.sort(np.array([r["word"] for r in rows], np.int64)).view(U64)
 
 
 def score_corpus(docs: DataFrame, *, held_out: Column, prior: Prior = Prior()) -> DataFrame:
@@ -362,10 +399,10 @@ def score_corpus(docs: DataFrame, *, held_out: Column, prior: Prior = Prior()) -
     hot = hot_words(texts.select("text"))
 
     def dealt(scoring: bool) -> DataFrame:
-        return texts.mapInArrow(_messages(shards, hot, scoring), _MESSAGE).repartition(parts, "shard")
+        return texts.transform(arrow_map, _messages(shards, hot, scoring), _MESSAGE).repartition(parts, "shard")
 
-    sums = dealt(False).mapInArrow(_gather(shards, len(hot), prior), "block int, sums binary")
-    found = {r["block"]: np.frombuffer(bytes(r["sums"])) for r in sums.repartition("block").mapInArrow(_summed, "block int, sums binary").collect()}  # _BLOCKS + 1 rows of fixed size
+    sums = dealt(False).transform(arrow_map, _gather(shards, len(hot), prior), "block int, sums binary")
+    found = {r["block"]: _sums_of(bytes(r["sums"])) for r in sums.repartition("block").transform(arrow_map, _summed, "block int, sums binary").collect()}  # _BLOCKS + 1 rows of fixed size
     if not found:
         found = {-1: np.zeros(2 + 2 * SWEEPS + len(hot) * (1 + SWEEPS))} | {b: np.zeros((1 + SWEEPS) * CLASSES // _BLOCKS) for b in range(_BLOCKS)}
     contexts = np.concatenate([found[b].reshape(1 + SWEEPS, -1) for b in range(_BLOCKS)], axis=1)
@@ -379,8 +416,8 @@ def score_corpus(docs: DataFrame, *, held_out: Column, prior: Prior = Prior()) -
         hot_parent[s] = sample_tables(np.maximum(by_hot[1 + s].astype(np.int64), 1), np.full(len(hot), base), prior.d0, rng) * (by_hot[1 + s] > 0)
         parent[s, 1] += hot_parent[s].sum()
     totals = Totals(contexts[0], contexts[1:], parent, int(one[0]), vocabulary, by_hot[0].astype(np.int64), by_hot[1:], hot_parent)
-    by_doc = dealt(True).mapInArrow(_scores(shards, len(hot), prior, totals), _SUMS).groupBy("uid")
-    by_doc = by_doc.agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "log_count", "log_model")))
+    parted = dealt(True).transform(arrow_map, _scores(shards, len(hot), prior, totals), _SUMS)
+    by_doc = parted.repartition(parts, "base").transform(arrow_map, _finish, _SCORES)
     return by_doc.select(
         "doc_id",
         "held_out",
