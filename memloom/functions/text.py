@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: white space as ECMAScript's trim() and \s know it.
-SPACE = r"[\s ﻿  -     　]"
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0xA0, 0xFEFF, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+SPACE = f"[{SPACES}]"
 #: Word boundaries that only know ASCII word characters.
 LEFT, RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
@@ -17,8 +18,18 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, also inside lambdas, where Spark shares no subexpressions."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """df with further columns that are computed once a row: no filter or projection above is merged into them."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def trim(x: Column | str) -> Column:
-    return F.regexp_replace(col(x), f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(col(x), F.lit(SPACES))
 
 
 def round_half_up(x: Column, digits: int) -> Column:

@@ -8,11 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from memloom.functions.lexicon import DECISION_WORDS, EMOTION_CODES, EMOTION_SIGNALS, EMOTIONAL_WORDS, FLAG_SIGNALS, STOP_WORDS
-from memloom.functions.text import SPACE, basename, col, contained, count_contained, round_half_up, trim
-
-
-def _stop_words() -> Column:
-    return F.array(*map(F.lit, STOP_WORDS))
+from memloom.functions.text import SPACE, basename, col, contained, count_contained, let, round_half_up, trim
 
 
 def emotions(text: Column | str) -> Column:
@@ -25,12 +21,15 @@ def flags(text: Column | str) -> Column:
 
 def topics(text: Column | str, most: int = 3) -> Column:
     """The heaviest words: one for each occurrence, two more where it is capitalised, two more where it is compound."""
-    words = F.filter(F.regexp_extract_all(col(text), F.lit("([a-zA-Z][a-zA-Z_-]{2,})"), F.lit(1)), lambda w: ~F.array_contains(_stop_words(), F.lower(w)))
-    lower = F.transform(words, lambda w: F.lower(w))
-    weight = lambda w: 1 + F.when(F.substring(w, 1, 1).rlike("[A-Z]"), 2).otherwise(0) + F.when(w.rlike("[_-]") | F.substring(w, 2, 1_000_000).rlike("[A-Z]"), 2).otherwise(0)
-    total = lambda u: F.aggregate(F.filter(words, lambda w: F.lower(w) == u), F.lit(0), lambda s, w: s + weight(w))
-    ranked = F.array_sort(F.transform(F.array_distinct(lower), lambda u, i: F.struct((-total(u)).alias("w"), i.alias("i"), u.alias("u"))))
-    return F.transform(F.slice(ranked, 1, most), lambda x: x["u"])
+    words = F.filter(F.regexp_extract_all(col(text), F.lit("([a-zA-Z][a-zA-Z_-]{2,})"), F.lit(1)), lambda w: ~F.lower(w).isin(*STOP_WORDS))
+    weight = lambda w: 1 + F.when(w.rlike("^[A-Z]"), 2).otherwise(0) + F.when(w.rlike("[_-]|.[A-Z]"), 2).otherwise(0)
+    weighed = F.transform(words, lambda w: F.struct(F.lower(w).alias("u"), weight(w).alias("w")))
+
+    def ranked(ws: Column) -> Column:
+        total = lambda u: F.aggregate(ws, F.lit(0), lambda s, x: s + F.when(x["u"] == u, x["w"]).otherwise(0))
+        return F.array_sort(F.transform(F.array_distinct(F.transform(ws, lambda x: x["u"])), lambda u, i: F.struct((-total(u)).alias("w"), i.alias("i"), u.alias("u"))))
+
+    return F.transform(F.slice(let(weighed, ranked), 1, most), lambda x: x["u"])
 
 
 def key_sentence(text: Column | str) -> Column:
@@ -39,11 +38,11 @@ def key_sentence(text: Column | str) -> Column:
 
     def score(s: Column) -> Column:
         n = F.length(s)
-        return 2 * count_contained(F.lower(s), DECISION_WORDS) + (n < 80).cast("int") + (n < 40).cast("int") - 2 * (n > 150).cast("int")
+        return 2 * let(F.lower(s), lambda low: count_contained(low, DECISION_WORDS)) + (n < 80).cast("int") + (n < 40).cast("int") - 2 * (n > 150).cast("int")
 
     ranked = F.array_sort(F.transform(sentences, lambda s, i: F.struct((-score(s)).alias("w"), i.alias("i"), s.alias("s"))))
-    best = F.get(ranked, F.lit(0))["s"]
-    return F.coalesce(F.when(F.length(best) > 55, F.concat(F.substring(best, 1, 52), F.lit("..."))).otherwise(best), F.lit(""))
+    cut = lambda best: F.when(F.length(best) > 55, F.concat(F.substring(best, 1, 52), F.lit("..."))).otherwise(best)
+    return F.coalesce(let(F.get(ranked, F.lit(0))["s"], cut), F.lit(""))
 
 
 def entities(text: Column | str, codes: Mapping[str, str] | None = None) -> Column:
@@ -51,7 +50,7 @@ def entities(text: Column | str, codes: Mapping[str, str] | None = None) -> Colu
     body = col(text)
     words = F.slice(F.split(body, f"{SPACE}+"), 2, 1_000_000)
     clean = F.transform(words, lambda w: F.regexp_replace(w, "[^a-zA-Z]", ""))
-    names = F.filter(clean, lambda w: w.rlike("^[A-Z][a-z]+$") & ~F.array_contains(_stop_words(), F.lower(w)))
+    names = F.filter(clean, lambda w: w.rlike("^[A-Z][a-z]+$") & ~F.lower(w).isin(*STOP_WORDS))
     guessed = F.slice(F.array_distinct(F.transform(names, lambda w: F.upper(F.substring(w, 1, 3)))), 1, 3)
     known = [(k.lower(), c) for k, c in (codes or {}).items() if k[:1].isascii() and k[:1].isupper()]
     if not known:
@@ -62,16 +61,14 @@ def entities(text: Column | str, codes: Mapping[str, str] | None = None) -> Colu
 
 def compress(text: Column | str, *, source_file: Column | None = None, wing: Column | None = None, room: Column | None = None, date: Column | None = None, codes: Mapping[str, str] | None = None) -> Column:
     """A content line of what the text has, after a header line if a file or wing is given."""
-    who, what = entities(text, codes), topics(text)
-    quote, feel, mark = key_sentence(text), F.array_join(emotions(text), "+"), F.array_join(flags(text), "+")
     some = lambda x: F.when(x != "", x)
     body = F.concat_ws(
         "|",
-        F.concat(F.lit("0:"), F.when(F.size(who) > 0, F.array_join(F.slice(who, 1, 3), "+")).otherwise(F.lit("???"))),
-        F.when(F.size(what) > 0, F.array_join(what, "_")).otherwise(F.lit("misc")),
-        F.when(quote != "", F.concat(F.lit('"'), quote, F.lit('"'))),
-        some(feel),
-        some(mark),
+        let(F.array_join(F.slice(entities(text, codes), 1, 3), "+"), lambda x: F.concat(F.lit("0:"), F.coalesce(some(x), F.lit("???")))),
+        let(F.array_join(topics(text), "_"), lambda x: F.coalesce(some(x), F.lit("misc"))),
+        let(key_sentence(text), lambda x: F.when(x != "", F.concat(F.lit('"'), x, F.lit('"')))),
+        let(F.array_join(emotions(text), "+"), some),
+        let(F.array_join(flags(text), "+"), some),
     )
     if source_file is None and wing is None:
         return body
@@ -81,7 +78,7 @@ def compress(text: Column | str, *, source_file: Column | None = None, wing: Col
     shown = F.lit(False)
     for x in (source_file, wing):
         shown = shown | (x.isNotNull() & (x != "")) if x is not None else shown
-    return F.when(F.coalesce(shown, F.lit(False)), F.concat(header, F.lit("\n"), body)).otherwise(body)
+    return F.concat(F.when(F.coalesce(shown, F.lit(False)), F.concat(header, F.lit("\n"))).otherwise(F.lit("")), body)
 
 
 def count_tokens(text: Column | str) -> Column:
@@ -91,32 +88,32 @@ def count_tokens(text: Column | str) -> Column:
 
 
 def compression_stats(text: Column | str, summary: Column | str) -> Column:
-    before, after = count_tokens(text), count_tokens(summary)
-    return F.struct(
-        before.alias("original_tokens_est"),
-        after.alias("summary_tokens_est"),
-        round_half_up(before / after, 1).alias("size_ratio"),
-        F.length(col(text)).cast("long").alias("original_chars"),
-        F.length(col(summary)).cast("long").alias("summary_chars"),
+    return let(
+        F.struct(count_tokens(text).alias("b"), count_tokens(summary).alias("a")),
+        lambda n: F.struct(
+            n["b"].alias("original_tokens_est"),
+            n["a"].alias("summary_tokens_est"),
+            round_half_up(n["b"] / n["a"], 1).alias("size_ratio"),
+            F.length(col(text)).cast("long").alias("original_chars"),
+            F.length(col(summary)).cast("long").alias("summary_chars"),
+        ),
     )
 
 
 def decode(summary: Column | str) -> Column:
     """The lines of a summary by kind: header fields (the last header wins), arc, zettels and tunnels."""
-    lines = F.split(trim(summary), "\n")
     first = lambda x: F.get(F.split(x, r"\|"), F.lit(0))
-    arc = lambda x: x.startswith("ARC:")
-    tunnel = lambda x: ~arc(x) & x.startswith("T:")
-    barred = lambda x: ~arc(x) & ~x.startswith("T:") & F.contains(x, F.lit("|"))
-    zettel = lambda x: barred(x) & F.contains(first(x), F.lit(":"))
-    header = F.split(F.try_element_at(F.filter(lines, lambda x: barred(x) & ~F.contains(first(x), F.lit(":"))), F.lit(-1)), r"\|")
-    field = lambda i: F.when(header.isNotNull(), F.coalesce(F.get(header, F.lit(i)), F.lit("")))
-    return F.struct(
-        *(field(i).alias(n) for i, n in enumerate(("file", "entities", "date", "title"))),
-        F.coalesce(F.substring(F.try_element_at(F.filter(lines, arc), F.lit(-1)), 5, 1_000_000), F.lit("")).alias("arc"),
-        F.filter(lines, zettel).alias("zettels"),
-        F.filter(lines, tunnel).alias("tunnels"),
-    )
+    kind = lambda x: F.when(x.startswith("ARC:"), "arc").when(x.startswith("T:"), "tunnel").when(F.contains(x, F.lit("|")), F.when(F.contains(first(x), F.lit(":")), "zettel").otherwise("header"))
+    marked = F.transform(F.split(trim(summary), "\n"), lambda x: F.struct(kind(x).alias("k"), x.alias("x")))
+
+    def parts(lines: Column) -> Column:
+        of = lambda k: F.transform(F.filter(lines, lambda m: m["k"] == k), lambda m: m["x"])
+        header = F.split(F.try_element_at(of("header"), F.lit(-1)), r"\|")
+        field = lambda h, i: F.when(h.isNotNull(), F.coalesce(F.get(h, F.lit(i)), F.lit("")))
+        fields = let(header, lambda h: F.struct(*(field(h, i).alias(n) for i, n in enumerate(("file", "entities", "date", "title")))))
+        return F.struct(fields.alias("h"), F.coalesce(F.substring(F.try_element_at(of("arc"), F.lit(-1)), 5, 1_000_000), F.lit("")).alias("arc"), of("zettel").alias("zettels"), of("tunnel").alias("tunnels"))
+
+    return let(let(marked, parts), lambda p: F.struct(*(p["h"][n].alias(n) for n in ("file", "entities", "date", "title")), p["arc"].alias("arc"), p["zettels"].alias("zettels"), p["tunnels"].alias("tunnels")))
 
 
 # ── Zettels: structured notes ────────────────────────────────────────────────
@@ -169,7 +166,7 @@ def key_quote(z: Column) -> Column:
         out = 2 * (F.upper(first) == first).cast("int") + 2 * count_contained(F.lower(q), EMOTIONAL_WORDS) + (F.length(q) > 20).cast("int")
         return out - 2 * (q.startswith("The ") | q.startswith("This ") | q.startswith("She ")).cast("int")
 
-    ranked = F.array_sort(F.transform(quotes, lambda q, i: F.struct((-score(q)).alias("w"), i.alias("i"), q.alias("q"))))
+    ranked = F.array_sort(F.transform(quotes, lambda q, i: F.struct((-score(q)).alias("w"), i.alias("i"), q.alias("q"))))  # few quotes
     title = F.get(F.split(empty("title"), " - "), F.lit(1))
     return F.coalesce(F.get(ranked, F.lit(0))["q"], F.substring(title, 1, 45), F.lit(""))
 

@@ -8,21 +8,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.lexicon import CODE_PATTERN, DIALOGUE_PATTERNS, DIRECT_PATTERN, NO_NAMES, PERSON_VERBS, PRONOUNS, PROJECT_VERBS, STOP_WORDS, VERSIONED_PATTERN
-from memloom.functions.text import LEFT, RIGHT, round_half_up
+from memloom.functions.text import LEFT, RIGHT, once, round_half_up
 
 #: Signals of an entity that count, of each kind.
 KEPT_SIGNALS = 3
 
 
+#: Stands for the name in a text; a word character to the patterns below.
+MARK = "\ue000"
+_WORD = f"A-Za-z0-9_{MARK}"
+
+
 def ascii_bounds(pattern: str) -> str:
-    r"""The pattern with \b that only knows ASCII word characters."""
-    return pattern.replace(r"\b", r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
+    r"""The pattern with \b and \w that only know ASCII word characters and MARK."""
+    return pattern.replace(r"\b", f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))").replace(r"\w", f"[{_WORD}]")
+
 
+def for_mark(pattern: str, options: str = "") -> str:
+    """The pattern with MARK in place of {}: a constant, compiled once for all names and texts."""
+    return (f"(?{options})" if options else "") + ascii_bounds(pattern.replace("{}", MARK))
 
-def with_name(pattern: str, name: Column, options: str = "i") -> Column:
-    """The pattern with a name in place of {}. Candidates are letters and white space, so nothing needs escaping."""
-    before = ascii_bounds(pattern)
-    return F.replace(F.lit(f"(?{options}){before}"), F.lit("{}"), name)
+
+def marked(text: Column, name: Column) -> Column:
+    """The text in lower case, with MARK for the name whatever its case. Patterns ignore case, so nothing else is lost."""
+    return F.replace(F.lower(text), F.lower(name), F.lit(MARK))
 
 
 def candidates(texts: DataFrame, key: str, *, stop_words: Sequence[str] = (), least: int = 3) -> DataFrame:
@@ -45,32 +54,31 @@ def score(names: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     the name that have a pronoun within two lines. Of each side only the first signals stay.
     """
     met = names.join(texts, key)
-    count = lambda p, o="i": F.regexp_count("text", with_name(p, F.col("name"), o))
-    lines = F.split(F.lower("text"), "\n", -1)
-    pronoun = "(?i)" + ascii_bounds(rf"\b(?:{'|'.join(PRONOUNS)})\b")
-    hits = F.filter(
-        F.sequence(F.lit(1), F.size("lines")),
-        lambda i: F.contains(F.element_at("lines", i), F.lower("name")) & F.array_join(F.slice("lines", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)) + 2), " ").rlike(pronoun),
-    )
-    met = met.withColumn("lines", lines)
+    count = lambda p, o="": F.regexp_count("marked", F.lit(for_mark(p, o)))
+    pronoun = ascii_bounds(rf"\b(?:{'|'.join(PRONOUNS)})\b")
+    lines = F.transform(F.split(F.lower("text"), "\n", -1), lambda x: F.struct(F.contains(x, F.lower("name")).alias("named"), x.rlike(pronoun).alias("pronoun")))
+    met = once(met, {"lines": lines, "marked": marked(F.col("text"), F.col("name"))})
+    near = lambda i: F.exists(F.slice("lines", F.greatest(i - 1, F.lit(1)), F.least(i + 1, F.lit(3)) + 2), lambda x: x["pronoun"])
+    hits = F.filter(F.transform("lines", lambda x, i: x["named"] & near(i)), lambda x: x)
 
     def signal(n: Column, text: Column) -> Column:
         return F.struct(n.alias("n"), F.concat(text, F.lit(" ("), n.cast("string"), F.lit("x)")).alias("s"))
 
     action = F.concat(F.lit("'"), F.col("name"), F.lit(" ...' action"))
-    person = [(3, signal(count(p, "im"), F.lit("dialogue marker"))) for p in DIALOGUE_PATTERNS]
+    person = [(3, signal(count(p, "m"), F.lit("dialogue marker"))) for p in DIALOGUE_PATTERNS]
     person += [(2, signal(count(p), action)) for p in PERSON_VERBS]
     person += [(2, signal(F.size(hits), F.lit("pronoun nearby"))), (4, signal(count(DIRECT_PATTERN), F.lit("addressed directly")))]
     project = [(2, signal(count(p), F.lit("project verb"))) for p in PROJECT_VERBS]
     project += [(3, signal(count(VERSIONED_PATTERN), F.lit("versioned/hyphenated"))), (3, signal(count(CODE_PATTERN), F.lit("code file reference")))]
-    out = met.select(key, "name", "frequency", F.array(*(x for _, x in person)).alias("p"), F.array(*(x for _, x in project)).alias("q"))
+    out = once(met, {"p": F.array(*(x for _, x in person)), "q": F.array(*(x for _, x in project))})
 
     def total(c: str, weights: list[int]) -> Column:
         each = F.zip_with(c, F.array(*map(F.lit, weights)), lambda x, w: x["n"] * w)
         return F.aggregate(each, F.lit(0), lambda s, x: s + x)
 
     first = lambda c: F.slice(F.transform(F.filter(c, lambda x: x["n"] > 0), lambda x: x["s"]), 1, KEPT_SIGNALS)
-    return out.select(key, "name", "frequency", total("p", [w for w, _ in person]).alias("person_score"), total("q", [w for w, _ in project]).alias("project_score"), first("p").alias("person_signals"), first("q").alias("project_signals"))
+    scores = {"person_score": total("p", [w for w, _ in person]), "project_score": total("q", [w for w, _ in project]), "person_signals": first("p"), "project_signals": first("q")}
+    return once(out.select(key, "name", "frequency", "p", "q"), scores).drop("p", "q")
 
 
 def classify(scored: DataFrame) -> DataFrame:
@@ -97,7 +105,7 @@ def classify(scored: DataFrame) -> DataFrame:
         .when(project, or_appears("project_signals"))
         .otherwise(F.concat(F.slice(F.concat("person_signals", "project_signals"), 1, 3), F.array(F.lit("mixed signals — needs review"))))
     )
-    return scored.select("*", kind.alias("type"), round_half_up(sure, 2).alias("confidence"), signals.alias("signals"))
+    return once(scored, {"type": kind, "confidence": round_half_up(sure, 2), "signals": signals})
 
 
 def combined(texts: DataFrame, key: str, order: str, *, max_texts: int = 10, max_chars: int = 5000) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.lexicon import COMMON_WORDS, CONCEPT_CONTEXTS, NAME_PHRASES, PERSON_CONTEXTS, PLACE_PHRASES
-from memloom.functions.text import LEFT, RIGHT, trim
-from memloom.operators.entities import with_name
+from memloom.functions.text import LEFT, RIGHT, once, trim
+from memloom.operators.entities import for_mark, marked
 
 
 def seed(people: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -36,19 +36,19 @@ def ambiguous_flags(people: DataFrame) -> DataFrame:
 
 def context_scores(name: Column, context: Column) -> tuple[Column, Column]:
     """How many patterns around the name speak for a person, and for a concept."""
-    lower = F.lower(context)
-    total = lambda ps: sum((F.rlike(lower, with_name(p, F.lower(name))).cast("int") for p in ps), F.lit(0))
+    text = marked(context, name)
+    total = lambda ps: sum((text.rlike(for_mark(p)).cast("int") for p in ps), F.lit(0))
     return total(PERSON_CONTEXTS), total(CONCEPT_CONTEXTS)
 
 
 def disambiguate(words: DataFrame) -> DataFrame:
     """words (word, context, ...) with person_score, concept_score, meaning (person, concept or null) and its confidence."""
     person, concept = context_scores(F.col("word"), F.col("context"))
-    scored = words.withColumns({"person_score": person, "concept_score": concept})
+    scored = once(words, {"person_score": person, "concept_score": concept})
     p, c = F.col("person_score"), F.col("concept_score")
     meaning = F.when(p > c, "person").when(c > p, "concept")
     sure = F.when(p > c, F.least(F.lit(0.95), 0.7 + p * 0.1)).when(c > p, F.least(F.lit(0.9), 0.7 + c * 0.1))
-    return scored.withColumns({"meaning": meaning, "sure": sure})
+    return once(scored, {"meaning": meaning, "sure": sure})
 
 
 def lookup(words: DataFrame, people: DataFrame, projects: DataFrame, wiki: DataFrame) -> DataFrame:

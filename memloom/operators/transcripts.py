@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.lexicon import ROOM_KEYWORDS
-from memloom.functions.text import SPACE, col, count_contained, md5_prefix, trim
+from memloom.functions.text import SPACE, col, count_contained, let, md5_prefix, once, trim
 
 #: Chunks must be longer than this, in characters.
 LEAST_CHUNK = 30
@@ -207,38 +207,41 @@ def chunk_exchanges(files: DataFrame, key: str, text: str = "content") -> DataFr
     characters or fewer are left out and the others numbered densely. All steps work on one
     row's own lines, so nothing is shuffled.
     """
-    body = col(text)
-    lines = F.transform(F.split(body, "\n"), lambda x: trim(x))
-    raw = F.split(body, "\n", -1)
-    opens = lambda x: x.startswith(">")
-    ends = lambda x: x.startswith(">") | x.startswith("---")
+    begins = lambda x, mark: x.startswith(mark)
+    lines = F.transform(F.split("_body", "\n", -1), lambda x: trim(x))
+    step = once(files.select(key, col(text).alias("_body")), {"_lines": lines})
+    heads = F.filter(F.transform("_lines", lambda x, i: F.when(begins(x, ">"), i)), lambda i: i.isNotNull())
+    step = once(step, {"_heads": heads})
 
-    n = F.size(lines)
-    heads = F.filter(F.sequence(F.lit(1), n), lambda i: opens(F.element_at(lines, i)))
+    def reply(after: Column) -> Column:
+        stop = F.array_position(F.transform(after, lambda x: begins(x, ">") | begins(x, "---")), F.lit(True))
+        said = let(stop, lambda n: F.slice(after, F.lit(1), F.when(n > 0, n.cast("int") - 1).otherwise(F.size(after))))
+        return F.array_join(F.slice(F.filter(said, lambda x: x != ""), 1, 8), " ")
 
     def exchange(i: Column) -> Column:
-        after = F.slice(lines, i + 1, n)
-        stop = F.array_position(F.transform(after, ends), F.lit(True))
-        reply = F.when(stop > 0, F.slice(after, F.lit(1), stop.cast("int") - 1)).otherwise(after)
-        reply = F.array_join(F.slice(F.filter(reply, lambda x: x != ""), 1, 8), " ")
-        return F.when(reply != "", F.concat(F.element_at(lines, i), F.lit("\n"), reply)).otherwise(F.element_at(lines, i))
+        said = let(F.slice("_lines", i + 2, F.size("_lines")), reply)
+        return F.concat_ws("\n", F.get("_lines", i), let(said, lambda x: F.when(x != "", x)))
 
-    paragraphs = F.filter(F.transform(F.split(body, "\n\n"), lambda x: trim(x)), lambda x: x != "")
-    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(raw) - 1) / 25).cast("int")), lambda g: trim(F.array_join(F.slice(raw, g * 25 + 1, 25), "\n")))
-    parts = F.when(F.size(heads) >= 3, F.transform(heads, exchange)).when((F.size(paragraphs) <= 1) & (F.size(raw) > 20), groups).otherwise(paragraphs)
-    long_enough = F.filter(parts, lambda x: F.length(trim(x)) > LEAST_CHUNK)
-    return files.select(key, F.posexplode(long_enough).alias("chunk_index", "content"))
+    raw = F.split("_body", "\n", -1)
+    groups = let(raw, lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / 25).cast("int")), lambda g: trim(F.array_join(F.slice(r, g * 25 + 1, 25), "\n"))))
+    paragraphs = F.filter(F.transform(F.split("_body", "\n\n"), lambda x: trim(x)), lambda x: x != "")
+    prose = let(paragraphs, lambda ps: F.when((F.size(ps) <= 1) & (F.size("_lines") > 20), groups).otherwise(ps))
+    step = once(step, {"_parts": F.when(F.size("_heads") >= 3, F.transform("_heads", exchange)).otherwise(prose)})
+    long_enough = F.filter("_parts", lambda x: F.length(trim(x)) > LEAST_CHUNK)
+    return step.select(key, F.posexplode(long_enough).alias("chunk_index", "content"))
 
 
 def detect_room(text: Column | str) -> Column:
     """The room with most distinct keywords in the first 3000 characters; ties go to the earlier room, none is ``general``."""
+    def best(scores: Column) -> Column:
+        top = F.greatest(*(scores[room] for room in ROOM_KEYWORDS))
+        out = F.when(top == 0, "general")
+        for room in ROOM_KEYWORDS:
+            out = out.when(scores[room] == top, room)
+        return out
+
     head = F.lower(F.substring(col(text), 1, 3000))
-    scores = {room: count_contained(head, words) for room, words in ROOM_KEYWORDS.items()}
-    best = F.greatest(*scores.values())
-    out = F.when(best == 0, "general")
-    for room, score in scores.items():
-        out = out.when(score == best, room)
-    return out
+    return let(let(head, lambda h: F.struct(*(count_contained(h, words).alias(room) for room, words in ROOM_KEYWORDS.items()))), best)
 
 
 def wing_of(folder: str) -> str:
@@ -255,7 +258,7 @@ def mine(files: DataFrame, drawers: DataFrame | None, *, wing: str, agent: str =
     if drawers is not None:
         files = files.join(drawers.select(F.col("source_file").alias("path")), "path", "left_anti")
     whole = normalize(files.select("path", "content")).where(F.length(trim("content")) >= LEAST_CHUNK)
-    routed = whole.withColumn("room", detect_room("content"))
+    routed = once(whole, {"room": detect_room("content")})
     chunks = chunk_exchanges(routed.withColumn("_key", F.struct("path", "room")), "_key").select("_key.path", "_key.room", "chunk_index", "content")
     return chunks.select(
         F.concat(F.lit(f"drawer_{wing}_"), "room", F.lit("_"), md5_prefix(F.concat("path", F.col("chunk_index").cast("string")), 16)).alias("drawer_id"),

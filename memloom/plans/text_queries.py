@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions import lexicon as X
+from memloom.functions.text import once
 from memloom.operators import dialect as S
 from memloom.operators import entities as E
 from memloom.operators import layers as L
@@ -188,7 +189,7 @@ def _summaries(spark: SparkSession, d: str) -> DataFrame:
     notes = views.notes(spark, d)
     wing = F.concat(F.lit("w"), (F.col("user_id") % 5).cast("string"))
     file = F.concat(F.lit("/notes/n"), F.col("note_id").cast("string"), F.lit(".txt"))
-    return notes.withColumn("summary", S.compress("text", source_file=file, wing=wing, room=F.lit("notes")))
+    return once(notes, {"summary": S.compress("text", source_file=file, wing=wing, room=F.lit("notes"))})
 
 
 @query(sql("notes", f"SELECT note_id, {_EMOTIONS} AS emotions FROM notes"))
@@ -231,7 +232,7 @@ _TOKENS = lambda x: f"CAST(greatest(1, floor(len(list_filter(regexp_split_to_arr
 
 @query(sql("notes", f"WITH {_SUMMARY} SELECT note_id, o AS original_tokens_est, s AS summary_tokens_est, floor(CAST(o AS DOUBLE) / s * 10 + 0.5) / 10 AS size_ratio, length(text) AS original_chars, length(summary) AS summary_chars FROM (SELECT *, {_TOKENS('text')} AS o, {_TOKENS('summary')} AS s FROM summaries)"))
 def compress_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _summaries(spark, d).select("note_id", S.compression_stats("text", "summary").alias("s")).select("note_id", "s.*")
+    return once(_summaries(spark, d), {"s": S.compression_stats("text", "summary")}).select("note_id", "s.*")
 
 
 @query(f"SELECT doc_id, {_TOKENS('text')} AS tokens FROM documents")
@@ -242,7 +243,7 @@ def count_tokens(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("notes", f"WITH {_SUMMARY} SELECT note_id, 'w' || (user_id % 5) AS file, 'notes' AS entities, '?' AS date, 'n' || note_id AS title, 'calm' AS arc, body AS zettels, 'T:1<->2|x' AS tunnels FROM summaries"))
 def decode(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat_ws("\n", "summary", F.lit("ARC:calm"), F.lit("T:1<->2|x"))
-    found = _summaries(spark, d).select("note_id", S.decode(text).alias("x")).select("note_id", "x.*")
+    found = once(_summaries(spark, d), {"x": S.decode(text)}).select("note_id", "x.*")
     return found.withColumns({"zettels": F.array_join("zettels", ";"), "tunnels": F.array_join("tunnels", ";")})
 
 
