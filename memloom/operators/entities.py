@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +22,11 @@ _WORD = f"A-Za-z0-9_{MARK}"
 
 def ascii_bounds(pattern: str) -> str:
     r"""The pattern with \b and \w that only know ASCII word characters and MARK."""
-    return pattern.replace(r"\b", f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))").replace(r"\w", f"[{_WORD}]")
+    edge = f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
+    for near, simple in ((rf"\b{MARK}", f"{MARK}(?<![{_WORD}]{MARK})"), (rf"{MARK}\b", f"{MARK}(?![{_WORD}])")):
+        pattern = pattern.replace(near, simple)  # the mark first, as few places have it
+    pattern = re.sub(r"\\b(?=[a-z])", f"(?<![{_WORD}])", pattern)
+    return re.sub(r"(?<=[a-z])\\b", f"(?![{_WORD}])", pattern).replace(r"\b", edge).replace(r"\w", f"[{_WORD}]")
 
 
 def for_mark(pattern: str, options: str = "") -> str:
@@ -29,6 +34,15 @@ def for_mark(pattern: str, options: str = "") -> str:
     return (f"(?{options})" if options else "") + ascii_bounds(pattern.replace("{}", MARK))
 
 
+def needed_word(pattern: str) -> str:
+    """A word that every match has, or the mark: texts without it aren't searched."""
+    if re.search(r"\|(?![^()]*\))", pattern):  # alternatives outside groups
+        return MARK
+    plain = re.sub(r"\\[bswd][+*]?", " ", re.sub(r"\([^()]*\)\??", " ", pattern))
+    words = [w[:-2] if w.endswith("?") else w for w in re.findall(r"[a-z]+\??", plain)]
+    return next((w for w in words if len(w) > 1), MARK)
+
+
 def marked(text: Column, name: Column) -> Column:
     """The text in lower case, with MARK for the name whatever its case. Patterns ignore case, so nothing else is lost."""
     return F.replace(F.lower(text), F.lower(name), F.lit(MARK))
@@ -54,7 +68,7 @@ def score(names: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     the name that have a pronoun within two lines. Of each side only the first signals stay.
     """
     met = names.join(texts, key)
-    count = lambda p, o="": F.regexp_count("marked", F.lit(for_mark(p, o)))
+    count = lambda p, o="": F.when(F.contains(F.col("marked"), F.lit(needed_word(p))), F.regexp_count("marked", F.lit(for_mark(p, o)))).otherwise(0)
     pronoun = ascii_bounds(rf"\b(?:{'|'.join(PRONOUNS)})\b")
     lines = F.transform(F.split(F.lower("text"), "\n", -1), lambda x: F.struct(F.contains(x, F.lower("name")).alias("named"), x.rlike(pronoun).alias("pronoun")))
     met = once(met, {"lines": lines, "marked": marked(F.col("text"), F.col("name"))})
@@ -108,11 +122,12 @@ def classify(scored: DataFrame) -> DataFrame:
     return once(scored, {"type": kind, "confidence": round_half_up(sure, 2), "signals": signals})
 
 
-def combined(texts: DataFrame, key: str, order: str, *, max_texts: int = 10, max_chars: int = 5000) -> DataFrame:
-    """(key, text): the first texts of each key, each cut, one after the other on lines of their own."""
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    some = texts.withColumn("_n", nth).where(F.col("_n") <= max_texts).select(key, "_n", F.substring("text", 1, max_chars).alias("text"))
-    lines = F.array_sort(F.collect_list(F.struct("_n", "text")))  # max_texts of them
+def combined(texts: DataFrame, key: str, order: str, *, max_texts: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """(key, text): the texts of each key, or its first ones, each cut if asked, one after the other on lines of their own."""
+    some = texts.select(key, F.col(order).alias("_n"), F.col("text") if max_chars is None else F.substring("text", 1, max_chars).alias("text"))
+    if max_texts is not None:
+        some = some.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy("_n"))).where(F.col("_at") <= max_texts)
+    lines = F.array_sort(F.collect_list(F.struct("_n", "text")))
     return some.groupBy(key).agg(lines.alias("x")).select(key, F.array_join(F.transform("x", lambda y: y["text"]), "\n").alias("text"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions.lexicon import COMMON_WORDS, CONCEPT_CONTEXTS, NAME_PHRASES, PERSON_CONTEXTS, PLACE_PHRASES
 from memloom.functions.text import LEFT, RIGHT, once, trim
-from memloom.operators.entities import for_mark, marked
+from memloom.operators.entities import for_mark, marked, needed_word
 
 
 def seed(people: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def ambiguous_flags(people: DataFrame) -> DataFrame:
 def context_scores(name: Column, context: Column) -> tuple[Column, Column]:
     """How many patterns around the name speak for a person, and for a concept."""
     text = marked(context, name)
-    total = lambda ps: sum((text.rlike(for_mark(p)).cast("int") for p in ps), F.lit(0))
+    total = lambda ps: sum(((F.contains(text, F.lit(needed_word(p))) & text.rlike(for_mark(p))).cast("int") for p in ps), F.lit(0))
     return total(PERSON_CONTEXTS), total(CONCEPT_CONTEXTS)
 
 

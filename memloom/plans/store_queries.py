@@ -152,12 +152,12 @@ def latest_version(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN CAST(value AS VARCHAR) WHEN 2 THEN 'true' ELSE coalesce(props, 'null') END AS flat FROM events WHERE event_id % 4 <> 1"""
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN CAST(user_id AS VARCHAR) WHEN 2 THEN 'true' ELSE coalesce(props, 'null') END AS flat FROM events"""
 )
 def flatten_metadata(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events").where("event_id % 4 <> 1")
+    events = table(spark, d, "events")
     kind = F.element_at(F.array(F.lit("string"), F.lit("number"), F.lit("boolean"), F.lit("object")), (F.col("event_id") % 4).cast("int") + 1)
-    value = F.when(kind == "string", F.col("event_type")).when(kind == "boolean", "true").otherwise(F.col("props"))
+    value = F.when(kind == "string", F.col("event_type")).when(kind == "number", F.col("user_id").cast("string")).when(kind == "boolean", "true").otherwise(F.col("props"))
     return events.select("event_id", D.flatten_metadata(value, kind).alias("flat"))
 
 
@@ -301,12 +301,12 @@ def top_tunnels(spark: SparkSession, d: str) -> DataFrame:
 @query(
     sql(
         "room_graph",
-        """WITH walk(room, hop) AS (SELECT 'r1', 0 UNION SELECT b.room, w.hop + 1 FROM walk w JOIN room_graph a ON a.room = w.room JOIN room_graph b ON b.wing = a.wing WHERE w.hop < 4)
+        """WITH walk(room, hop) AS (SELECT 'r1', 0 UNION SELECT b.room, w.hop + 1 FROM walk w JOIN room_graph a ON a.room = w.room JOIN room_graph b ON b.wing = a.wing WHERE w.hop < 3)
         SELECT room, min(hop) AS hop FROM walk GROUP BY room""",
     )
 )
 def traverse_hops(spark: SparkSession, d: str) -> DataFrame:
-    return G.traverse(views.room_graph(spark, d), "r1", 4).select("room", "hop")
+    return G.traverse(views.room_graph(spark, d), "r1", 3).select("room", "hop")
 
 
 @query(

@@ -275,7 +275,8 @@ def encode_zettel(spark: SparkSession, d: str) -> DataFrame:
 # ── Entities ─────────────────────────────────────────────────────────────────
 
 _STOP = _list([*dict.fromkeys([*X.STOP_WORDS, *X.NO_NAMES])])
-_COMBINED = "firsts AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY note_id) AS nth FROM notes), whole AS (SELECT user_id, string_agg(substring(text, 1, 5000), chr(10) ORDER BY nth) AS text FROM firsts WHERE nth <= 10 GROUP BY user_id)"
+_COMBINED = "whole AS (SELECT user_id, string_agg(text, chr(10) ORDER BY note_id) AS text FROM notes GROUP BY user_id)"
+_FIRST_TEN = "firsts AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY note_id) AS nth FROM notes), whole AS (SELECT user_id, string_agg(substring(text, 1, 5000), chr(10) ORDER BY nth) AS text FROM firsts WHERE nth <= 10 GROUP BY user_id)"
 _CANDIDATES = f"""found AS (SELECT user_id, unnest(list_concat(regexp_extract_all(text, '\\b[A-Z][a-z]{{1,19}}\\b'), regexp_extract_all(text, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b'))) AS name FROM whole),
     cands AS (SELECT user_id, name, count(*) AS frequency FROM found WHERE len(list_filter(regexp_split_to_array(lower(name), '\\s+'), lambda w: list_contains({_STOP}, w))) = 0 GROUP BY user_id, name HAVING count(*) >= 3)"""
 
@@ -334,7 +335,7 @@ def classify_entities(spark: SparkSession, d: str) -> DataFrame:
 @query(
     sql(
         "notes",
-        f"""WITH {_DETECT} SELECT user_id, name, type, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, type ORDER BY CASE WHEN type = 'uncertain' THEN frequency ELSE confidence END DESC, frequency DESC, name) AS rank FROM classified)
+        f"""WITH {_DETECT.replace(_COMBINED, _FIRST_TEN)} SELECT user_id, name, type, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, type ORDER BY CASE WHEN type = 'uncertain' THEN frequency ELSE confidence END DESC, frequency DESC, name) AS rank FROM classified)
         WHERE rank <= CASE type WHEN 'person' THEN 15 WHEN 'project' THEN 10 ELSE 8 END""",
     )
 )
@@ -446,9 +447,15 @@ def research_classify(spark: SparkSession, d: str) -> DataFrame:
     return R.classify_pages(pages).select("word", "inferred_type", "confidence", "summary")
 
 
-@query(sql("notes", f"WITH {_DETECT} SELECT name, max(confidence) AS confidence, max(frequency) AS seen_count FROM classified WHERE type = 'person' AND confidence >= 0.75 AND name NOT IN ('Alice', 'Ally', 'Grace', 'Riley', 'Bob', 'Robert', 'Atlas', 'Nimbus') GROUP BY name"))
+_PARTS = "whole AS (SELECT user_id * 4 + note_id % 4 AS user_id, string_agg(text, chr(10) ORDER BY note_id) AS text FROM notes GROUP BY 1)"
+
+
+@query(sql("notes", f"WITH {_DETECT.replace(_COMBINED, _PARTS)} SELECT name, max(confidence) AS confidence, max(frequency) AS seen_count FROM classified WHERE type = 'person' AND confidence >= 0.75 AND name NOT IN ('Alice', 'Ally', 'Grace', 'Riley', 'Bob', 'Robert', 'Atlas', 'Nimbus') GROUP BY name"))
 def registry_learn(spark: SparkSession, d: str) -> DataFrame:
-    found = E.classify(_scores(spark, d))
+    """Each user's notes as four texts, in some of which people are addressed."""
+    notes = views.notes(spark, d).withColumn("user_id", F.col("user_id") * 4 + F.col("note_id") % 4)
+    whole = E.combined(notes, "user_id", "note_id")
+    found = E.classify(E.score(E.candidates(whole, "user_id"), whole, "user_id"))
     return R.learn(found, _people(spark), _projects(spark)).select("name", "confidence", "seen_count")
 
 

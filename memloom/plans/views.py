@@ -78,8 +78,9 @@ def diary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def room_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_orderkey <= 150")  # the fixture's definition: a graph in which a walk goes deep
-    return orders.select(F.concat(F.lit("w"), (F.col("o_custkey") % 97).cast("string")).alias("wing"), F.concat(F.lit("r"), (F.col("o_orderkey") % 61).cast("string")).alias("room"), F.col("o_orderkey").alias("ord"))
+    """Every order: its customer is the wing, its block of four order numbers the room, so that walks go deep."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.select(F.concat(F.lit("w"), F.col("o_custkey").cast("string")).alias("wing"), F.concat(F.lit("r"), F.floor(F.col("o_orderkey") / 4).cast("string")).alias("room"), F.col("o_orderkey").alias("ord"))
 
 
 def _pick(values: list[str], at: F.Column) -> F.Column:
@@ -116,7 +117,7 @@ SQL = {
       UNION ALL SELECT 'Supplier#' || s_suppkey, 'located_in', n_name, NULL, NULL FROM supplier JOIN nation ON s_nationkey = n_nationkey
       UNION ALL SELECT n_name, 'part_of', r_name, NULL, NULL FROM nation JOIN region ON n_regionkey = r_regionkey))""",
     "diary": "diary AS (SELECT 'user_' || user_id AS agent, event_type AS topic, props AS entry, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS filed_at, event_id AS ord FROM events)",
-    "room_graph": "room_graph AS (SELECT 'w' || (o_custkey % 97) AS wing, 'r' || (o_orderkey % 61) AS room, o_orderkey AS ord FROM orders WHERE o_orderkey <= 150)",
+    "room_graph": "room_graph AS (SELECT 'w' || o_custkey AS wing, 'r' || (o_orderkey // 4) AS room, o_orderkey AS ord FROM orders)",
     "notes": f"notes AS (SELECT event_id AS note_id, user_id, replace(replace({_TEXT}[event_id % 8 + 1], '{{U}}', {_LIST(NAMES)}[user_id % 6 + 1]), '{{P}}', {_LIST(PROJECTS)}[user_id % 3 + 1]) AS text FROM events)",
     "vectors": "vectors AS (SELECT vec_id AS id, 'w' || (label % 3) AS wing, CAST(label AS VARCHAR) AS room, embedding FROM embeddings)",
     "conv_messages": "conv_messages AS (SELECT conv_id, turn AS ord, role, text FROM conversations WHERE role IN ('user', 'assistant'))",
