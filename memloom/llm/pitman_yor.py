@@ -399,7 +399,7 @@ def score_corpus(docs: DataFrame, *, held_out: Column, prior: Prior = Prior()) -
     hot = hot_words(texts.select("text"))
 
     def dealt(scoring: bool) -> DataFrame:
-        return texts.transform(arrow_map, _messages(shards, hot, scoring), _MESSAGE).repartition(parts, "shard")
+        return texts.transform(arrow_map, _messages(shards, hot, scoring), _MESSAGE).repartitionById(parts, F.col("shard") % parts)
 
     sums = dealt(False).transform(arrow_map, _gather(shards, len(hot), prior), "block int, sums binary")
     found = {r["block"]: _sums_of(bytes(r["sums"])) for r in sums.repartition("block").transform(arrow_map, _summed, "block int, sums binary").collect()}  # _BLOCKS + 1 rows of fixed size
