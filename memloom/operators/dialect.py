@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from memloom.functions.lexicon import DECISION_WORDS, EMOTION_CODES, EMOTION_SIGNALS, EMOTIONAL_WORDS, FLAG_SIGNALS, STOP_WORDS
-from memloom.functions.text import SPACE, basename, col, contained, count_contained, let, round_half_up, trim
+from memloom.functions.text import SPACE, SPACES, basename, col, contained, count_contained, let, round_half_up, trim
 
 
 def emotions(text: Column | str) -> Column:
@@ -83,7 +83,7 @@ def compress(text: Column | str, *, source_file: Column | None = None, wing: Col
 
 def count_tokens(text: Column | str) -> Column:
     """Words times 1.3, rounded, one at least."""
-    words = F.size(F.filter(F.split(col(text), f"{SPACE}+"), lambda w: w != ""))
+    words = F.regexp_count(col(text), F.lit(f"[^{SPACES}]+"))
     return F.greatest(F.lit(1), F.floor(words * 1.3 + 0.5)).cast("long")
 
 
