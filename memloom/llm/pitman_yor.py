@@ -53,7 +53,7 @@ _BLOCKS = 512
 class Prior(NamedTuple):
     d: float = 0.8
     theta: float = 2.0
-    d0: float = 0.6
+    d0: float = 0.8
     theta0: float = 10.0
 
 
