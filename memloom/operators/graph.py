@@ -45,20 +45,20 @@ def suggest_rooms(nodes: DataFrame, start: str) -> DataFrame:
 def traverse(drawers: DataFrame, start: str, max_hops: int = 2) -> DataFrame:
     """Breadth-first: (room, hop, via) from a room; via: the wings, comma-joined, shared with the first room that reached it.
 
-    Among rooms of one hop the smaller name comes first. Each hop is a join of the frontier
+    Among rooms of one hop those that an earlier room reached come first, then the smaller
+    name: the order of their paths from the start, which needs no ranking. Each hop is a join of the frontier
     with the wings' rooms, so the work follows the edges; only whether a frontier is empty
     reaches the driver.
     """
     member = drawers.select("room", "wing").distinct()
-    seen = drawers.where(F.col("room") == start).select("room").distinct().select("room", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via"), F.lit(0).cast("long").alias("rank"))
+    seen = drawers.where(F.col("room") == start).select("room").distinct().select("room", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via"), F.array("room").alias("path"))
     frontier = seen
     for hop in range(1, max_hops + 1):
-        wings = frontier.select(F.col("room").alias("from_room"), "rank").join(member.withColumnRenamed("room", "from_room"), "from_room")
+        wings = frontier.select(F.col("room").alias("from_room"), "path").join(member.withColumnRenamed("room", "from_room"), "from_room")
         reached = wings.join(member, "wing").join(seen.select("room"), "room", "left_anti")
-        pairs = reached.groupBy("room", "rank", "from_room").agg(F.sort_array(F.collect_set("wing")).alias("shared"))
-        nearest = pairs.groupBy("room").agg(F.min_by("shared", F.struct("rank", "from_room")).alias("shared"), F.min("rank").alias("by"))
-        order = Window.orderBy("by", "room")  # a hop's rooms, in the order they are found
-        frontier = nearest.select("room", F.lit(hop).alias("hop"), F.array_join("shared", ",").alias("via"), F.row_number().over(order).cast("long").alias("rank"))
+        pairs = reached.groupBy("room", "path").agg(F.sort_array(F.collect_set("wing")).alias("shared"))
+        nearest = pairs.groupBy("room").agg(F.min_by("shared", "path").alias("shared"), F.min("path").alias("path"))
+        frontier = nearest.select("room", F.lit(hop).alias("hop"), F.array_join("shared", ",").alias("via"), F.concat("path", F.array("room")).alias("path"))
         frontier = frontier.persist()
         if frontier.isEmpty():
             break
