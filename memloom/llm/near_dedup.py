@@ -5,8 +5,9 @@ scatters a shingle to a position, the second, circularly shifted by k, ranks the
 for coordinate k. Bands of coordinates give candidate buckets. Within a bucket no pairs are
 listed beyond a constant number for each row: every member is compared with the bucket's
 smallest id, buckets of at most ``SMALL`` members are compared in full, and members of
-larger buckets that turn out to belong elsewhere are dealt anew by pairs of bands. All
-candidates are confirmed on their full shingle sets.
+larger buckets that turn out to belong elsewhere are dealt anew by pairs of bands. What
+then lies in a larger bucket of several components is joined exactly, by prefix filter on
+the shingles themselves. All candidates are confirmed on their full shingle sets.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.llm.components import connected_components
@@ -121,6 +122,48 @@ def _candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return star.unionAll(rest), dealt.where(F.col("c") > SMALL)
 
 
+def _shingles(k: int):
+    """Each document's set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_set(w.hashes[w.first[i] : w.first[i + 1]], k) for w in split_words(batch.column("text"), lower=True) for i in range(len(w.first) - 1)]
+            sizes = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([np.zeros(0, U64), *own]).view(np.int64)))], ["id", "shingles"])
+
+    return run
+
+
+def _left_apart(large: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of large buckets that hold several components -> (id, n, component), a row each."""
+    label = connected_components(links)
+    own = large.join(label, "id", "left").select("id", "n", "key", F.coalesce("component", "id").alias("component"))
+    mixed = own.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    return own.join(mixed, "key", "left_semi").select("id", "n", "component").distinct()
+
+
+def _exact_candidates(apart: DataFrame, texts: DataFrame, k: int, part: int, whole: int) -> DataFrame:
+    """(id, n, component) -> pairs (a, b) with a < b of different components, among them each that holds.
+
+    Sets of n shingles of which whole * intersection >= part * union have one of the first
+    n - ceil(part * n / whole) + 1 in common, whatever the order of all shingles; rare ones
+    come first here. At the first they share, what follows must suffice for both.
+    """
+    own = apart.join(texts.where("doc_id is not null").withColumnRenamed("doc_id", "id"), "id").select("id", "text").dropDuplicates(["id"])
+    rows = materialize(own.transform(arrow_map, _shingles(k), "id long, shingles array<long>").select("id", F.explode("shingles").alias("shingle")), "shingles")
+    common = materialize(rows.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"), "common")
+    by_id = Window.partitionBy("id")
+    placed = rows.join(common, "shingle").join(apart, "id")
+    placed = placed.withColumn("at", F.col("n") - F.count("*").over(by_id) + F.row_number().over(by_id.orderBy("c", "shingle")))  # those of one document alone come before
+    placed = placed.where(F.col("at") <= F.col("n") - F.expr(f"(n * {part} + {whole - 1}) div {whole}") + 1).select("shingle", "id", "n", "component", "at")
+    placed = materialize(placed, "prefixes")
+    a, b = (placed.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "component", "at"))) for x in "ab")
+    follow = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + 1
+    enough = follow * (whole + part) >= (F.col("n_a") + F.col("n_b")) * part
+    pairs = a.join(b, "shingle").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & enough)
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, *, k: int = 5, part: int = 75, whole: int = 100, bands: int = 32, rows: int = 4) -> DataFrame:
     """docs (doc_id long, text string, ...) -> (doc_id, n_shingles, component_id, kept), a row for each row of docs.
 
@@ -159,7 +202,11 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, part: int = 75, whole: int =
         rest = materialize(rest, "rest")
         if not rest.isEmpty():
             more, _ = _candidates(rest)
-            links = links.unionAll(materialize(_confirm(more, reps, texts, k, part, whole), "links"))
+            links = materialize(links.unionAll(_confirm(more, reps, texts, k, part, whole)), "links")
+            apart = materialize(_left_apart(large, links), "apart")
+            if not apart.isEmpty():
+                more = _exact_candidates(apart, texts, k, part, whole)
+                links = links.unionAll(materialize(_confirm(more, reps, texts, k, part, whole), "links"))
     label = connected_components(links)
     of_class = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = found.drop("keys").join(of_class, ["h1", "h2", "n_shingles"], "left")

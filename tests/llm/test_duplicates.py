@@ -71,6 +71,19 @@ def test_large_buckets_keep_their_links(spark):
     assert {x["doc_id"]: x["component_id"] for x in found} == {i: c for i, (_, c) in brute.near_duplicates(docs).items()}
 
 
+def test_links_beside_the_leader_are_found(spark):
+    """Copies with edits of their own in large buckets: some hold only with members that the leader has already."""
+    r = random.Random(1)
+    docs = {}
+    for i in range(300):
+        t = [f"w{j}" for j in range(160)]
+        for j in range(r.choice([2, 3, 4, 5, 6])):
+            t[r.randrange(160)] = f"x{i}_{j}"
+        docs[i] = " ".join(t)
+    found = N.near_duplicates(table(spark, docs.items())).collect()
+    assert {x["doc_id"]: x["component_id"] for x in found} == {i: c for i, (_, c) in brute.near_duplicates(docs).items()}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     same = "a b c d e f g"
     found = N.near_duplicates(table(spark, [(5, same), (5, same), (None, same), (3, same), (9, None)])).collect()
