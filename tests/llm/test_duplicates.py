@@ -84,6 +84,23 @@ def test_links_beside_the_leader_are_found(spark):
     assert {x["doc_id"]: x["component_id"] for x in found} == {i: c for i, (_, c) in brute.near_duplicates(docs).items()}
 
 
+def test_links_do_not_depend_on_the_second_deal(spark, monkeypatch):
+    """Pairs on one template, whose buckets stay large when dealt anew by a single further band."""
+    monkeypatch.setattr(N, "REDEALT", 1)
+    r = random.Random(1)
+    docs = {}
+    for i in range(0, 240, 2):
+        t = [f"w{j}" for j in range(160)]
+        for j in range(3):
+            t[r.randrange(160)] = f"p{i}_{j}"
+        docs[i] = " ".join(t)
+        for j in range(5):
+            t[r.randrange(160)] = f"q{i}_{j}"
+        docs[i + 1] = " ".join(t)
+    found = N.near_duplicates(table(spark, docs.items())).collect()
+    assert {x["doc_id"]: x["component_id"] for x in found} == {i: c for i, (_, c) in brute.near_duplicates(docs).items()}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     same = "a b c d e f g"
     found = N.near_duplicates(table(spark, [(5, same), (5, same), (None, same), (3, same), (9, None)])).collect()
