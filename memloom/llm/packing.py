@@ -1,14 +1,21 @@
 """Best-fit packing by a configuration linear program over the histogram of piece lengths.
 
 A configuration is a multiset of lengths that fits one sequence. The covering LP (as few
-configurations as can hold all pieces) is solved by multiplicative weights: each round, a
-knapsack dynamic program prices out the most valuable configuration under the current
-weights, takes some of it, and lowers the weights of the lengths it holds. The fractional
-solution is rounded down to whole sequences that never hold more pieces than there are, and
-what is left is placed best-fit decreasing, whole groups of equal sequences at a time.
-
-Only the histogram (as many numbers as the capacity) reaches the driver; the plan's size
-depends on the histogram's number of lengths and on ROUNDS, never on the number of documents.
+configurations as can hold all pieces) is solved by multiplicative weights, at two levels.
+Within a pass, a knapsack dynamic program prices configurations under the current weights;
+near-optimal ones that share no length take up to STEP of what their lengths still need, and
+the weights of the lengths that lag rise exponentially, until every piece is covered. From
+pass to pass, a length's weight is multiplied by the exponential of what is wasted in the
+configurations that hold it. The weights price every configuration, so they also bound the
+optimum from below; passes end when the best solution is within GAP of the bound.
+
+The fractional solution is rounded: each configuration is used as often as it says, rounded
+down, whether full or not, and then full ones once more, those of the largest fractions
+first. The LP is solved anew for the pieces left, until a solution places nothing more; the
+few pieces that remain are placed best-fit decreasing.
+
+Only the histogram (as many numbers as the capacity) reaches the driver; the work on it
+depends on its number of lengths, never on the number of documents.
 """
 
 from __future__ import annotations
@@ -16,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,54 +35,117 @@ from pyspark.sql import functions as F
 from memloom.llm.shared import arrow_map, materialize
 from memloom.llm.tokens import tokenizer
 
-#: Rounds of multiplicative weights, and the most by which one changes a length's coverage.
-ROUNDS, STEP = 300, 0.1
+#: Passes at most for the whole histogram and for what rounding leaves, and the gap to the bound that ends them.
+PASSES, LATER_PASSES, GAP = 6, 1, 0.0001
+#: The share of a length's pieces that one round covers at most.
+STEP = 0.5
+#: How strongly needs within a pass, and waste from pass to pass, change weights; how near the best a configuration must be.
+NEED, SHARP, WASTE, NEAR = 0.05, 3.0, 2.0, 0.005
+#: Configurations in a row that share a length with others of their round, after which it ends.
+MISSES = 30
+#: The share of the pieces left that one rounding places by rounding up.
+ROUNDED_UP = 0.4
 BATCH = 1000
 
 Configuration = tuple[tuple[int, int], ...]  # (length, copies), lengths descending
 
 
-def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable multiset of lengths (ascending) that fits the capacity, by dynamic programming."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    usable = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if n := usable[c]:
-            total = best[c - lengths[:n]] + values[:n]
-            if total[j := int(total.argmax())] > best[c]:
-                best[c], choice[c] = total[j], j
-    taken: dict[int, int] = defaultdict(int)
-    c = capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            taken[int(lengths[choice[c]])] += 1
-            c -= int(lengths[choice[c]])
-    return dict(taken)
-
-
-def solve_lp(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> dict[Configuration, float]:
-    """An approximate fractional solution: configurations and how often each is used, holding no length more often than there is."""
+class Knapsack:
+    """The most valuable multisets of lengths for every capacity up to the given one, by dynamic programming."""
+
+    def __init__(self, lengths: np.ndarray, values: np.ndarray, capacity: int) -> None:
+        worth = np.full(capacity, -np.inf)
+        worth[lengths - 1] = values
+        back, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)  # back: the best values, from the capacity down
+        for c in range(1, capacity + 1):
+            rest = capacity - c + 1
+            total = worth[:c] + back[rest:]
+            j = int(total.argmax())
+            if total[j] > back[rest]:
+                back[rest - 1], choice[c] = total[j], j + 1
+            else:
+                back[rest - 1] = back[rest]
+        self.best, self.choice = back[::-1], choice.tolist()
+
+    def multiset(self, capacity: int) -> dict[int, int]:
+        taken: dict[int, int] = {}
+        while capacity > 0:
+            if length := self.choice[capacity]:
+                taken[length] = taken.get(length, 0) + 1
+                capacity -= length
+            else:
+                capacity -= 1
+        return taken
+
+
+def fill(config: Configuration) -> int:
+    return sum(length * copies for length, copies in config)
+
+
+class Solution(NamedTuple):
+    """A fractional cover: how often each configuration is used, so that each length is held as often as there is; no cover is smaller than bound."""
+
+    used: dict[Configuration, float]
+    bound: float
+    weights: dict[int, float]
+
+    @property
+    def value(self) -> float:
+        return sum(self.used.values())
+
+
+def _pass(lengths: np.ndarray, counts: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[dict[Configuration, float], float]:
+    """One pass of multiplicative weights over all pieces: the configurations used, and the best bound that its prices give."""
+    place = np.zeros(capacity + 1, np.int64)
+    place[lengths] = np.arange(len(lengths))
+    left, used, bound = counts.copy(), defaultdict(float), 0.0
+    while len(live := np.flatnonzero(left > 1e-9 * counts)):
+        need = left[live] / counts[live]
+        values = lengths[live] * weights[live] * (1 + NEED * (lengths[live] / capacity + np.exp(SHARP * (need - need.max()))))
+        priced = Knapsack(lengths[live], values, capacity)
+        best = priced.best[capacity]
+        bound = max(bound, float(counts[live] @ values) / best)
+        worth = values + priced.best[capacity - lengths[live]]  # of the best configuration that holds a length
+        near = np.flatnonzero(worth >= best * (1 - NEAR))
+        taken, misses = np.zeros(len(lengths), bool), 0
+        for i in live[near][np.argsort(-worth[near], kind="stable")]:
+            if taken[i]:
+                continue
+            length = int(lengths[i])
+            config = priced.multiset(capacity - length)
+            config[length] = config.get(length, 0) + 1
+            at, copies = place[list(config)], np.array(list(config.values()), float)
+            if taken[at].any():
+                misses += 1
+                if misses == MISSES:
+                    break
+                continue
+            misses, taken[at] = 0, True
+            much = float((np.minimum(left[at], STEP * counts[at]) / copies).min())
+            left[at] -= much * copies
+            used[tuple(sorted(config.items(), reverse=True))] += much
+    return dict(used), bound
+
+
+def solve_lp(histogram: dict[int, int], capacity: int, *, passes: int = PASSES, gap: float = GAP, weights: dict[int, float] | None = None) -> Solution:
+    """The configuration LP by multiplicative weights, from the given weights of lengths (1 for each)."""
     lengths = np.array(sorted(histogram))
     counts = np.array([histogram[int(x)] for x in lengths], float)
-    held, found = np.zeros(len(lengths)), defaultdict(float)
-    for _ in range(rounds):
-        share = held / counts
-        values = np.exp(-(share - share.min()) / STEP * 4) * lengths  # a length's weight times what it fills
-        taken = knapsack(lengths, values, capacity)
-        if not taken:
-            break
-        at = np.searchsorted(lengths, list(taken))
-        copies = np.array(list(taken.values()), float)
-        much = STEP * (counts[at] / copies).min()
-        held[at] += much * copies
-        found[tuple(sorted(taken.items(), reverse=True))] += much
-        if (held >= counts).all():
+    now = np.array([(weights or {}).get(int(x), 1.0) for x in lengths])
+    bound, best, value, found = float(counts @ lengths / capacity), now, np.inf, {}
+    for _ in range(passes):
+        used, proved = _pass(lengths, counts, now, capacity)
+        bound = max(bound, proved)
+        if (total := sum(used.values())) < value:
+            best, value, found = now, total, used
+        if value <= bound * (1 + gap):
             break
-    over = max(1.0, float((held / counts).max())) if len(counts) else 1.0
-    return {c: x / over for c, x in found.items()}
+        waste = np.zeros(capacity + 1)
+        for config, times in used.items():
+            for length, copies in config:
+                waste[length] += times * copies * (1 - fill(config) / capacity)
+        now = now * np.exp(WASTE * waste[lengths] / counts)
+    return Solution(found, bound, dict(zip(lengths.tolist(), best.tolist(), strict=True)))
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> dict[Configuration, int]:
@@ -110,27 +181,44 @@ def best_fit(histogram: dict[int, int], capacity: int) -> dict[Configuration, in
     return dict(out)
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int) -> list[tuple[Configuration, int]]:
-    """Whole configurations that hold each length exactly as often as the histogram says."""
+class Plan(NamedTuple):
+    """Whole configurations that hold each length exactly as often as there is; bound: no plan has fewer sequences; by_lp: pieces that the LP's configurations hold."""
+
+    sequences: list[tuple[Configuration, int]]
+    bound: float
+    by_lp: int
+
+
+def plan_sequences(histogram: dict[int, int], capacity: int) -> Plan:
     left = {x: n for x, n in histogram.items() if n}
-    fill = lambda c: sum(x * n for x, n in c)
     plan: dict[Configuration, int] = defaultdict(int)
-    solution = solve_lp(left, capacity) if len(left) > 1 else {}
-    for config, times in sorted(solution.items(), key=lambda x: (-fill(x[0]), x[0])):
-        if fill(config) < capacity:
-            continue  # what is not full is left to best fit
-        whole = min(int(times), *(left.get(x, 0) // n for x, n in config))
-        if whole > 0:
-            plan[config] += whole
+    bound, by_lp, weights = 0.0, 0, None
+
+    def take(config: Configuration, times: int) -> int:
+        """Use a configuration so often, as far as there are pieces; how many it takes."""
+        times = min(times, *(left[x] // n for x, n in config))
+        if times:
+            plan[config] += times
             for x, n in config:
-                left[x] -= whole * n
-    rest = best_fit({x: n for x, n in left.items() if n}, capacity)
-    alone = best_fit({x: n for x, n in histogram.items() if n}, capacity)
-    if sum(alone.values()) < sum(plan.values()) + sum(rest.values()):
-        return sorted(alone.items())
-    for config, n in rest.items():
-        plan[config] += n
-    return sorted(plan.items())
+                left[x] -= times * n
+        return times * sum(n for _, n in config)
+
+    while left:
+        found = solve_lp(left, capacity, weights=weights, passes=PASSES if weights is None else LATER_PASSES)
+        bound, weights, pieces = max(bound, found.bound), found.weights, sum(left.values())
+        placed = sum(take(c, int(x + 1e-9)) for c, x in found.used.items())  # at most what there is, as the solution holds no more
+        partly = [(-(x - int(x)), c) for c, x in found.used.items() if x - int(x) > 1e-9 and fill(c) == capacity]
+        for _, config in sorted(partly):
+            if placed > ROUNDED_UP * pieces:
+                break
+            placed += take(config, 1)
+        left = {x: n for x, n in left.items() if n}
+        by_lp += placed
+        if not placed:
+            break
+    for config, times in best_fit(left, capacity).items():
+        plan[config] += times
+    return Plan(sorted(plan.items()), bound, by_lp)
 
 
 def _slots(plan: list[tuple[Configuration, int]]) -> np.ndarray:
@@ -184,7 +272,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, kind: str = "byte", end_id: in
     made = materialize(made, "pieces")
     counts = made.groupBy("length", "task").agg(F.count("*").alias("n"))
     histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    slots = _slots(plan_sequences(histogram, capacity))
+    slots = _slots(plan_sequences(histogram, capacity).sequences)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
     base = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     keys = slots[:, 0] * (1 << 50) + slots[:, 1]

@@ -116,7 +116,7 @@ def test_pack(spark):
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 200), min_size=1, max_size=12))
 def test_plans_hold_every_piece(histogram):
-    for plan in (P.plan_sequences(histogram, 40), sorted(P.best_fit(histogram, 40).items())):
+    for plan in (P.plan_sequences(histogram, 40).sequences, sorted(P.best_fit(histogram, 40).items())):
         held = defaultdict(int)
         for config, times in plan:
             assert sum(x * n for x, n in config) <= 40
@@ -133,6 +133,34 @@ def test_knapsack_is_exact():
         best = [0.0] * 21
         for c in range(1, 21):
             best[c] = max([best[c - 1], *(best[c - x] + v for x, v in zip(lengths, values, strict=True) if x <= c)])
-        taken = P.knapsack(lengths, values, 20)
+        taken = P.Knapsack(lengths, values, 20).multiset(20)
         assert sum(x * n for x, n in taken.items()) <= 20
         assert abs(sum(values[list(lengths).index(x)] * n for x, n in taken.items()) - best[20]) < 1e-9
+
+
+def histogram_of(sf: str) -> dict[int, int]:
+    import duckdb
+
+    own, found = tokenizer(BYTE, "byte"), defaultdict(int)
+    for (text,) in duckdb.sql(f"SELECT text FROM '/root/testdata/{sf}/documents.parquet'").fetchall():
+        n = len(own.encode([text])[0]) // 4 + 1
+        found[(n - 1) % 1024 + 1] += 1
+        found[1024] += (n - 1) // 1024
+    return {x: n for x, n in found.items() if n}
+
+
+@pytest.mark.parametrize(("sf", "times"), [("sf0.01", 1), ("sf0.01", 500), ("sf0.1", 1), ("sf0.1", 500)])
+def test_the_linear_program_places_the_pieces(sf, times):
+    """Nearly all of them, in no more sequences than best fit alone, and close to what no plan can beat."""
+    histogram = {x: n * times for x, n in histogram_of(sf).items()}
+    plan = P.plan_sequences(histogram, 1024)
+    n = sum(times for _, times in plan.sequences)
+    assert plan.by_lp >= 0.95 * sum(histogram.values())
+    assert n <= sum(P.best_fit(histogram, 1024).values())
+    assert plan.bound <= n <= 1.002 * plan.bound + 1
+
+
+def test_the_bound_holds_where_sizes_do_not_tell():
+    """Pieces of which no two fit together need a sequence each."""
+    found = P.solve_lp({60: 50, 55: 70}, 100)
+    assert abs(found.value - 120) < 1e-6 and 119 <= found.bound <= 120 + 1e-6
