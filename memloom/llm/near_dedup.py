@@ -7,7 +7,8 @@ listed beyond a constant number for each row: every member is compared with the
 smallest id, buckets of at most ``SMALL`` members are compared in full, and members of
 larger buckets that turn out to belong elsewhere are dealt anew by pairs of bands. What
 then lies in a larger bucket of several components is joined exactly, by prefix filter on
-the shingles themselves. All candidates are confirmed on their full shingle sets.
+the shingles themselves. All candidates are confirmed on their full shingle sets, and those
+of a document with many partners are spread over many tasks.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from memloom.llm.words import U64, mix, shingle_set, split_words
 SMALL = 12
 #: Further bands with which each unresolved member of a large bucket is dealt anew.
 REDEALT = 8
+#: Pairs of one document that are confirmed in one group; a document with more is copied to further groups.
+SPREAD = 200
 _BLOCK = 512
 
 
@@ -111,15 +114,15 @@ def _verified(k: int, part: int, whole: int):
 
 
 def _candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members (id, n, key, ...) -> pairs (a, b) with a < b, and the members of large buckets with their leader."""
-    buckets = members.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("leader")).where("c > 1")
-    dealt = members.join(buckets, "key")
-    star = dealt.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    """members (id, n, key, ...) -> pairs (a, na, b, nb) with a < b, and the members of large buckets with their leader."""
+    buckets = members.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("first")).where("c > 1")
+    dealt = members.join(buckets, "key").withColumn("leader", F.col("first.id"))
+    star = dealt.where("id <> leader").select(F.col("leader").alias("a"), F.col("first.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
     small = dealt.where((F.col("c") > 2) & (F.col("c") <= SMALL) & (F.col("id") != F.col("leader")))
-    small = small.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most SMALL of them
-    rest = small.select("ids", F.posexplode("ids").alias("at", "a"))
-    rest = rest.select("a", F.explode(F.slice("ids", F.col("at") + 2, F.lit(SMALL))).alias("b"))
-    return star.unionAll(rest), dealt.where(F.col("c") > SMALL)
+    small = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("ids"))  # at most SMALL of them
+    rest = small.select("ids", F.posexplode("ids").alias("at", "one"))
+    rest = rest.select("one", F.explode(F.slice("ids", F.col("at") + 2, F.lit(SMALL))).alias("other"))
+    return star.unionAll(rest.select(F.col("one.id").alias("a"), F.col("one.n").alias("na"), F.col("other.id").alias("b"), F.col("other.n").alias("nb"))), dealt.where(F.col("c") > SMALL).drop("first")
 
 
 def _shingles(k: int):
@@ -143,11 +146,14 @@ def _left_apart(large: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _exact_candidates(apart: DataFrame, texts: DataFrame, k: int, part: int, whole: int) -> DataFrame:
-    """(id, n, component) -> pairs (a, b) with a < b of different components, among them each that holds.
-
-    Sets of n shingles of which whole * intersection >= part * union have one of the first
-    n - ceil(part * n / whole) + 1 in common, whatever the order of all shingles; rare ones
-    come first here. At the first they share, what follows must suffice for both.
+    """(id, n, component) -> pairs (a, na, b, nb) of different components, among them each that holds.
+
+    Shingles are ordered by rarity. Sets with whole * intersection >= part * union share one
+    of the first n - ceil(part * n / whole) + 1 of the larger set and one of the first
+    n - ceil(2 * part * n / (whole + part)) + 1 of the smaller one; at the first that they
+    share, what follows must suffice for both. Shingles of one component alone are left out,
+    and members of a shingle's largest component meet only the others that have it, so a
+    group of near copies costs no more than its number.
     """
     own = apart.join(texts.where("doc_id is not null").withColumnRenamed("doc_id", "id"), "id").select("id", "text").dropDuplicates(["id"])
     rows = materialize(own.transform(arrow_map, _shingles(k), "id long, shingles array<long>").select("id", F.explode("shingles").alias("shingle")), "shingles")
@@ -155,13 +161,19 @@ def _exact_candidates(apart: DataFrame, texts: DataFrame, k: int, part: int, who
     by_id = Window.partitionBy("id")
     placed = rows.join(common, "shingle").join(apart, "id")
     placed = placed.withColumn("at", F.col("n") - F.count("*").over(by_id) + F.row_number().over(by_id.orderBy("c", "shingle")))  # those of one document alone come before
-    placed = placed.where(F.col("at") <= F.col("n") - F.expr(f"(n * {part} + {whole - 1}) div {whole}") + 1).select("shingle", "id", "n", "component", "at")
-    placed = materialize(placed, "prefixes")
-    a, b = (placed.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "component", "at"))) for x in "ab")
+    within = lambda over, under: F.col("at") <= F.col("n") - F.expr(f"(n * {over} + {under - 1}) div {under}") + 1
+    placed = materialize(placed.where(within(part, whole)).select("shingle", "id", "n", "component", "at"), "prefixes")
+    owners = placed.groupBy("shingle", "component").agg(F.count("*").alias("c"))
+    owners = owners.groupBy("shingle").agg(F.count("*").alias("owners"), F.max_by("component", F.struct("c", "component")).alias("largest")).where("owners > 1")
+    shared = materialize(placed.join(owners, "shingle").withColumn("main", (F.col("component") == F.col("largest")).cast("int")).drop("owners", "largest"), "shared")
+    ends = lambda df, x: df.select("shingle", "meets", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "component", "at")))
+    smaller = ends(shared.where(within(2 * part, whole + part)).withColumn("meets", F.explode(F.when(F.col("main") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))), "a")
+    larger = ends(shared.withColumn("meets", F.col("main")), "b")
     follow = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + 1
     enough = follow * (whole + part) >= (F.col("n_a") + F.col("n_b")) * part
-    pairs = a.join(b, "shingle").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & enough)
-    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    in_order = F.struct("n_a", "id_a") < F.struct("n_b", "id_b")
+    pairs = smaller.join(larger, ["shingle", "meets"]).where(in_order & (F.col("component_a") != F.col("component_b")) & enough)
+    return pairs.select(F.col("id_a").alias("a"), F.col("n_a").alias("na"), F.col("id_b").alias("b"), F.col("n_b").alias("nb"))
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, part: int = 75, whole: int = 100, bands: int = 32, rows: int = 4) -> DataFrame:
@@ -186,7 +198,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, part: int = 75, whole: int =
     members = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("keys").alias("band", "key"))
 
     pairs, large = _candidates(members)
-    links = materialize(_confirm(pairs, reps, texts, k, part, whole), "links")
+    links = materialize(_confirm(pairs, texts, k, part, whole), "links")
     large = materialize(large, "large")
     if not large.isEmpty():
         # Members of a large bucket that were not joined with its leader may still be linked with one another.
@@ -202,11 +214,11 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, part: int = 75, whole: int =
         rest = materialize(rest, "rest")
         if not rest.isEmpty():
             more, _ = _candidates(rest)
-            links = materialize(links.unionAll(_confirm(more, reps, texts, k, part, whole)), "links")
+            links = materialize(links.unionAll(_confirm(more, texts, k, part, whole)), "links")
             apart = materialize(_left_apart(large, links), "apart")
             if not apart.isEmpty():
                 more = _exact_candidates(apart, texts, k, part, whole)
-                links = links.unionAll(materialize(_confirm(more, reps, texts, k, part, whole), "links"))
+                links = links.unionAll(materialize(_confirm(more, texts, k, part, whole), "links"))
     label = connected_components(links)
     of_class = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = found.drop("keys").join(of_class, ["h1", "h2", "n_shingles"], "left")
@@ -215,13 +227,34 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, part: int = 75, whole: int =
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, part: int, whole: int) -> DataFrame:
-    """Pairs that hold on full sets. Texts are dealt by id once and joined to both ends of each pair."""
-    size = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
-    pairs = pairs.distinct()
-    pairs = pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = pairs.where(F.least("na", "nb") * whole >= F.greatest("na", "nb") * part).select("a", "b")
+def _confirm(pairs: DataFrame, texts: DataFrame, k: int, part: int, whole: int) -> DataFrame:
+    """Pairs (a, na, b, nb) that hold on full sets. A document with many partners goes to a group for each SPREAD of them."""
+    pairs = pairs.where(F.least("na", "nb") * whole >= F.greatest("na", "nb") * part).select("a", "b").distinct()
+    pairs = materialize(pairs, "pairs")
+    many = pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > SPREAD).select("a", F.ceil(F.col("c") / SPREAD).alias("groups"))
+    pairs = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1))).alias("group"))
     texts = texts.where("doc_id is not null")
     second = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    both = second.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    first = pairs.select("a", "group").distinct().join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    both = second.join(first.hint("merge"), ["a", "group"])
     return both.select("a", "text_a", "b", "text_b").transform(arrow_map, _verified(k, part, whole), "a long, b long").distinct()
+
+
+def keep_one_of_each(docs: DataFrame, **how: int) -> DataFrame:
+    """The rows of docs, all columns, of the document with the smallest doc_id of each group of near copies.
+
+    Of rows that repeat a doc_id the one with the least text stays (null first). Rows with
+    a null doc_id stay, all of them.
+    """
+    found = near_duplicates(docs, **how)
+    dropped = found.where("doc_id is not null and not kept").select("doc_id").distinct()
+    again = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    own = F.col("doc_id").cast("long")
+    stay = docs.join(dropped.withColumnRenamed("doc_id", "dropped_doc_id"), own == F.col("dropped_doc_id"), "left_anti")
+    if again.isEmpty():
+        return stay
+    again = again.withColumnRenamed("doc_id", "repeated_doc_id")
+    once = stay.join(again, own == F.col("repeated_doc_id"), "left_anti")
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNotNull(), "text")).alias("row")
+    rows = stay.join(again, own == F.col("repeated_doc_id"), "left_semi").groupBy(own).agg(first).select("row.*")
+    return once.unionByName(rows)
