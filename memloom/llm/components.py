@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.shared import materialize
+from memloom.llm.shared import drop, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = materialize(edges, "edges")
     seen = _mark(edges)
     while seen[0]:
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, materialize(_small_star(_large_star(edges)), "edges")
+        drop(before)
         now = _mark(edges)
         if now == seen:
             break

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from memloom.llm import near_dedup as N
 from memloom.llm import substring_dedup as S
 from memloom.llm.components import connected_components
-from memloom.llm.decontaminate import contamination
+from memloom.llm.decontaminate import contamination, drop_leaked
 from tests.llm import brute
 
 ROW = "doc_id long, text string, key string, n string, part string, spans2 string, kept string, a string, component string"
@@ -101,6 +101,42 @@ def test_links_do_not_depend_on_the_second_deal(spark, monkeypatch):
     assert {x["doc_id"]: x["component_id"] for x in found} == {i: c for i, (_, c) in brute.near_duplicates(docs).items()}
 
 
+def test_pairs_in_a_family_of_templates(spark):
+    """Documents on one template, 0.72 alike, of which pairs are 0.81 alike: each pair is found, and nothing else."""
+    r = random.Random(11)
+    docs = {}
+    for i in range(0, 1600, 2):
+        t = [f"w{j}" for j in range(160)]
+        for j in (10, 25, 40, 55, 70):
+            t[j] = f"p{i}_{j}"
+        docs[i] = " ".join(t)
+        for j in r.sample(range(80, 155, 8), 3):
+            t[j] = f"q{i}"
+        docs[i + 1] = " ".join(t)
+    sets = {i: brute.shingle_set(docs[i]) for i in (0, 1, 2, 3)}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert alike(0, 1) >= 0.75 > max(alike(0, 2), alike(0, 3), alike(1, 3))
+    found = N.near_duplicates(table(spark, docs.items())).collect()
+    assert {x["doc_id"]: x["component_id"] for x in found} == {i: i - i % 2 for i in docs}
+
+
+def test_a_document_with_many_partners_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(N, "SPREAD", 7)
+    base = [f"w{i}" for i in range(100)]
+    docs = {i: " ".join(base[:50] + [f"x{i}"] + base[51:]) for i in range(60)}
+    found = N.near_duplicates(table(spark, docs.items())).collect()
+    assert {x["component_id"] for x in found} == {0}
+
+
+def test_one_row_of_each_document_stays(spark):
+    same = "a b c d e f g"
+    rows = [(5, same), (None, same), (3, same), (3, same), (3, None), (9, None), (8, "b c"), (8, "a c")]
+    found = N.keep_one_of_each(table(spark, rows))
+    assert found.columns == table(spark, rows).columns
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in found.collect()) == [(-1, same), (3, ""), (8, "a c"), (9, "")]
+    assert N.keep_one_of_each(table(spark, [])).count() == 0
+
+
 def test_near_duplicates_of_odd_rows(spark):
     same = "a b c d e f g"
     found = N.near_duplicates(table(spark, [(5, same), (5, same), (None, same), (3, same), (9, None)])).collect()
@@ -176,6 +212,27 @@ def test_contamination(spark, seed):
     assert {x["doc_id"]: (x["n_words"], x["n_hit"], x["items_sha256"], x["contaminated"]) for x in found} == brute.contamination(docs, items)
 
 
+def test_contamination_by_a_benchmark_too_large_to_broadcast(spark):
+    docs = corpus(3) | {1000: "first words " + corpus(3)[20]}
+    items = {i: "; ".join(brute.bench_words(docs[20 + i])[:15]) or None for i in range(40)}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = contamination(table(spark, docs.items()), bench, broadcast=0).collect()
+    assert {x["doc_id"]: (x["n_words"], x["n_hit"], x["items_sha256"], x["contaminated"]) for x in found} == brute.contamination(docs, items)
+
+
+def test_leaked_documents_go_however_long(spark):
+    item = " ".join(f"q{i}" for i in range(15))
+    bench = spark.createDataFrame([(1, item), (2, "two words")], "item_id long, text string")
+    long = " ".join(f"w{i}" for i in range(5000))
+    rows = [(1, f"{long} {item} {long}"), (2, long), (None, f"x {item}"), (None, "clean"), (3, None), (4, "two words"), (5, f"two words {long}"), (6, "")]
+    docs = table(spark, rows)
+    for limit in (0, 1000):
+        found = drop_leaked(docs, bench, broadcast=limit)
+        assert found.columns == docs.columns
+        assert sorted((r["doc_id"] or -1, (r["text"] or "")[:9]) for r in found.collect()) == [(-1, "clean"), (2, long[:9]), (3, ""), (5, "two words"), (6, "")]
+    assert drop_leaked(docs, bench.limit(0)).count() == len(rows) and drop_leaked(docs.limit(0), bench).count() == 0
+
+
 def test_contamination_of_odd_rows(spark):
     item = " ".join(f"q{i}" for i in range(15))
     bench = spark.createDataFrame([(1, item), (None, "lone")], "item_id long, text string")
