@@ -4,6 +4,11 @@ One Aho-Corasick automaton finds the magic bytes of all formats in a single pass
 blob; each hit is then handed to its format's validator, which walks the structure (chunk
 lengths, checksums, block chains) and returns the exact length of the media, or nothing.
 Only validated media count, so magic bytes that occur in ordinary text change nothing.
+
+A blob is sniffed in time linear in its length: what a format searches for is located once
+for all its hits, and validators that walk from hit to hit share an allowance of EFFORT
+steps for each byte of the blob. Only a blob made to exhaust it (thousands of overlapping,
+nearly whole media) has later hits left unconfirmed.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import ahocorasick
@@ -25,6 +31,8 @@ from memloom.llm.shared import arrow_map
 #: Rows that are held as Python objects at a time.
 BATCH = 256
 ROW = 576
+#: Bytes and steps that the validators of one blob may spend, for each of its bytes.
+EFFORT = 256
 
 
 class Media(NamedTuple):
@@ -33,12 +41,40 @@ class Media(NamedTuple):
     length: int
 
 
-def _png(b: bytes, at: int) -> int | None:
+class Seen:
+    """What is known of one blob: places found so far, and the steps spent."""
+
+    def __init__(self, b: bytes) -> None:
+        self.b, self.spent, self.allowed = b, 0, EFFORT * (len(b) + 4096)
+        self.last: dict[bytes, int] = {}
+
+    def find(self, mark: bytes, at: int) -> int:
+        """The first place of mark at or after at, or -1; calls come with ascending at."""
+        if mark not in self.last or 0 <= self.last[mark] < at:
+            self.last[mark] = self.b.find(mark, at)
+        return self.last[mark]
+
+    @cached_property
+    def archives(self) -> dict[int, int]:
+        """The ends of zip archives by their starts, which each end record tells."""
+        out: dict[int, int] = {}
+        b, end = self.b, self.b.find(b"PK\x05\x06")
+        while 0 <= end <= len(b) - 22:
+            size, start, note = struct.unpack_from("<IIH", b, end + 12)
+            at = end - size - start
+            if at >= 0 and b[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(b):
+                out.setdefault(at, end + 22 + note)
+            end = b.find(b"PK\x05\x06", end + 1)
+        return out
+
+
+def _png(b: bytes, at: int, seen: Seen) -> int | None:
     p, first = at + 8, True
     while p + 12 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, p)
         if p + 12 + n > len(b) or first and (kind != b"IHDR" or n != 13):
             return None
+        seen.spent += n + 12
         if zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
             return None
         p, first = p + 12 + n, False
@@ -48,24 +84,25 @@ def _png(b: bytes, at: int) -> int | None:
 
 
 def _riff(form: bytes):
-    def check(b: bytes, at: int) -> int | None:
+    def check(b: bytes, at: int, seen: Seen) -> int | None:
         if len(b) < at + 12 or b[at + 8 : at + 12] != form:
             return None
         end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
         if end > len(b):
             return None
-        p, seen = at + 12, set()
+        p, chunks = at + 12, set()
         while p + 8 <= end:
             kind, n = struct.unpack_from("<4sI", b, p)
-            seen.add(kind)
+            seen.spent += 8
+            chunks.add(kind)
             p += 8 + n + n % 2
         need = {b"fmt ", b"data"} if form == b"WAVE" else set()
-        return end - at if p in (end, end + 1) and seen >= need and seen else None
+        return end - at if p in (end, end + 1) and chunks >= need and chunks else None
 
     return check
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _bmp(b: bytes, at: int, seen: Seen) -> int | None:
     if len(b) < at + 54:
         return None
     size, zero, start, header, width, height, planes, bits, packing = struct.unpack_from("<IIIIiiHHI", b, at + 2)
@@ -76,7 +113,7 @@ def _bmp(b: bytes, at: int) -> int | None:
     return size
 
 
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(b: bytes, at: int, seen: Seen) -> int | None:
     if len(b) < at + 14:
         return None
     p = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
@@ -90,12 +127,13 @@ def _gif(b: bytes, at: int) -> int | None:
         else:
             return None
         while p < len(b) and b[p]:
+            seen.spent += 8
             p += 1 + b[p]
         p += 1
     return None
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
+def _jpeg(b: bytes, at: int, seen: Seen) -> int | None:
     p, frame = at + 2, False
     while p + 4 <= len(b) and b[p] == 0xFF:
         marker = b[p + 1]
@@ -111,7 +149,8 @@ def _jpeg(b: bytes, at: int) -> int | None:
         p += 2 + n
         if marker == 0xDA:  # entropy-coded data: up to a marker that is no restart and no stuffed byte
             while True:
-                p = b.find(b"\xff", p)
+                start, p = p, b.find(b"\xff", p)
+                seen.spent += (p if p >= 0 else len(b)) - start + 8
                 if p < 0 or p + 1 >= len(b):
                     return None
                 if b[p + 1] == 0xD9:
@@ -125,36 +164,35 @@ def _jpeg(b: bytes, at: int) -> int | None:
     return None
 
 
-def _gzip(b: bytes, at: int) -> int | None:
+def _gzip(b: bytes, at: int, seen: Seen) -> int | None:
     if len(b) < at + 18 or b[at + 3] & 0xE0:
         return None
     expand = zlib.decompressobj(31)
     try:
         data = memoryview(b)[at:]
         for i in range(0, len(data), 1 << 16):
-            expand.decompress(data[i : i + (1 << 16)])
+            part = data[i : i + (1 << 16)]
+            while part and not expand.eof and seen.spent <= seen.allowed:
+                seen.spent += len(part) + len(expand.decompress(part, 1 << 20)) // 16  # no more at a time, whatever it expands to
+                part = expand.unconsumed_tail
             if expand.eof:
                 return min(i + (1 << 16), len(data)) - len(expand.unused_data)
+            if seen.spent > seen.allowed:
+                break
     except zlib.error:
         pass
     return None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
+def _pdf(b: bytes, at: int, seen: Seen) -> int | None:
     if not b[at + 5 : at + 6].isdigit():
         return None
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+    end, table = seen.find(b"%%EOF", at), seen.find(b"startxref", at)
+    return end + 5 - at if 0 <= table <= end - 9 else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
-        size, start, note = struct.unpack_from("<IIH", b, end + 12)
-        if start + size == end - at and b[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(b):
-            return end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 1)
-    return None
+def _zip(b: bytes, at: int, seen: Seen) -> int | None:
+    return seen.archives[at] - at if at in seen.archives else None
 
 
 #: Magic bytes, media type, validator.
@@ -186,12 +224,12 @@ _AUTOMATON = _automaton()
 
 def sniff(blob: bytes) -> list[Media]:
     """Validated media in the blob, in order; what lies inside one of them is part of it."""
-    found, done = [], 0
+    found, done, seen = [], 0, Seen(blob)
     for last, (n, checks) in _AUTOMATON.iter(blob.decode("latin-1")):
         at = last + 1 - n
         if at >= done:
             for kind, check in checks:
-                if length := check(blob, at):
+                if seen.spent <= seen.allowed and (length := check(blob, at, seen)):
                     found.append(Media(kind, at, length))
                     done = at + length
                     break

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import time
 import zipfile
 import zlib
 
@@ -90,6 +91,24 @@ def test_many_in_one_blob_and_false_alarms():
     assert M.detect(b"text", "image/png") == ("application/octet-stream", []) and M.detect(b"text", "text/plain")[0] == "text/plain"
 
 
+@pytest.mark.parametrize(
+    "unit",
+    [b"%PDF-1 ", b"PK\x03\x04 ", b"GIF89a" + bytes(7) + b"!\0\x01x", SAMPLES["application/gzip"][:-9], SAMPLES["image/png"][:33] + b"\0\x04\0\0IDAT", b"\xff\xd8\xff\xda\0\x02", b"%PDF-1 startxref ", b"RIFF\x10\x27\0\0WAVE", b"PK\x03\x04PK\x05\x06" + bytes(18)],
+)
+def test_hostile_blobs_take_little_time(unit):
+    blob = unit * (560_000 // len(unit))
+    start = time.perf_counter()
+    M.sniff(blob)
+    assert time.perf_counter() - start < 3
+    good = SAMPLES["image/bmp"]
+    assert M.sniff(good + blob)[0] == ("image/bmp", 0, len(good))
+
+
+def test_gzip_that_expands_a_thousandfold_is_measured_whole():
+    b = zlib.compress(bytes(20_000_000), wbits=31)
+    assert M.sniff(b"x" + b + b"y") == [("application/gzip", 1, len(b))]
+
+
 def test_payloads_come_back(spark):
     texts = [None, "", "a" * 576, "a" * 577, "é" * 400, "BM RIFF \x00 GIF89a", "w " * 60_000, "same", "same"]
     df = spark.createDataFrame([(i if i else None, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, record string, declared string")
