@@ -261,33 +261,32 @@ def _cut(window: int):
     return run
 
 
-def _replace(window: int):
-    """Texts that lost words become the words kept; the spans column goes."""
+def _replace(window: int, names: list[str]):
+    """(row, spans) -> the rows; texts that lost words become the words kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            row = batch.column("row")
+            texts = row.field("text").to_pylist()
             for i, spans in enumerate(batch.column("spans").to_pylist()):
                 if spans:
                     texts[i] = _kept(spans, texts[i], window)[2].decode()
-            names = [n for n in batch.schema.names if n != "spans"]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else row.field(n) for n in names], names)
 
     return run
 
 
-def _with_spans(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """docs and a column spans: the covered stretches of each row's document, as start << 32 | number of windows."""
-    known = docs.where("doc_id is not null")
-    texts = known.select("doc_id", "text")
+def _with_spans(texts: DataFrame, rows: DataFrame, window: int, anchor: int) -> DataFrame:
+    """rows (doc_id, ...) and a column spans: the covered stretches of each row's document in texts, as start << 32 | number of windows."""
+    known, texts = rows.where("doc_id is not null"), texts.where("doc_id is not null")
     dealt = texts.transform(arrow_map, _stretches(window, anchor), _STRETCH).repartition("part").sortWithinPartitions("part", "doc_id", "at")
     settled = dealt.transform(arrow_map, _settle, "part long, doc_id long, at long")
     needs = settled.where("part is not null").groupBy("doc_id").agg(F.collect_list(F.struct("part", "at")).alias("needs"))  # within one document
-    stretches = known.hint("merge").join(needs, "doc_id").select("doc_id", "text", "needs").transform(arrow_map, _words_needed(window), "part long, doc_id long, at long, words binary")
+    stretches = texts.hint("merge").join(needs, "doc_id").select("doc_id", "text", "needs").transform(arrow_map, _words_needed(window), "part long, doc_id long, at long, words binary")
     matched = stretches.repartition("part").sortWithinPartitions("part", "doc_id", "at").transform(arrow_map, _match(window), "doc_id long, at long")
     covered = settled.where("part is null").select("doc_id", "at").unionAll(matched)
     spans = covered.groupBy("doc_id").agg(F.collect_list("at").alias("spans"))
-    nobody = docs.where("doc_id is null").withColumn("spans", F.array().cast("array<long>"))
+    nobody = rows.where("doc_id is null").withColumn("spans", F.array().cast("array<long>"))
     return known.hint("merge").join(spans, "doc_id", "left").unionByName(nobody)
 
 
@@ -302,11 +301,13 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, anchor: int = 8) -> Dat
     whole and count as no one's source. Other columns are ignored, whatever their names.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = _with_spans(texts, window, anchor)
+    out = _with_spans(texts, texts, window, anchor)
     return out.select("doc_id", "text", "spans").transform(arrow_map, _cut(window), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def replace_repeats(docs: DataFrame, *, window: int = 20, anchor: int = 8) -> DataFrame:
-    """docs with texts cut as by remove_repeats(); texts that lose nothing, and all other columns (none named spans), stay as they are."""
-    out = _with_spans(docs, window, anchor).select(*docs.columns, "spans")
-    return out.transform(arrow_map, _replace(window), docs.schema)
+    """docs with texts cut as by remove_repeats(); texts that lose nothing, and all other columns, whatever their names, stay as they are."""
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    texts, rows = docs.select(doc_id, F.col("text").cast("string").alias("text")), docs.select(doc_id, F.struct(*docs.columns).alias("row"))
+    out = _with_spans(texts, rows, window, anchor).select("row", "spans")
+    return out.transform(arrow_map, _replace(window, docs.columns), docs.schema)

@@ -13,12 +13,12 @@ from memloom.llm.components import connected_components
 from memloom.llm.decontaminate import contamination, drop_leaked
 from tests.llm import brute
 
-ROW = "doc_id long, text string, key string, n string, part string, spans2 string, kept string, a string, component string"
+ROW = "doc_id long, text string, key string, n string, part string, spans string, needs string, at string, row string, kept string, a string, component string"
 
 
 def table(spark, rows):
     """With columns whose names clash with those the operators use."""
-    return spark.createDataFrame([(i, t, *["x"] * 7) for i, t in rows], ROW)
+    return spark.createDataFrame([(i, t, *["x"] * 10) for i, t in rows], ROW)
 
 
 def corpus(seed: int, n: int = 120) -> dict[int, str | None]:
