@@ -162,13 +162,20 @@ def _exact_candidates(apart: DataFrame, texts: DataFrame, k: int, part: int, who
     placed = rows.join(common, "shingle").join(apart, "id")
     placed = placed.withColumn("at", F.col("n") - F.count("*").over(by_id) + F.row_number().over(by_id.orderBy("c", "shingle")))  # those of one document alone come before
     within = lambda over, under: F.col("at") <= F.col("n") - F.expr(f"(n * {over} + {under - 1}) div {under}") + 1
-    placed = materialize(placed.where(within(part, whole)).select("shingle", "id", "n", "component", "at"), "prefixes")
-    owners = placed.groupBy("shingle", "component").agg(F.count("*").alias("c"))
-    owners = owners.groupBy("shingle").agg(F.count("*").alias("owners"), F.max_by("component", F.struct("c", "component")).alias("largest")).where("owners > 1")
-    shared = materialize(placed.join(owners, "shingle").withColumn("main", (F.col("component") == F.col("largest")).cast("int")).drop("owners", "largest"), "shared")
-    ends = lambda df, x: df.select("shingle", "meets", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "component", "at")))
-    smaller = ends(shared.where(within(2 * part, whole + part)).withColumn("meets", F.explode(F.when(F.col("main") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))), "a")
-    larger = ends(shared.withColumn("meets", F.col("main")), "b")
+    placed = materialize(placed.where(within(part, whole)).select("shingle", "id", "n", "component", "at", F.ceil(F.col("c") / SPREAD).alias("groups")), "prefixes")
+    owners = placed.groupBy("shingle", "component", "groups").agg(F.count("*").alias("c"))
+    owners = owners.groupBy("shingle", "groups").agg(F.count("*").alias("owners"), F.max_by("component", F.struct("c", "component")).alias("largest")).where("owners > 1")
+    group, all_groups = F.pmod(F.xxhash64("id"), F.col("groups")), F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)
+    owners = owners.select("shingle", "largest", F.explode(all_groups).alias("group"))  # a frequent shingle is dealt over groups
+    shared = materialize(placed.withColumn("group", group).join(owners, ["shingle", "group"]).withColumn("main", F.col("component") == F.col("largest")).drop("largest"), "shared")
+
+    def ends(df: DataFrame, x: str, own: int, other: int) -> DataFrame:
+        """Members of the largest component meet others in their own group, others meet those in every group, and one another in group -1."""
+        at = lambda kind, g: F.struct(F.lit(kind).alias("kind"), g.alias("group"))
+        meets = F.when(F.col("main"), F.array(at(own, F.col("group")))).otherwise(F.concat(F.transform(all_groups, lambda g: at(other, g)), F.array(at(2, F.lit(-1).cast("long")))))
+        return df.select("shingle", F.explode(meets).alias("meets"), *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "component", "at")))
+
+    smaller, larger = ends(shared.where(within(2 * part, whole + part)), "a", 0, 1), ends(shared, "b", 1, 0)
     follow = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + 1
     enough = follow * (whole + part) >= (F.col("n_a") + F.col("n_b")) * part
     in_order = F.struct("n_a", "id_a") < F.struct("n_b", "id_b")
