@@ -3,9 +3,12 @@
 Both are logistic regressions over a few dozen numbers of a document: the content view sees
 character classes, word shapes and repetition, the metadata view the language, the source,
 the declared size and the page's shape (lines and their lengths). Starting from a bounded
-labelled sample, each round scores every document with both views, takes the documents on
-which one view is most sure (at most ``grow`` for each view and class, chosen over all
-documents) and hands them to the other view as pseudo-labels. At last each view is
+labelled sample, each round scores every document with both views in one scan, takes the
+documents on which one view is most sure (at most ``grow`` for each view, in the classes'
+proportion, chosen over all documents) and hands them to the other view as pseudo-labels.
+What has been handed over leaves the pool; documents on which the views are sure of
+opposite labels are handed to neither. A view is sure of a label if its odds are LIFT times
+those of the labelled sample, so a view of little power still hands over both labels. At last each view is
 calibrated on labelled rows that trained neither, and a logistic combination of the two
 calibrated views scores all documents.
 
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.shared import arrow_map, materialize
+from memloom.llm.shared import arrow_map, drop, materialize
 from memloom.llm.words import U64, mix, split_words
 
 LANGS, SOURCES = 16, 32
@@ -125,30 +128,61 @@ def document_views(docs: DataFrame) -> DataFrame:
     return materialize(own.transform(arrow_map, _views, _VIEWS), "views")
 
 
-def _surest(views: DataFrame, model: tuple[Linear, Linear], view: int, label: int, grow: int) -> pa.Table:
-    """The documents of all on which a view is most sure of a label, at most grow."""
+class Round(NamedTuple):
+    """The documents that each (view, label) hands to the other view, by doc_id."""
+
+    handed: dict[tuple[int, int], list[int]]
+
+
+def _top(rows: pa.Table, most: int) -> pa.Table:
+    """The surest rows; of equally sure ones those of the smallest doc_id."""
+    order = np.lexsort((rows["doc_id"].to_numpy(), -rows["sure"].to_numpy()))[:most]
+    return rows.take(pa.array(order))
+
+
+def _surest(pool: DataFrame, models: tuple[Linear, Linear], most: dict[tuple[int, int], int], least: dict[int, float], gone: np.ndarray) -> dict[tuple[int, int], pa.Table]:
+    """For each view and label the documents of all on which the view is surest, in one scan; gone: ids that have left the pool."""
+    keys = sorted(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], pa.Table] = {}  # each task's surest: most rows of each list
         for batch in batches:
-            logit = model[view].logits(_matrix(batch.column("meta" if view else "content"), META if view else CONTENT))
-            sure = logit if label else -logit
-            top = np.sort(np.argsort(-sure, kind="stable")[:grow])  # no more of a batch can be among the first
-            top = top[sure[top] > np.log(9)]  # surer than 0.9
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(top)) for c in ("doc_id", "content", "meta")), pa.array(sure[top])], ["doc_id", "content", "meta", "sure"])
+            batch = batch.filter(pa.array(~np.isin(batch.column("doc_id").to_numpy(), gone)))
+            for view, label in keys:
+                logit = models[view].logits(_matrix(batch.column("meta" if view else "content"), META if view else CONTENT))
+                sure = logit if label else -logit
+                some = np.flatnonzero(sure > least[label])
+                rows = pa.Table.from_batches([batch.take(pa.array(some))]).append_column("sure", pa.array(sure[some]))
+                held[view, label] = _top(pa.concat_tables([held[view, label], rows]) if (view, label) in held else rows, most[view, label])
+        for (view, label), rows in held.items():
+            rows = rows.combine_chunks()
+            for part in rows.to_batches():
+                yield pa.RecordBatch.from_arrays([pa.array([view] * len(part), pa.int32()), pa.array([label] * len(part), pa.int32()), *part.columns], ["view", "label", *part.schema.names])
+
+    found = materialize(pool.transform(arrow_map, run, f"view int, label int, {_VIEWS}, sure double"), "surest")
+    out = {}
+    for view, label in keys:
+        rows = found.where(f"view = {view} and label = {label}").orderBy(F.desc("sure"), "doc_id").limit(most[view, label])
+        out[view, label] = rows.select("doc_id", "content", "meta").toArrow()
+    drop(found)
+    return out
 
-    return views.transform(arrow_map, run, f"{_VIEWS}, sure double").orderBy(F.desc("sure"), "doc_id").limit(grow).toArrow()
 
+#: How much a view's odds of a label must exceed the labelled sample's.
+LIFT = 3.0
 
-def co_train(views: DataFrame, labels: DataFrame, *, held_out: F.Column, max_rows: int = 8000, rounds: int = 3, grow: int = 500) -> Model:
+
+def co_train(views: DataFrame, labels: DataFrame, *, held_out: F.Column, max_rows: int = 8000, rounds: int = 3, grow: int = 500, history: list[Round] | None = None) -> Model:
     """labels (doc_id, quality, ...): at most max_rows of them, those of least hash of doc_id, and none that is held out.
 
     Labels that repeat a doc_id count as good only if all are; null labels are left out.
-    Labels of one kind alone, or fewer than eight, give an untrained model.
+    Labels of one kind alone, or fewer than eight, give an untrained model. What the views
+    hand over in each round is added to history, if given.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where("doc_id is not null and quality is not null").where(~held_out).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = views.join(F.broadcast(sample), "doc_id").toArrow()  # max_rows small rows
+    rows = views.join(F.broadcast(sample), "doc_id").orderBy("doc_id").toArrow()  # max_rows small rows
     y = rows["quality"].to_numpy().astype(float)
     if len(y) < 8 or y.min() == y.max():
         return UNTRAINED
@@ -158,20 +192,31 @@ def co_train(views: DataFrame, labels: DataFrame, *, held_out: F.Column, max_row
     if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
         apart = np.zeros(len(y), bool)
     train = [[(m[~apart], y[~apart])] for m in x]
-    labelled = known.select("doc_id")
-    pool = views.join(labelled, "doc_id", "left_anti")
+    fit = lambda: tuple(fit_logistic(*map(np.concatenate, zip(*t, strict=True))) for t in train)
+    models = fit()
     if rounds > 0:
-        pool = materialize(pool, "pool")
-    models = tuple(fit_logistic(*map(np.concatenate, zip(*t, strict=True))) for t in train)
+        pool = materialize(views.where("doc_id is not null").join(known.select("doc_id"), "doc_id", "left_anti"), "pool")
     rates = {1: y.mean(), 0: 1 - y.mean()}
+    most = {(view, label): max(1, int(grow * rates[label])) for view in (0, 1) for label in (0, 1)}
+    least = {label: float(np.log(LIFT * rates[label] / rates[1 - label])) for label in (0, 1)}
+    gone = np.zeros(0, np.int64)  # at most 2 * grow + 2 for each round
     for _ in range(rounds):
-        for view in (0, 1):
-            for label in (0, 1):
-                found = _surest(pool, models, view, label, max(1, int(grow * rates[label])))
-                if len(found):
-                    other = 1 - view
-                    train[other].append((_matrix(found["meta" if other else "content"], META if other else CONTENT), np.full(len(found), float(label))))
-        models = tuple(fit_logistic(*map(np.concatenate, zip(*t, strict=True))) for t in train)
+        found = _surest(pool, models, most, least, gone)
+        chosen = {key: rows["doc_id"].to_numpy() for key, rows in found.items()}
+        torn = np.concatenate([np.intersect1d(chosen[0, 1 - label], chosen[1, label]) for label in (0, 1)])
+        handed: dict[tuple[int, int], list[int]] = {}
+        for (view, label), rows in found.items():
+            keep = ~np.isin(chosen[view, label], torn)
+            handed[view, label] = chosen[view, label][keep].tolist()
+            if keep.any():
+                rows = rows.filter(pa.array(keep))
+                train[1 - view].append((_matrix(rows["content"] if view else rows["meta"], CONTENT if view else META), np.full(len(rows), float(label))))
+        gone = np.union1d(gone, np.concatenate([np.array(x, np.int64) for x in handed.values()]))
+        if history is not None:
+            history.append(Round(handed))
+        models = fit()
+    if rounds > 0:
+        drop(pool)
     at = apart if apart.any() else np.ones(len(y), bool)
     logits = [m.logits(v[at]) for m, v in zip(models, x, strict=True)]
     calibration = tuple(fit_logistic(z[:, None], y[at]) for z in logits)

@@ -150,6 +150,45 @@ def test_quality_of_odd_rows(spark):
     assert Q.score_quality(Q.document_views(docs.limit(0)), model).count() == 0
 
 
+def test_co_training_against_a_plain_version(spark):
+    """What is handed over in each round, by sorting all documents, and the models that come of it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    held = X.held_out_rows(0, 5)
+    views, history = Q.document_views(docs), []
+    model = Q.co_train(views, labels, held_out=held, rounds=3, grow=60, history=history)
+    rows = views.orderBy("doc_id").toArrow()
+    ids = rows["doc_id"].to_numpy()
+    data = [Q._matrix(rows["content"], Q.CONTENT), Q._matrix(rows["meta"], Q.META)]
+    quality = {r["doc_id"]: r["quality"] for r in labels.where(~held).collect()}
+    y = np.array([quality.get(i, -1) for i in ids.tolist()])
+    own = [i for i in range(len(ids)) if y[i] >= 0 and int(Q.mix(ids[i : i + 1].astype(np.int64).view(np.uint64))[0]) % 4]
+    train = [[(i, float(y[i])) for i in own] for _ in (0, 1)]
+    rate = np.mean(y[y >= 0])
+    pool, models = {i for i in range(len(ids)) if y[i] < 0}, None
+    for given in history:
+        models = [Q.fit_logistic(data[v][[i for i, _ in train[v]]], np.array([z for _, z in train[v]])) for v in (0, 1)]
+        chosen = {}
+        for v in (0, 1):
+            logit = models[v].logits(data[v])
+            for label, share in ((0, 1 - rate), (1, rate)):
+                sure = logit if label else -logit
+                some = [i for i in pool if sure[i] > math.log(3 * share / (1 - share))]
+                chosen[v, label] = sorted(some, key=lambda i: (-sure[i], ids[i]))[: int(60 * share)]
+        torn = set(chosen[0, 0]) & set(chosen[1, 1]) | set(chosen[0, 1]) & set(chosen[1, 0])
+        for (v, label), some in chosen.items():
+            some = [i for i in some if i not in torn]
+            assert given.handed[v, label] == [int(ids[i]) for i in some]
+            train[1 - v] += [(i, float(label)) for i in some]
+            pool -= set(some)
+    all_handed = [i for r in history for v in (0, 1) for i in {*r.handed[v, 0], *r.handed[v, 1]}]
+    assert all(r.handed[v, label] for r in history[:1] for v in (0, 1) for label in (0, 1))  # both views hand over both labels
+    assert all(all_handed.count(i) <= 2 for i in all_handed)  # once by each view at most
+    for v in (0, 1):
+        last = Q.fit_logistic(data[v][[i for i, _ in train[v]]], np.array([z for _, z in train[v]]))
+        assert np.allclose(last.weights, model.views[v].weights, rtol=1e-4, atol=1e-4)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_newton_finds_the_optimum(seed):
     rng = np.random.default_rng(seed)
