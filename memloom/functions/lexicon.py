@@ -2,38 +2,111 @@
 
 from __future__ import annotations
 
-
-def _pairs(text: str) -> list[tuple[str, str]]:
-    """``keyword=code`` separated by commas."""
-    return [(k.strip(), c.strip()) for k, c in (x.split("=") for x in text.split(","))]
-
-
 #: Emotion names to codes.
-EMOTION_CODES = dict(
-    _pairs(
-        "vulnerability=vul, vulnerable=vul, joy=joy, joyful=joy, fear=fear, mild_fear=fear, trust=trust, trust_building=trust,"
-        "grief=grief, raw_grief=grief, wonder=wonder, philosophical_wonder=wonder, rage=rage, anger=rage, love=love, devotion=love,"
-        "hope=hope, despair=despair, hopelessness=despair, peace=peace, relief=relief, humor=humor, dark_humor=humor, tenderness=tender,"
-        "raw_honesty=raw, brutal_honesty=raw, self_doubt=doubt, anxiety=anx, exhaustion=exhaust, conviction=convict, quiet_passion=passion,"
-        "warmth=warmth, curiosity=curious, gratitude=grat, frustration=frust, confusion=confuse, satisfaction=satis, excitement=excite,"
-        "determination=determ, surprise=surprise"
-    )
-)
+EMOTION_CODES = {
+    "vulnerability": "vul",
+    "vulnerable": "vul",
+    "joy": "joy",
+    "joyful": "joy",
+    "fear": "fear",
+    "mild_fear": "fear",
+    "trust": "trust",
+    "trust_building": "trust",
+    "grief": "grief",
+    "raw_grief": "grief",
+    "wonder": "wonder",
+    "philosophical_wonder": "wonder",
+    "rage": "rage",
+    "anger": "rage",
+    "love": "love",
+    "devotion": "love",
+    "hope": "hope",
+    "despair": "despair",
+    "hopelessness": "despair",
+    "peace": "peace",
+    "relief": "relief",
+    "humor": "humor",
+    "dark_humor": "humor",
+    "tenderness": "tender",
+    "raw_honesty": "raw",
+    "brutal_honesty": "raw",
+    "self_doubt": "doubt",
+    "anxiety": "anx",
+    "exhaustion": "exhaust",
+    "conviction": "convict",
+    "quiet_passion": "passion",
+    "warmth": "warmth",
+    "curiosity": "curious",
+    "gratitude": "grat",
+    "frustration": "frust",
+    "confusion": "confuse",
+    "satisfaction": "satis",
+    "excitement": "excite",
+    "determination": "determ",
+    "surprise": "surprise",
+}
 #: Words in a text that signal an emotion.
-EMOTION_SIGNALS = _pairs(
-    "decided=determ, prefer=convict, worried=anx, excited=excite, frustrated=frust, confused=confuse, love=love, hate=rage, hope=hope,"
-    "fear=fear, trust=trust, happy=joy, sad=grief, surprised=surprise, grateful=grat, curious=curious, wonder=wonder, anxious=anx,"
-    "relieved=relief, satisf=satis, disappoint=grief, concern=anx"
-)
+EMOTION_SIGNALS = [
+    ("decided", "determ"),
+    ("prefer", "convict"),
+    ("worried", "anx"),
+    ("excited", "excite"),
+    ("frustrated", "frust"),
+    ("confused", "confuse"),
+    ("love", "love"),
+    ("hate", "rage"),
+    ("hope", "hope"),
+    ("fear", "fear"),
+    ("trust", "trust"),
+    ("happy", "joy"),
+    ("sad", "grief"),
+    ("surprised", "surprise"),
+    ("grateful", "grat"),
+    ("curious", "curious"),
+    ("wonder", "wonder"),
+    ("anxious", "anx"),
+    ("relieved", "relief"),
+    ("satisf", "satis"),
+    ("disappoint", "grief"),
+    ("concern", "anx"),
+]
 #: Words in a text that raise a flag.
-FLAG_SIGNALS = _pairs(
-    "decided=DECISION, chose=DECISION, switched=DECISION, migrated=DECISION, replaced=DECISION, instead of=DECISION, because=DECISION,"
-    "founded=ORIGIN, created=ORIGIN, started=ORIGIN, born=ORIGIN, launched=ORIGIN, first time=ORIGIN,"
-    "core=CORE, fundamental=CORE, essential=CORE, principle=CORE, belief=CORE, always=CORE, never forget=CORE,"
-    "turning point=PIVOT, changed everything=PIVOT, realized=PIVOT, breakthrough=PIVOT, epiphany=PIVOT,"
-    "api=TECHNICAL, database=TECHNICAL, architecture=TECHNICAL, deploy=TECHNICAL, infrastructure=TECHNICAL, algorithm=TECHNICAL,"
-    "framework=TECHNICAL, server=TECHNICAL, config=TECHNICAL"
-)
+FLAG_SIGNALS = [
+    ("decided", "DECISION"),
+    ("chose", "DECISION"),
+    ("switched", "DECISION"),
+    ("migrated", "DECISION"),
+    ("replaced", "DECISION"),
+    ("instead of", "DECISION"),
+    ("because", "DECISION"),
+    ("founded", "ORIGIN"),
+    ("created", "ORIGIN"),
+    ("started", "ORIGIN"),
+    ("born", "ORIGIN"),
+    ("launched", "ORIGIN"),
+    ("first time", "ORIGIN"),
+    ("core", "CORE"),
+    ("fundamental", "CORE"),
+    ("essential", "CORE"),
+    ("principle", "CORE"),
+    ("belief", "CORE"),
+    ("always", "CORE"),
+    ("never forget", "CORE"),
+    ("turning point", "PIVOT"),
+    ("changed everything", "PIVOT"),
+    ("realized", "PIVOT"),
+    ("breakthrough", "PIVOT"),
+    ("epiphany", "PIVOT"),
+    ("api", "TECHNICAL"),
+    ("database", "TECHNICAL"),
+    ("architecture", "TECHNICAL"),
+    ("deploy", "TECHNICAL"),
+    ("infrastructure", "TECHNICAL"),
+    ("algorithm", "TECHNICAL"),
+    ("framework", "TECHNICAL"),
+    ("server", "TECHNICAL"),
+    ("config", "TECHNICAL"),
+]
 #: Words that are no topic.
 STOP_WORDS = (
     "the a an is are was were be been being have has had do does did will would could should may might shall can to of in for on with at by "
@@ -54,7 +127,7 @@ ROOM_KEYWORDS = {
     "decisions": "decided chose picked switched migrated replaced trade-off alternative option approach".split(),
     "problems": "problem issue broken failed crash stuck workaround fix solved resolved".split(),
 }
-#: Capitalised words that are no name, beside STOP_WORDS. A longer list can be handed to the operators.
+#: Capitalised words that are no name, beside STOP_WORDS: what operators use if they are handed no list of their own.
 NO_NAMES = (
     "must yes ok okay still even take put come go see know think true false none null new old any return print def class import step usage run "
     "check find add set list path file type name note example option result error warning info less next last first second mode test stop start "
@@ -71,10 +144,40 @@ COMMON_WORDS = (
 
 #: Patterns around a name, {} standing for it, in scoring order. A word boundary is ASCII's.
 DIALOGUE_PATTERNS = [r"^>\s*{}[:\s]", r"^{}:\s", r"^\[{}\]", r'"{}\s+said']
-PERSON_VERBS = [rf"\b{{}}\s+{v}\b" for v in "said asked told replied laughed smiled cried felt thinks? wants? loves? hates? knows? decided pushed wrote".split()] + [rf"\b{v}\s+{{}}\b" for v in "hey thanks? hi dear".split()]
+PERSON_VERBS = [
+    r"\b{}\s+said\b",
+    r"\b{}\s+asked\b",
+    r"\b{}\s+told\b",
+    r"\b{}\s+replied\b",
+    r"\b{}\s+laughed\b",
+    r"\b{}\s+smiled\b",
+    r"\b{}\s+cried\b",
+    r"\b{}\s+felt\b",
+    r"\b{}\s+thinks?\b",
+    r"\b{}\s+wants?\b",
+    r"\b{}\s+loves?\b",
+    r"\b{}\s+hates?\b",
+    r"\b{}\s+knows?\b",
+    r"\b{}\s+decided\b",
+    r"\b{}\s+pushed\b",
+    r"\b{}\s+wrote\b",
+    r"\bhey\s+{}\b",
+    r"\bthanks?\s+{}\b",
+    r"\bhi\s+{}\b",
+    r"\bdear\s+{}\b",
+]
 DIRECT_PATTERN = r"\bhey\s+{}\b|\bthanks?\s+{}\b|\bhi\s+{}\b"
-PROJECT_VERBS = [rf"\b{v}\s+{{}}\b" for v in ["building", "built", "ship(?:ping|ped)?", "launch(?:ing|ed)?", "deploy(?:ing|ed)?", "install(?:ing|ed)?"]] + [
-    *(rf"\bthe\s+{{}}\s+{n}\b" for n in "architecture pipeline system repo".split()),
+PROJECT_VERBS = [
+    r"\bbuilding\s+{}\b",
+    r"\bbuilt\s+{}\b",
+    r"\bship(?:ping|ped)?\s+{}\b",
+    r"\blaunch(?:ing|ed)?\s+{}\b",
+    r"\bdeploy(?:ing|ed)?\s+{}\b",
+    r"\binstall(?:ing|ed)?\s+{}\b",
+    r"\bthe\s+{}\s+architecture\b",
+    r"\bthe\s+{}\s+pipeline\b",
+    r"\bthe\s+{}\s+system\b",
+    r"\bthe\s+{}\s+repo\b",
     r"\b{}\s+v\d+\b",
     r"\b{}\.py\b",
     r"\b{}-core\b",
@@ -87,8 +190,20 @@ CODE_PATTERN = r"\b{}\.(py|js|ts|yaml|yml|json|sh)\b"
 PRONOUNS = "she her hers he him his they them their".split()
 
 PERSON_CONTEXTS = [
-    *(rf"\b{{}}\s+{v}\b" for v in "said told asked laughed smiled was is called texted".split()),
-    *(rf"\b{v}\s+{{}}\b" for v in ["with", "saw", "called", "took", r"picked\s+up"]),
+    r"\b{}\s+said\b",
+    r"\b{}\s+told\b",
+    r"\b{}\s+asked\b",
+    r"\b{}\s+laughed\b",
+    r"\b{}\s+smiled\b",
+    r"\b{}\s+was\b",
+    r"\b{}\s+is\b",
+    r"\b{}\s+called\b",
+    r"\b{}\s+texted\b",
+    r"\bwith\s+{}\b",
+    r"\bsaw\s+{}\b",
+    r"\bcalled\s+{}\b",
+    r"\btook\s+{}\b",
+    r"\bpicked\s+up\s+{}\b",
     r"\bdrop(?:ped)?\s+(?:off\s+)?{}\b",
     r"\b{}(?:'s|s')\b",
     r"\bhey\s+{}\b",
@@ -99,10 +214,13 @@ PERSON_CONTEXTS = [
 CONCEPT_CONTEXTS = [
     r"\bhave\s+you\s+{}\b",
     r"\bif\s+you\s+{}\b",
-    *(rf"\b{{}}\s+{w}\b" for w in "since again".split()),
+    r"\b{}\s+since\b",
+    r"\b{}\s+again\b",
     r"\bnot\s+{}\b",
     r"\b{}\s+more\b",
-    *(rf"\b{w}\s+{{}}\b" for w in "would could will".split()),
+    r"\bwould\s+{}\b",
+    r"\bcould\s+{}\b",
+    r"\bwill\s+{}\b",
     r"(?:the\s+)?{}\s+(?:of|in|at|for|to)\b",
 ]
 NAME_PHRASES = (

@@ -23,13 +23,19 @@ def topics(text: Column | str, most: int = 3) -> Column:
     """The heaviest words: one for each occurrence, two more where it is capitalised, two more where it is compound."""
     words = F.filter(F.regexp_extract_all(col(text), F.lit("([a-zA-Z][a-zA-Z_-]{2,})"), F.lit(1)), lambda w: ~F.lower(w).isin(*STOP_WORDS))
     weight = lambda w: 1 + F.when(w.rlike("^[A-Z]"), 2).otherwise(0) + F.when(w.rlike("[_-]|.[A-Z]"), 2).otherwise(0)
-    weighed = F.transform(words, lambda w: F.struct(F.lower(w).alias("u"), weight(w).alias("w")))
+    weighed = F.array_sort(F.transform(words, lambda w, i: F.struct(F.lower(w).alias("u"), i.alias("i"), weight(w).alias("w"))))  # equal words side by side
 
-    def ranked(ws: Column) -> Column:
-        total = lambda u: F.aggregate(ws, F.lit(0), lambda s, x: s + F.when(x["u"] == u, x["w"]).otherwise(0))
-        return F.array_sort(F.transform(F.array_distinct(F.transform(ws, lambda x: x["u"])), lambda u, i: F.struct((-total(u)).alias("w"), i.alias("i"), u.alias("u"))))
+    def best_with(s: Column) -> Column:
+        """The best words so far and the one just summed up, heaviest first, earlier ones before later ones."""
+        grown = F.slice(F.array_sort(F.concat(s["best"], F.array(F.struct((-s["w"]).alias("w"), s["i"].alias("i"), s["u"].alias("u"))))), 1, most)
+        return F.when(s["w"] > 0, grown).otherwise(s["best"])
 
-    return F.transform(F.slice(let(weighed, ranked), 1, most), lambda x: x["u"])
+    def add(s: Column, x: Column) -> Column:
+        same = s["u"] == x["u"]
+        return F.struct(x["u"].alias("u"), F.when(same, s["i"]).otherwise(x["i"]).alias("i"), (x["w"] + F.when(same, s["w"]).otherwise(0)).alias("w"), F.when(same, s["best"]).otherwise(best_with(s)).alias("best"))
+
+    nothing = F.struct(F.lit("").alias("u"), F.lit(0).alias("i"), F.lit(0).alias("w"), F.array().cast("array<struct<w:int,i:int,u:string>>").alias("best"))
+    return F.transform(F.aggregate(weighed, nothing, add, best_with), lambda x: x["u"])
 
 
 def key_sentence(text: Column | str) -> Column:

@@ -48,12 +48,12 @@ def marked(text: Column, name: Column) -> Column:
     return F.replace(F.lower(text), F.lower(name), F.lit(MARK))
 
 
-def candidates(texts: DataFrame, key: str, *, stop_words: Sequence[str] = (), least: int = 3) -> DataFrame:
+def candidates(texts: DataFrame, key: str, *, stop_words: Sequence[str] | None = None, least: int = 3) -> DataFrame:
     """texts (key, text) -> (key, name, frequency): capitalised words and runs of them, at least so often.
 
-    stop_words are added to the built-in lists of words that are no name.
+    stop_words: all words, in lower case, that are no name; without it the built-in lists hold.
     """
-    stop = F.array(*(F.lit(w) for w in dict.fromkeys([*STOP_WORDS, *NO_NAMES, *stop_words])))
+    stop = F.array(F.lit(""), *(F.lit(w) for w in dict.fromkeys([*STOP_WORDS, *NO_NAMES] if stop_words is None else stop_words)))
     single = F.regexp_extract_all("text", F.lit(f"{LEFT}([A-Z][a-z]{{1,19}}){RIGHT}"), F.lit(1))
     several = F.regexp_extract_all("text", F.lit(rf"{LEFT}([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+){RIGHT}"), F.lit(1))
     no_stop = lambda phrase: ~F.exists(F.split(F.lower(phrase), r"\s+"), lambda w: F.array_contains(stop, w))
@@ -131,10 +131,10 @@ def combined(texts: DataFrame, key: str, order: str, *, max_texts: int | None =
     return some.groupBy(key).agg(lines.alias("x")).select(key, F.array_join(F.transform("x", lambda y: y["text"]), "\n").alias("text"))
 
 
-def detect(texts: DataFrame, key: str, order: str, *, max_texts: int = 10, max_chars: int = 5000) -> DataFrame:
+def detect(texts: DataFrame, key: str, order: str, *, max_texts: int = 10, max_chars: int = 5000, stop_words: Sequence[str] | None = None) -> DataFrame:
     """texts (key, order, text) -> the entities of each key's first texts, ranked within their type and cut to 15, 10 and 8."""
     whole = combined(texts, key, order, max_texts=max_texts, max_chars=max_chars)
-    found = classify(score(candidates(whole, key), whole, key))
+    found = classify(score(candidates(whole, key, stop_words=stop_words), whole, key))
     by = F.when(F.col("type") == "uncertain", F.col("frequency").cast("double")).otherwise(F.col("confidence"))
     rank = F.row_number().over(Window.partitionBy(key, "type").orderBy(by.desc(), F.desc("frequency"), "name"))
     most = F.when(F.col("type") == "person", 15).when(F.col("type") == "project", 10).otherwise(8)
