@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.operators import dialect, drawers, embedding, entities, graph, kg, layers, registry, transcripts, vectors
@@ -262,15 +262,18 @@ class Memory:
             return transcripts.mining_totals(mined)
         rows = embedding.embed_column(mined, "content", self.embedder)
         stamp = int(now * 1e6)
-        rows = rows.withColumns({"version": F.lit(stamp), "ord": F.lit(stamp) + F.col("chunk_index"), "deleted": F.lit(False), "extra": F.create_map(F.lit("ingest_mode"), F.lit("convos")), "extra_type": F.create_map(F.lit("ingest_mode"), F.lit("string"))})
+        per_file = mined.groupBy("source_file").agg(F.count("*").alias("n"))  # a row for each file: their order needs no more
+        before = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.join(per_file.select("source_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "source_file")
+        rows = rows.withColumns({"version": F.lit(stamp), "ord": F.lit(stamp) + F.col("before") + F.col("chunk_index"), "deleted": F.lit(False), "extra": F.create_map(F.lit("ingest_mode"), F.lit("convos")), "extra_type": F.create_map(F.lit("ingest_mode"), F.lit("string"))}).drop("before")
         self._append(rows, "drawers", _DRAWERS)
         return transcripts.mining_totals(self._table("drawers", _DRAWERS).where(F.col("version") == stamp))
 
     # ── Entities ─────────────────────────────────────────────────────────────
 
-    def detect_entities(self, folder: str, max_files: int = 10) -> DataFrame:
+    def detect_entities(self, folder: str, max_files: int = 10, *, stop_words: Sequence[str] | None = None) -> DataFrame:
         texts = files.detection_files(self.spark, folder, max_files).withColumn("k", F.lit(0))
-        return entities.detect(texts, "k", "path", max_texts=max_files)
+        return entities.detect(texts, "k", "path", max_texts=max_files, stop_words=stop_words)
 
     def entity_seed(self, people: Sequence[Mapping[str, str]], projects: Sequence[str] = (), aliases: Mapping[str, str] | None = None, mode: str = "personal") -> dict:
         """Adds people, and replaces the projects."""
@@ -287,9 +290,9 @@ class Memory:
         words = self.spark.createDataFrame([(0, word, context)], "word_id int, word string, context string")
         return registry.lookup(words, self.people(), self.projects(), self.wiki()).first().asDict()
 
-    def entity_learn(self, text: str, min_confidence: float = 0.75) -> list[str]:
+    def entity_learn(self, text: str, min_confidence: float = 0.75, *, stop_words: Sequence[str] | None = None) -> list[str]:
         whole = self._one(text).withColumn("k", F.lit(0))
-        found = entities.classify(entities.score(entities.candidates(whole, "k"), whole, "k"))
+        found = entities.classify(entities.score(entities.candidates(whole, "k", stop_words=stop_words), whole, "k"))
         new = registry.learn(found, self.people(), self.projects(), mode=self.mode, least=min_confidence)
         start = (self._table("people", _PEOPLE).agg(F.max("ord")).first()[0] or 0) + 1
         names = sorted(r["name"] for r in new.collect())  # the persons of one text
