@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,10 +50,13 @@ def query_by_metadata(spark: SparkSession, d: str) -> DataFrame:
     return D.query_by_metadata(views.drawers(spark, d), "size", "long", wing="src1").select("drawer_id", "wing", "room")
 
 
-@query(sql("drawers", "SELECT drawer_id FROM drawers WHERE false"))
+@query(sql("drawers", "SELECT CAST(0 AS BIGINT) AS by_number, least(50, count(*) FILTER (size = 'short' AND wing = 'src2')) AS by_text FROM drawers"))
 def query_by_numeric_metadata(spark: SparkSession, d: str) -> DataFrame:
     """A text never equals a number."""
-    return D.query_by_metadata(views.drawers(spark, d), "importance", "1").select("drawer_id")
+    store = views.drawers(spark, d)
+    by_number, by_text = D.query_by_metadata(store, "importance", "1"), D.query_by_metadata(store, "size", "short", wing="src2")
+    both = by_number.select(F.lit(1).alias("n"), F.lit(0).alias("t")).unionAll(by_text.select(F.lit(0), F.lit(1)))
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("by_number"), F.coalesce(F.sum("t"), F.lit(0)).alias("by_text"))
 
 
 _SNIP = "CASE WHEN length(s) > {n} THEN substring(s, 1, {n} - 3) || '...' ELSE s END"
@@ -140,10 +145,10 @@ def update_drawers(spark: SparkSession, d: str) -> DataFrame:
     return out.select("drawer_id", "wing", "room", F.length("content").cast("long").alias("n"), F.element_at("extra", "size").alias("size"), "updated_at")
 
 
-@query(sql("drawers", "SELECT wing, count(*) AS drawers FROM drawers WHERE ord % 3 <> 0 GROUP BY wing"))
+@query(sql("drawers", "SELECT drawer_id, wing, room FROM drawers WHERE ord % 3 <> 0"))
 def delete_drawers(spark: SparkSession, d: str) -> DataFrame:
     store = views.drawers(spark, d)
-    return D.list_wings(D.delete_drawers(store, store.where("ord % 3 = 0")))
+    return D.delete_drawers(store, store.where("ord % 3 = 0")).select("drawer_id", "wing", "room")
 
 
 @query("SELECT o_custkey AS k, max(o_orderkey) AS o_orderkey, max_by(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey")
@@ -194,9 +199,11 @@ def kg_query_both(spark: SparkSession, d: str) -> DataFrame:
 _AS_OF = "(valid_from IS NULL OR valid_from = '' OR valid_from <= {d}) AND (valid_to IS NULL OR valid_to = '' OR valid_to >= {d})"
 
 
-@query(sql("triples", f"SELECT {_F}, 'outgoing' AS direction FROM triples WHERE lower(subject) = 'customer#10' AND {_AS_OF.format(d=chr(39) + '1997-01-01' + chr(39))}"))
+@query(sql("triples", f"SELECT {_F}, 'outgoing' AS direction FROM triples WHERE lower(subject) IN ('customer#10', 'customer#11', 'customer#13', 'customer#14', 'customer#16', 'customer#17') AND {_AS_OF.format(d=chr(39) + '1997-01-01' + chr(39))}"))
 def kg_as_of(spark: SparkSession, d: str) -> DataFrame:
-    return K.query_entity(views.triples(spark, d), "customer#10", "1997-01-01", "outgoing").select(*_FACT, "direction")
+    facts = views.triples(spark, d)
+    found = [K.query_entity(facts, f"customer#{i}", "1997-01-01", "outgoing") for i in (10, 11, 13, 14, 16, 17)]
+    return reduce(DataFrame.unionAll, found).select(*_FACT, "direction")
 
 
 @query(sql("triples", f"SELECT {_F}, valid_to IS NULL OR valid_to = '' AS current FROM triples WHERE lower(subject) = 'customer#10' OR lower(object) = 'customer#10'"))
@@ -353,11 +360,11 @@ def check_duplicate(spark: SparkSession, d: str) -> DataFrame:
     return V.check_duplicate(vectors, _queries(vectors), 0.35).select("query_id", "id", "similarity")
 
 
-@query(sql("vectors", f"WITH {_SIM} SELECT id FROM vectors WHERE id % 20 = 0 AND id NOT IN (SELECT query_id FROM sims WHERE id % 3 = 1 AND similarity >= 0.35)"))
+@query(sql("vectors", f"WITH {_SIM} SELECT id FROM vectors WHERE id % 20 = 0 AND id NOT IN (SELECT query_id FROM sims WHERE id % 20 <> 0 AND similarity >= 0.35)"))
 def add_drawer_dedup(spark: SparkSession, d: str) -> DataFrame:
     """New drawers that nothing filed resembles."""
     vectors = views.vectors(spark, d)
-    return V.without_duplicates(vectors.where("id % 3 = 1"), _queries(vectors), 0.35).select("id")
+    return V.without_duplicates(vectors.where("id % 20 <> 0"), _queries(vectors), 0.35).select("id")
 
 
 @query(sql("vectors", f"WITH {_SIM} SELECT query_id AS id, id = query_id AS found FROM ({_TOP}) WHERE rank = 1"))

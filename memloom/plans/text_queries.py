@@ -18,7 +18,7 @@ from memloom.operators.drawers import already_filed
 from memloom.plans import views
 from memloom.plans.catalogue import query
 from memloom.plans.views import sql, table
-from memloom.streaming.checkpoints import checkpoints
+from memloom.streaming.checkpoints import checkpoints, counts_as_message
 
 # ── SQL pieces ───────────────────────────────────────────────────────────────
 
@@ -154,15 +154,16 @@ def _export(spark: SparkSession, d: str, kind: str) -> DataFrame:
         nodes = F.map_from_entries(F.transform("ms", node))
         body = F.concat(F.lit('{"mapping":{"n0":{"parent":null,"message":null,"children":["n1"]},'), F.substring(F.to_json(nodes), 2, 2_000_000_000), F.lit("}"))
     else:
-        rows = rows.where("ms[0].role = 'user'")  # whoever speaks first is the user
         body = json_of(lambda m: F.struct(F.lit("message").alias("type"), F.when(m["role"] == "user", "U1").otherwise("U2").alias("user"), m["text"].alias("text")))
     files = rows.select(F.concat(F.col("conv_id").cast("string"), F.lit(".json")).alias("path"), body.alias("content"))
     return T.normalize(files).select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("conv_id"), F.col("content").alias("transcript"))
 
 
-for _kind in ("flat", "session", "events", "tree", "channel"):
-    _only = " AND conv_id IN (SELECT conv_id FROM m WHERE nth = 1 AND role = 'user')" if _kind == "channel" else ""
-    query(sql("conv_messages", f"WITH {_TRANSCRIPTS} SELECT conv_id, content AS transcript FROM transcripts WHERE n_messages >= 2{_only}"), f"normalize_{_kind}")(lambda spark, d, k=_kind: _export(spark, d, k))
+for _kind in ("flat", "session", "events", "tree"):
+    query(sql("conv_messages", f"WITH {_TRANSCRIPTS} SELECT conv_id, content AS transcript FROM transcripts WHERE n_messages >= 2"), f"normalize_{_kind}")(lambda spark, d, k=_kind: _export(spark, d, k))
+#: In channels whoever speaks first is the user.
+_CHANNEL = "turned AS (SELECT conv_id, ord, CASE WHEN role = first_value(role) OVER (PARTITION BY conv_id ORDER BY ord) THEN 'user' ELSE 'assistant' END AS role, text FROM conv_messages)"
+query(sql("conv_messages", f"WITH {_CHANNEL}, {_TRANSCRIPTS.replace('FROM conv_messages', 'FROM turned')} SELECT conv_id, content AS transcript FROM transcripts WHERE n_messages >= 2"), "normalize_channel")(lambda spark, d: _export(spark, d, "channel"))
 
 
 # ── Summaries ────────────────────────────────────────────────────────────────
@@ -227,6 +228,16 @@ def compress(spark: SparkSession, d: str) -> DataFrame:
     return _summaries(spark, d).select("note_id", "summary")
 
 
+@query(sql("document_notes", f"WITH {_TOPICS} SELECT note_id, coalesce(topics, '') AS topics FROM notes LEFT JOIN topics USING (note_id)"))
+def topics_of_documents(spark: SparkSession, d: str) -> DataFrame:
+    return views.document_notes(spark, d).select("note_id", F.array_join(S.topics("text"), "_").alias("topics"))
+
+
+@query(sql("document_notes", f"WITH {_SUMMARY} SELECT note_id, body FROM parts"))
+def compress_documents(spark: SparkSession, d: str) -> DataFrame:
+    return views.document_notes(spark, d).select("note_id", S.compress("text").alias("body"))
+
+
 _TOKENS = lambda x: f"CAST(greatest(1, floor(len(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')) * 1.3 + 0.5)) AS BIGINT)"
 
 
@@ -322,6 +333,11 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     return E.candidates(_whole(spark, d), "user_id")
 
 
+@query(sql("document_notes", f"WITH {_COMBINED}, {_CANDIDATES} SELECT * FROM cands"))
+def candidates_of_documents(spark: SparkSession, d: str) -> DataFrame:
+    return E.candidates(views.document_notes(spark, d), "user_id")
+
+
 @query(sql("notes", f"WITH {_COMBINED}, {_CANDIDATES}, {_SCORED} SELECT user_id, name, frequency, CAST(person_score AS INTEGER) AS person_score, CAST(project_score AS INTEGER) AS project_score, array_to_string(person_signals, '; ') AS person_signals, array_to_string(project_signals, '; ') AS project_signals FROM scored"))
 def score_entities(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d).withColumns({c: F.array_join(c, "; ") for c in ("person_signals", "project_signals")})
@@ -517,6 +533,13 @@ def deep_search(spark: SparkSession, d: str) -> DataFrame:
 # ── Checkpoints ──────────────────────────────────────────────────────────────
 
 
+@query("SELECT conv_id, turn, messages FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS messages FROM conversations WHERE role = 'user' AND NOT contains(text, '<command-message>')) WHERE messages % 3 = 0")
+def conversation_checkpoints(spark: SparkSession, d: str) -> DataFrame:
+    """A save at each third message that counts."""
+    said = table(spark, d, "conversations").where(counts_as_message(F.col("role"), F.col("text")))
+    return checkpoints(said, "conv_id", "turn", interval=3).select("conv_id", "turn", "messages")
+
+
 @query("SELECT user_id, event_id, messages FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS messages FROM events) WHERE messages % 15 = 0")
 def hook_checkpoints(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))

@@ -96,6 +96,11 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("event_id").alias("note_id"), "user_id", text.alias("text"))
 
 
+def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as notes, each of a user of its own."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), F.col("doc_id").alias("user_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("w"), (F.col("label") % 3).cast("string")).alias("wing"), F.col("label").cast("string").alias("room"), "embedding")
 
@@ -119,6 +124,7 @@ SQL = {
     "diary": "diary AS (SELECT 'user_' || user_id AS agent, event_type AS topic, props AS entry, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS filed_at, event_id AS ord FROM events)",
     "room_graph": "room_graph AS (SELECT 'w' || o_custkey AS wing, 'r' || (o_orderkey // 4) AS room, o_orderkey AS ord FROM orders)",
     "notes": f"notes AS (SELECT event_id AS note_id, user_id, replace(replace({_TEXT}[event_id % 8 + 1], '{{U}}', {_LIST(NAMES)}[user_id % 6 + 1]), '{{P}}', {_LIST(PROJECTS)}[user_id % 3 + 1]) AS text FROM events)",
+    "document_notes": "notes AS (SELECT doc_id AS note_id, doc_id AS user_id, coalesce(text, '') AS text FROM documents)",
     "vectors": "vectors AS (SELECT vec_id AS id, 'w' || (label % 3) AS wing, CAST(label AS VARCHAR) AS room, embedding FROM embeddings)",
     "conv_messages": "conv_messages AS (SELECT conv_id, turn AS ord, role, text FROM conversations WHERE role IN ('user', 'assistant'))",
 }

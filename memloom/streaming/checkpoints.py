@@ -46,12 +46,9 @@ def stream_checkpoints(messages: DataFrame, session: str, interval: int = SAVE_I
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         count, last = state.get if state.exists else (0, 0)
-        saves = 0
-        for batch in batches:
-            for _ in range(len(batch)):
-                count += 1
-                if count - last >= interval:
-                    last, saves = count, saves + 1
+        count += sum(map(len, batches))
+        saves = (count - last) // interval  # one at each interval since the last
+        last += saves * interval
         state.update((count, last))
         if saves:
             yield pd.DataFrame({session: [key[0]], "messages": [last], "saves": [saves]})
