@@ -11,13 +11,17 @@ totals by context have a fixed size. The numbers of tables are sampled by Gibbs
 full conditionals given the counts, with seats within a dish marginalised by generalised
 Stirling numbers, and the predictive probabilities of several sweeps are averaged.
 
-Counts are distributed: each (context, word) count lives in the word's shard. A first pass
-over the training tokens gathers the totals by context and sweep (fixed size, summed on the
-executors); a second sends each document's tokens to their shards, where the same seeded
-sweeps are repeated, and sums the log probabilities by document. Within a sweep a shard
-estimates the other shards' totals from its own, as words are spread by hash; the final
-probabilities use the exact totals. Words of more than HOT of a sample's tokens are spread
-over all shards by context; that choice moves work only and no result's definition.
+Counts are distributed: each (context, word) count lives in the word's shard. A pass over
+the training tokens counts them into a table with a row for each shard. Each sweep reads
+that table with its tables so far, resamples all of them given the totals of the sweep
+before (tables by context, parent customers and tables: integers, of fixed size, summed on
+the executors) and writes it anew. A last pass sends each document's tokens to their shards
+and sums the log probabilities by document, in fixed point.
+
+All randomness is keyed by word, context and sweep, all totals are exact and all sums are of
+integers, so scores do not depend on the number of shards or partitions, nor on which words
+are hot: words of more than HOT of the tokens are spread over all shards by context, which
+moves work only.
 """
 
 from __future__ import annotations
@@ -31,22 +35,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.shared import arrow_map
+from memloom.llm.shared import arrow_map, drop, materialize
 from memloom.llm.words import U64, mix, split_words
 
 CLASS_BITS = 16
 CLASSES = 1 << CLASS_BITS
-SWEEPS, BURN_IN = 4, 2
-#: Share of a sample's tokens beyond which a word is spread, and the rows of each task in that sample.
-HOT, SAMPLE_ROWS = 0.002, 100
+SWEEPS, BURN_IN = 4, 4
+#: Share of all tokens beyond which a word is spread.
+HOT = 0.002
 END, BEGIN = U64(0x0E4D0E4D0E4D0E4D), U64(0x0B0B0B0B0B0B0B0B)
 #: Documents of a message, which it names with 15 bits; they bound a worker's memory.
 ROWS = 3000
 _ROW_BITS = (1 << 15) - 1
-_SMALL = 48
+#: Up to so many customers tables are drawn from their distribution at once; more are seated in blocks of a quarter of those seated.
+_SMALL = 256
+#: Log probabilities are summed as multiples of this.
+_UNIT = 2.0**-36
 _BLOCKS = 512
 
 
@@ -58,16 +65,21 @@ class Prior(NamedTuple):
 
 
 class Totals(NamedTuple):
-    """Of all shards: customers by context, and for each kept sweep the tables by context, parent customers and parent tables."""
+    """Of all shards after a sweep: tables by context, parent customers and parent tables, and of the hot words the tables and parent tables."""
+
+    tables: np.ndarray  # (CLASSES,)
+    parent: tuple[int, int]
+    hot: np.ndarray  # (hot,)
+    hot_parent: np.ndarray  # (hot,)
+
+
+class Corpus(NamedTuple):
+    """Of all shards: customers by context, tokens, distinct tokens, and the count of each hot word."""
 
     customers: np.ndarray
-    tables: np.ndarray  # (sweeps, CLASSES)
-    parent: np.ndarray  # (sweeps, 2): t, k
     tokens: int
     vocabulary: int
-    hot_count: np.ndarray  # (hot,)
-    hot_tables: np.ndarray  # (sweeps, hot)
-    hot_parent: np.ndarray  # (sweeps, hot): k_w
+    hot: np.ndarray
 
 
 def log_stirling(d: float, most: int) -> np.ndarray:
@@ -75,68 +87,113 @@ def log_stirling(d: float, most: int) -> np.ndarray:
     out = np.full((most + 1, most + 1), -np.inf)
     out[0, 0] = 0
     for c in range(most):
-        for t in range(1, c + 2):
-            out[c + 1, t] = np.logaddexp(out[c, t - 1], out[c, t] + np.log(c - d * t) if t <= c else -np.inf)
+        t = np.arange(1, c + 2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stay = np.where(t <= c, out[c, 1 : c + 2] + np.log(np.maximum(c - d * t, 0)), -np.inf)
+        out[c + 1, 1 : c + 2] = np.logaddexp(out[c, : c + 1], stay)
     return out
 
 
 _stirling: dict[float, np.ndarray] = {}
 
 
-def sample_tables(c: np.ndarray, r: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+def _uniform(key: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1), one for each key."""
+    return (mix(key) >> U64(11)) * 2.0**-53
+
+
+def sample_tables(c: np.ndarray, r: np.ndarray, d: float, key: np.ndarray) -> np.ndarray:
     """Numbers of tables of dishes with c customers, where r is (theta + d * tables) * the parent's probability.
 
     Drawn from S(c, t) r^t for c up to _SMALL; beyond it customers are seated one block
-    after another, each block an eighth of those seated.
+    after another. The draw depends on c, r, d and the 64-bit key alone.
     """
     if d not in _stirling:
         _stirling[d] = log_stirling(d, _SMALL)
     t = np.ones(len(c), np.int64)
     order = np.argsort(c, kind="stable")
     edges = np.searchsorted(c[order], np.arange(_SMALL + 2))
+    u = _uniform(key)
     for v in range(2, _SMALL + 1):
-        for i in range(edges[v], edges[v + 1], 20_000):
-            own = order[i : min(i + 20_000, edges[v + 1])]
+        step = max(1, 1_000_000 // v)
+        for i in range(edges[v], edges[v + 1], step):
+            own = order[i : min(i + step, edges[v + 1])]
             x = _stirling[d][v, 1 : v + 1][None, :] + np.log(r[own])[:, None] * np.arange(1, v + 1)
             total = np.cumsum(np.exp(x - x.max(1, keepdims=True)), axis=1)
-            t[own] = 1 + (total < (rng.random(len(own)) * total[:, -1])[:, None]).sum(1)
-    if len(own := order[edges[_SMALL + 1] :]):
-        seated, tables, left, rate = np.ones(len(own), np.int64), np.ones(len(own), np.int64), c[own], r[own]
-        while (more := np.flatnonzero(seated < left)).size:
-            block = np.minimum(np.maximum(seated[more] // 8, 1), left[more] - seated[more])
-            new = rate[more] / (rate[more] + seated[more] - d * tables[more])
-            tables[more] += rng.binomial(block, new)
-            seated[more] += block
-        t[own] = np.minimum(tables, left)
+            t[own] = 1 + (total < (u[own] * total[:, -1])[:, None]).sum(1)
+    for i in order[edges[_SMALL + 1] :].tolist():
+        rng, left, rate = np.random.Generator(np.random.Philox(key=int(key[i]))), int(c[i]), float(r[i])
+        seated = tables = 1
+        while seated < left:
+            block = min(max(seated // 4, 1), left - seated)
+            tables += int(rng.binomial(block, rate / (rate + seated - d * tables)))
+            seated += block
+        t[i] = tables
     return t
 
 
 class Shard:
-    """The counts of one shard's words, and their sampled tables."""
+    """The counts of one shard's words and their tables after each sweep that is kept; the last ones go into the next sweep."""
+
+    def __init__(self, words: np.ndarray, keys: np.ndarray, counts: np.ndarray, hot: np.ndarray, samples: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """words: ascending hashes of the shard's words; keys: ascending (word << CLASS_BITS | context), word being a place in words, or len(words) + a hot word's number.
 
-    def __init__(self, number: int, shards: int, words: np.ndarray, keys: np.ndarray, counts: np.ndarray, n_hot: int, prior: Prior) -> None:
-        """words: ascending hashes of the shard's words; keys: ascending (word << CLASS_BITS | context), word being a place in words, or len(words) + a hot word's number."""
-        self.keys, self.counts, self.n, self.n_hot = keys, counts, len(words), n_hot
+        samples: tables by (context, word), and parent tables by word (0 for hot words, whose are among the totals).
+        """
+        self.words, self.keys, self.counts, self.n, self.hot, self.samples = words, keys, counts, len(words), hot, samples
         self.word, self.context = keys >> CLASS_BITS, keys & (CLASSES - 1)
-        self.customers = np.bincount(self.context, counts, CLASSES).astype(np.int64)
-        self.word_count = np.bincount(self.word, counts, self.n + n_hot).astype(np.int64)
-        rng = np.random.Generator(np.random.PCG64([7, number]))
-        self.samples: list[tuple[np.ndarray, np.ndarray]] = []  # tables by (context, word), parent tables by word
-        t = np.ones(len(keys), np.int64)
-        k = np.minimum(np.bincount(self.word, t, self.n + n_hot).astype(np.int64), 1)
-        for sweep in range(BURN_IN + SWEEPS):
-            by_word = np.bincount(self.word, t, self.n + n_hot)
-            vocabulary = shards * max(1, int((self.word_count[: self.n] > 0).sum()))
-            total, tables = shards * max(1.0, by_word.sum()), shards * max(1.0, k.sum())
-            by_word[self.n :] *= shards  # a hot word's contexts are spread alike
-            base = (prior.theta0 + prior.d0 * tables) / (vocabulary + 1)
-            parent = (np.maximum(by_word - prior.d0 * k, 0) + base) / (prior.theta0 + total)
-            here = np.bincount(self.context, t, CLASSES) * shards
-            t = sample_tables(counts, (prior.theta + prior.d * here[self.context]) * parent[self.word], prior.d, rng)
-            by_word = np.bincount(self.word, t, self.n + n_hot).astype(np.int64)
-            k = sample_tables(np.maximum(by_word, 1), np.full(len(by_word), base), prior.d0, rng) * (by_word > 0)
-            if sweep >= BURN_IN:
-                self.samples.append((t, k))
+
+    def by_word(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word, values, self.n + len(self.hot)).astype(np.int64)
+
+    def start(self) -> None:
+        """One table for each dish."""
+        t = np.ones(len(self.keys), np.int64)
+        k = np.minimum(self.by_word(t), 1)
+        k[self.n :] = 0
+        self.samples = [(t, k)]
+
+    def parent(self, sample: int, totals: Totals, vocabulary: int, prior: Prior) -> tuple[np.ndarray, float]:
+        """The parent's probability of each word, and that of its base times its strength."""
+        t, k = self.samples[sample]
+        by_word, k = self.by_word(t), k.copy()
+        by_word[self.n :], k[self.n :] = totals.hot, totals.hot_parent
+        base = (prior.theta0 + prior.d0 * totals.parent[1]) / (vocabulary + 1)
+        return (np.maximum(by_word - prior.d0 * k, 0) + base) / (prior.theta0 + totals.parent[0]), base
+
+    def sweep(self, number: int, totals: Totals, vocabulary: int, prior: Prior, keep: bool) -> None:
+        parent, _ = self.parent(-1, totals, vocabulary, prior)
+        names = np.concatenate([self.words, self.hot])
+        with np.errstate(over="ignore"):
+            key = mix(names[self.word] + U64(2 * number + 1) * U64(0x9E3779B97F4A7C15)) ^ (self.context.astype(U64) << U64(7))
+        t = sample_tables(self.counts, (prior.theta + prior.d * totals.tables[self.context]) * parent[self.word], prior.d, key)
+        k = parent_tables(self.by_word(t)[: self.n], self.words, number, totals.parent[1], vocabulary, prior)
+        self.samples = [*(self.samples if keep else []), (t, np.concatenate([k, np.zeros(len(self.hot), np.int64)]))]
+
+    def sums(self) -> dict[int, np.ndarray]:
+        """What totals are summed from, in _BLOCKS blocks of contexts; block -1 has the single numbers and the hot words."""
+        t, k = self.samples[-1]
+        by_word, count = self.by_word(t), self.by_word(self.counts)
+        single = np.concatenate([[self.counts.sum(), (count[: self.n] > 0).sum(), t.sum(), k.sum()], count[self.n :], by_word[self.n :]])
+        contexts = np.array([np.bincount(self.context, x, CLASSES) for x in (self.counts, t)]).astype(np.int64)
+        return {-1: single.astype(np.int64), **{b: x for b, x in enumerate(np.split(contexts, _BLOCKS, axis=1)) if x.any()}}
+
+    def pack(self) -> bytes:
+        return _pack(self.words, np.diff(self.keys, prepend=0), self.counts.astype(np.uint32), *(x.astype(np.uint32) for sample in self.samples for x in sample))
+
+    @staticmethod
+    def unpack(data: bytes, samples: int, hot: np.ndarray) -> Shard:
+        words, steps, counts, *rest = _unpacked(data, "<u8", "<i8", *["<u4"] * (1 + 2 * samples))
+        rest = [x.astype(np.int64) for x in rest]
+        return Shard(words, np.cumsum(steps), counts.astype(np.int64), hot, list(zip(rest[::2], rest[1::2], strict=True)))
+
+
+def parent_tables(by_word: np.ndarray, words: np.ndarray, sweep: int, tables: int, vocabulary: int, prior: Prior) -> np.ndarray:
+    """Tables of each word in the parent restaurant, of which it has by_word customers."""
+    base = (prior.theta0 + prior.d0 * tables) / (vocabulary + 1)
+    with np.errstate(over="ignore"):
+        key = mix(words + U64(2 * sweep + 2) * U64(0x9E3779B97F4A7C15))
+    return sample_tables(np.maximum(by_word, 1), np.full(len(by_word), base), prior.d0, key) * (by_word > 0)
 
 
 def _prefix_class(previous: np.ndarray) -> np.ndarray:
@@ -223,60 +280,76 @@ def _unpacked(data: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-def _shards(batches: Iterator[pa.RecordBatch], shards: int, n_hot: int, prior: Prior) -> Iterator[tuple[Shard, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Each shard of a partition with all its tokens: the shard, their keys, whether they train, their document's base and row."""
-    held: dict[int, list[tuple]] = defaultdict(list)
+_STATE = "shard int, data binary, block array<int>, sums array<binary>"
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """The messages (kind, base, data) of each shard; rows come sorted by shard, so one shard's are held at a time."""
+    number, held = -1, []
     for batch in batches:
-        for x in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "base", "data")), strict=True):
-            held[x[0]].append(x[1:])
-    for number in sorted(held):
-        parts = []
-        for kind, base, data in held.pop(number):
-            if kind == 2:
-                continue
-            words = np.zeros(0, U64)
-            if kind == 0:
-                words, high, low, row = _unpacked(data, "<u8", "<u4", "<u2", "<u2")
-            else:
-                high, low, row = _unpacked(data, "<u4", "<u2", "<u2")
-            key = np.cumsum((high.astype(U64) << U64(16)) | low.astype(U64), dtype=U64).astype(np.int64)
-            parts.append((kind, words, key, row, base))
-        if not parts:
-            continue
-        words = np.unique(np.concatenate([p[1] for p in parts]))
-        keys = []
-        for kind, own, key, _, _ in parts:
-            place = np.searchsorted(words, own) if kind == 0 else len(words) + np.arange(n_hot)
-            keys.append(place[key >> 16] << CLASS_BITS | key & 0xFFFF)
-        keys, row = np.concatenate(keys), np.concatenate([p[3] for p in parts])
-        base = np.repeat([p[4] for p in parts], [len(p[3]) for p in parts])
-        training = row >= 1 << 15
-        types, counts = np.unique(keys[training], return_counts=True)
-        yield Shard(number, shards, words, types, counts, n_hot, prior), keys, training, base, (row & _ROW_BITS).astype(np.int64)
-
-
-def _gather(shards: int, n_hot: int, prior: Prior):
-    """A partition's shards -> their totals, in _BLOCKS blocks of contexts; block -1 has the single numbers and the hot words."""
+        for shard, *message in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "base", "data")), strict=True):
+            if shard != number and held:
+                yield number, held
+                held = []
+            number = shard
+            held.append(tuple(message))
+    if held:
+        yield number, held
+
+
+def _joined(messages: list[tuple], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's words and, of all its tokens, the keys (places in words), the document's base and its row."""
+    parts = []
+    for kind, base, data in messages:
+        words = np.zeros(0, U64)
+        if kind == 0:
+            words, high, low, row = _unpacked(data, "<u8", "<u4", "<u2", "<u2")
+        else:
+            high, low, row = _unpacked(data, "<u4", "<u2", "<u2")
+        key = np.cumsum((high.astype(U64) << U64(16)) | low.astype(U64), dtype=U64).astype(np.int64)
+        parts.append((kind, words, key, row, base))
+    words = np.unique(np.concatenate([p[1] for p in parts]))
+    keys = []
+    for kind, own, key, _, _ in parts:
+        place = np.searchsorted(words, own) if kind == 0 else len(words) + np.arange(len(hot))
+        keys.append(place[key >> 16] << CLASS_BITS | key & 0xFFFF)
+    return words, np.concatenate(keys), np.repeat([p[4] for p in parts], [len(p[3]) for p in parts]), np.concatenate([p[3] for p in parts])
+
+
+def _rows(shards: Iterator[tuple[int, Shard]]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for number, shard in shards:
+        sums = shard.sums()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int32()), pa.array([shard.pack()], pa.binary()), pa.array([[*sums]], pa.list_(pa.int32())), pa.array([[squeeze.compress(x.tobytes()) for x in sums.values()]], pa.list_(pa.binary()))],
+            ["shard", "data", "block", "sums"],
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts, rest = np.zeros((1 + SWEEPS, CLASSES)), np.zeros(2 + 2 * SWEEPS + n_hot * (1 + SWEEPS))
-        for shard, _, _, _, _ in _shards(batches, shards, n_hot, prior):
-            contexts[0] += shard.customers
-            one, n = [shard.counts.sum(), (shard.word_count[: shard.n] > 0).sum()], shard.n
-            hot = [shard.word_count[n:]]
-            for s, (t, k) in enumerate(shard.samples):
-                contexts[1 + s] += np.bincount(shard.context, t, CLASSES)
-                one += [t.sum(), k[:n].sum()]
-                hot.append(np.bincount(shard.word, t, n + n_hot)[n:])
-            rest += np.concatenate([one, *hot])
-        yield _packed_sums({-1: rest, **dict(enumerate(np.split(contexts.astype(np.int64), _BLOCKS, axis=1)))})
 
-    return run
+def _counted(hot: np.ndarray):
+    """Training messages -> each shard's counts, with one table for each dish."""
 
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Shard]]:
+        for number, messages in _groups(batches):
+            words, keys, _, _ = _joined(messages, hot)
+            shard = Shard(words, *np.unique(keys, return_counts=True), hot, [])
+            shard.start()
+            yield number, shard
 
-def _packed_sums(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
-    squeeze = zstandard.ZstdCompressor(level=1)
-    return pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([squeeze.compress(x.astype(np.int64).tobytes()) for x in sums.values()], pa.binary())], ["block", "sums"])
+    return lambda batches: _rows(shards(batches))
+
+
+def _swept(sweep: int, samples: int, keep: bool, totals: Totals, vocabulary: int, hot: np.ndarray, prior: Prior):
+    """Each shard after one more sweep."""
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Shard]]:
+        for batch in batches:
+            for number, data in zip(batch.column("shard").to_pylist(), batch.column("data"), strict=True):
+                shard = Shard.unpack(data.as_py(), samples, hot)
+                shard.sweep(sweep, totals, vocabulary, prior, keep)
+                yield number, shard
+
+    return lambda batches: _rows(shards(batches))
 
 
 def _sums_of(data: bytes) -> np.ndarray:
@@ -286,55 +359,87 @@ def _sums_of(data: bytes) -> np.ndarray:
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, sums in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-            x = _sums_of(sums)
-            total[block] = total[block] + x if block in total else x
-    yield _packed_sums(total)
+        for blocks, sums in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+            for block, x in zip(blocks, map(_sums_of, sums), strict=True):
+                total[block] = total[block] + x if block in total else x
+    squeeze = zstandard.ZstdCompressor(level=1)
+    rows = [[block] for block in total], [[squeeze.compress(x.tobytes())] for x in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.list_(pa.int32())), pa.array(rows[1], pa.list_(pa.binary()))], ["block", "sums"])
+
+
+def _totals(state: DataFrame, sweep: int, hot: np.ndarray, before: Totals | None, prior: Prior) -> tuple[Corpus, Totals]:
+    """The sums of all shards: _BLOCKS + 1 rows of fixed size reach the driver."""
+    some = "block array<int>, sums array<binary>"
+    one = state.select("block", "sums").transform(arrow_map, _summed, some)
+    rows = one.repartition("block").transform(arrow_map, _summed, some).collect()
+    found = {r["block"][0]: _sums_of(bytes(r["sums"][0])) for r in rows}
+    nothing = np.zeros(2 * CLASSES // _BLOCKS, np.int64)
+    contexts = np.concatenate([found.get(b, nothing).reshape(2, -1) for b in range(_BLOCKS)], axis=1)
+    single = found.get(-1, np.zeros(4 + 2 * len(hot), np.int64))
+    count, tables = single[4 : 4 + len(hot)], single[4 + len(hot) :]
+    corpus = Corpus(contexts[0], int(single[0]), int(single[1]) + int((count > 0).sum()), count)
+    # The hot words' tables in the parent restaurant need their totals.
+    hot_parent = np.minimum(tables, 1) if before is None else parent_tables(tables, hot, sweep, before.parent[1], corpus.vocabulary, prior)
+    return corpus, Totals(contexts[1], (int(single[2]), int(single[3]) + int(hot_parent.sum())), tables, hot_parent)
 
 
 _SUMS = "base long, kind int, data binary"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, log_count double, log_model double"
 
 
-def _scores(shards: int, n_hot: int, prior: Prior, totals: Totals):
-    """A partition's shards -> for each message's documents, packed, the sums of those with tokens there; the documents themselves go on as they are."""
+def _scores(corpus: Corpus, kept: list[Totals], hot: np.ndarray, prior: Prior):
+    """A partition's shards and tokens -> for each message's documents, packed, the sums of those with tokens there; the documents themselves go on as they are."""
 
-    def probabilities(shard: Shard, types: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Averaged P(w | g) of distinct keys; types: their places in shard.keys, or -1."""
-        word, context, n = keys >> CLASS_BITS, keys & (CLASSES - 1), shard.n
-        seen, out = types >= 0, np.zeros(len(keys))
-        for s, (t, k) in enumerate(shard.samples):
-            by_word, k = np.bincount(shard.word, t, n + n_hot), k.astype(float)
-            by_word[n:], k[n:] = totals.hot_tables[s], totals.hot_parent[s]
-            total, tables = totals.parent[s]
-            parent = np.maximum(by_word - prior.d0 * k, 0) + (prior.theta0 + prior.d0 * tables) / (totals.vocabulary + 1)
-            parent /= prior.theta0 + total
+    def probabilities(shard: Shard, types: np.ndarray, keys: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Averaged P(w | g) of distinct keys; types: their places in shard.keys, or -1; place: of their words in the shard, or -1."""
+        context, seen, out = keys & (CLASSES - 1), types >= 0, np.zeros(len(keys))
+        for s, totals in enumerate(kept):
+            parent, base = shard.parent(s, totals, corpus.vocabulary, prior)
+            above = np.where(place >= 0, parent[place], base / (prior.theta0 + totals.parent[0]))
             own = np.zeros(len(keys))
-            own[seen] = shard.counts[types[seen]] - prior.d * t[types[seen]]
-            out += (own + (prior.theta + prior.d * totals.tables[s][context]) * parent[word]) / (prior.theta + totals.customers[context])
-        return out / len(shard.samples)
+            own[seen] = shard.counts[types[seen]] - prior.d * shard.samples[s][0][types[seen]]
+            out += (own + (prior.theta + prior.d * totals.tables[context]) * above) / (prior.theta + corpus.customers[context])
+        return out / len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, found = [], []
-        for batch in batches:  # the documents go on at once, the tokens are kept for _shards()
-            kind = batch.column("kind")
-            documents = batch.filter(pc.equal(kind, 2))
-            yield pa.RecordBatch.from_arrays([documents.column(c) for c in ("base", "kind", "data")], ["base", "kind", "data"])
-            rows.append(batch.filter(pc.not_equal(kind, 2)))
-        for shard, keys, _, base, row in _shards(iter(rows), shards, n_hot, prior):
+        found, documents = [], []
+
+        def tokens() -> Iterator[pa.RecordBatch]:
+            for batch in batches:  # the documents go on, the tokens are kept for their shard
+                kind = batch.column("kind")
+                documents.append(batch.filter(pc.equal(kind, 2)).select(["base", "kind", "data"]))
+                yield batch.filter(pc.not_equal(kind, 2))
+
+        for _, messages in _groups(tokens()):
+            while documents:
+                yield documents.pop()
+            states = [data for kind, _, data in messages if kind == 3]
+            messages = [m for m in messages if m[0] != 3]
+            if not messages:
+                continue
+            shard = Shard.unpack(states[0], len(kept), hot) if states else Shard(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), hot, [(np.zeros(0, np.int64), np.zeros(len(hot), np.int64))] * len(kept))
+            words, keys, base, row = _joined(messages, hot)
+            # Words of the shard's counts, and those that only held-out documents have.
+            at = np.minimum(np.searchsorted(shard.words, words), max(shard.n - 1, 0))
+            known = shard.words[at] == words if shard.n else np.zeros(len(words), bool)
+            place = np.concatenate([np.where(known, at, -1), shard.n + np.arange(len(hot))])
             distinct, inverse = np.unique(keys, return_inverse=True)
-            at = np.minimum(np.searchsorted(shard.keys, distinct), max(len(shard.keys) - 1, 0))
-            types = np.where(shard.keys[at] == distinct, at, -1) if len(shard.keys) else np.full(len(distinct), -1)
-            count = shard.word_count.copy()
-            count[shard.n :] = totals.hot_count
-            count = count[distinct >> CLASS_BITS]
-            each = np.log10(np.maximum(probabilities(shard, types, distinct), 1e-300))
-            found.append(_by_document(base, row, [(count > 0)[inverse], np.log10(count + 1.0)[inverse], each[inverse]]))
+            of_word = place[distinct >> CLASS_BITS]
+            own = np.where(of_word >= 0, of_word << CLASS_BITS | distinct & (CLASSES - 1), -1)
+            at = np.minimum(np.searchsorted(shard.keys, own), max(len(shard.keys) - 1, 0))
+            types = np.where(shard.keys[at] == own, at, -1) if len(shard.keys) else np.full(len(distinct), -1)
+            count = shard.by_word(shard.counts)
+            count[shard.n :] = corpus.hot
+            count = np.where(of_word >= 0, count[of_word], 0)
+            each = np.log10(np.maximum(probabilities(shard, types, distinct, of_word), 1e-300))
+            fixed = lambda x: np.round(x / _UNIT).astype(np.int64)
+            found.append(_by_document(base, (row & _ROW_BITS).astype(np.int64), [(count > 0)[inverse].astype(np.int64), fixed(np.log10(count + 1.0))[inverse], fixed(each)[inverse]]))
+        yield from documents
         if found:
             base, row, sums = (np.concatenate(x, axis=-1) for x in zip(*found, strict=True))
             base, row, sums = _by_document(base, row, sums)
             edges = np.flatnonzero(np.diff(base, prepend=base[0] - 1))
-            data = [_pack(row[a:b].astype(np.uint16), sums[0, a:b].astype(np.uint32), sums[1, a:b], sums[2, a:b]) for a, b in zip(edges, [*edges[1:], len(base)], strict=True)]
+            data = [_pack(row[a:b].astype(np.uint16), *sums[:, a:b]) for a, b in zip(edges, [*edges[1:], len(base)], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(base[edges]), pa.array([0] * len(edges), pa.int32()), pa.array(data, pa.binary())], ["base", "kind", "data"])
 
     return run
@@ -342,89 +447,93 @@ def _scores(shards: int, n_hot: int, prior: Prior, totals: Totals):
 
 def _by_document(base: np.ndarray, row: np.ndarray, values: list[np.ndarray] | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums of the values by document, in order."""
-    uid, first, place = np.unique(base + row, return_index=True, return_inverse=True)
-    return base[first], row[first], np.array([np.bincount(place, v, len(uid)) for v in values])
+    order = np.argsort(base + row, kind="stable")
+    uid = (base + row)[order]
+    first = np.flatnonzero(np.diff(uid, prepend=uid[0] - 1)) if len(uid) else np.zeros(0, int)
+    sums = [np.add.reduceat(v[order], first) if len(uid) else np.zeros(0, np.int64) for v in values]
+    return base[order][first], row[order][first], np.array(sums, np.int64)
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All that was found for a message's documents, added up."""
     documents: dict[int, bytes] = {}
-    sums: dict[int, np.ndarray] = defaultdict(lambda: np.zeros((3, ROWS)))
+    sums: dict[int, np.ndarray] = defaultdict(lambda: np.zeros((3, ROWS), np.int64))
     for batch in batches:
         for base, kind, data in zip(*(batch.column(c).to_pylist() for c in ("base", "kind", "data")), strict=True):
             if kind == 2:
                 documents[base] = data
             else:
-                row, *values = _unpacked(data, "<u2", "<u4", "<f8", "<f8")
+                row, *values = _unpacked(data, "<u2", "<i8", "<i8", "<i8")
                 sums[base][:, row] += np.array(values)
     for base, data in documents.items():
         ids, null, held, n = _unpacked(data, "<i8", "i1", "i1", "<i4")
         known, log_count, log_model = sums[base][:, : len(ids)]
-        columns = [pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(log_count), pa.array(log_model)]
+        columns = [pa.array(ids, mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(n.astype(np.int64)), pa.array(known), pa.array(log_count * _UNIT), pa.array(log_model * _UNIT)]
         yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SCORES.split(", ")])
 
 
 def hot_words(texts: DataFrame) -> np.ndarray:
-    """Hashes of the words with more than HOT of the tokens of each task's first SAMPLE_ROWS rows: at most 1 / HOT of them."""
+    """Hashes of the words with more than HOT of some block of about a megabyte of text and, counted in such blocks alone, half that of all: at most 2 / HOT words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, int] = defaultdict(int)
+        total = 0
         for batch in batches:
-            tokens = [token for _, _, token, _ in _tokens(batch.slice(0, SAMPLE_ROWS))]
-            if not tokens:
-                continue
-            words, n = np.unique(np.concatenate(tokens), return_counts=True)
-            some = np.argsort(-n, kind="stable")[: int(2 / HOT)]
-            yield pa.RecordBatch.from_arrays([pa.array(words[some].view(np.int64)), pa.array(n[some].astype(np.int64)), pa.array([int(n.sum())] + [0] * (len(some) - 1), pa.int64())], ["word", "n", "total"])
-            return
-
-    found = texts.transform(arrow_map, run, "word long, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    total = found.agg(F.sum("total")).first()[0] or 0
-    rows = found.where(F.col("n") > HOT * total).select("word").collect() if total else []
+            for _, _, tokens, _ in _tokens(batch):
+                words, n = np.unique(tokens, return_counts=True)
+                total += len(tokens)
+                for w, c in zip(words[n > HOT * len(tokens)].view(np.int64).tolist(), n[n > HOT * len(tokens)].tolist(), strict=True):
+                    found[w] += c
+        yield pa.RecordBatch.from_arrays([pa.array([None, *found], pa.int64()), pa.array([total, *found.values()], pa.int64())], ["word", "n"])
+
+    found = texts.transform(arrow_map, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = F.sum(F.when(F.col("word").isNull(), F.col("n"))).over(Window.partitionBy())
+    rows = found.where(F.col("n") > 0).withColumn("total", total).where("word is not null and n > total * %r" % (HOT / 2)).select("word").collect()
     return np.sort(np.array([r["word"] for r in rows], np.int64)).view(U64)
 
 
-def score_corpus(docs: DataFrame, *, held_out: Column, prior: Prior = Prior()) -> DataFrame:
+def score_corpus(docs: DataFrame, *, held_out: Column, prior: Prior = Prior(), shards: int | None = None) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for each row.
 
     The model learns from every row that is not held out and scores every row. Tokens: words
     (A-Z lower-cased) and one end for each text; null and empty texts have the end alone.
     base_score is that of add-one unigrams, score the model's log10 probability. Rows that
     repeat a doc_id, and null doc_ids, are documents of their own. An empty table gives no
-    rows; with nothing to learn from, every word is the unknown one.
+    rows; with nothing to learn from, every word is the unknown one. shards (two for each
+    partition) divides the work and changes no score.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = 2 * parts
+    shards = shards or 2 * parts
     hot = hot_words(texts.select("text"))
 
-    def dealt(scoring: bool) -> DataFrame:
-        return texts.transform(arrow_map, _messages(shards, hot, scoring), _MESSAGE).repartitionById(parts, F.col("shard") % parts)
-
-    sums = dealt(False).transform(arrow_map, _gather(shards, len(hot), prior), "block int, sums binary")
-    found = {r["block"]: _sums_of(bytes(r["sums"])) for r in sums.repartition("block").transform(arrow_map, _summed, "block int, sums binary").collect()}  # _BLOCKS + 1 rows of fixed size
-    if not found:
-        found = {-1: np.zeros(2 + 2 * SWEEPS + len(hot) * (1 + SWEEPS))} | {b: np.zeros((1 + SWEEPS) * CLASSES // _BLOCKS) for b in range(_BLOCKS)}
-    contexts = np.concatenate([found[b].reshape(1 + SWEEPS, -1) for b in range(_BLOCKS)], axis=1)
-    one, by_hot = found[-1][: 2 + 2 * SWEEPS], found[-1][2 + 2 * SWEEPS :].reshape(1 + SWEEPS, len(hot))
-    vocabulary = int(one[1]) + int((by_hot[0] > 0).sum())
-    parent = one[2:].reshape(SWEEPS, 2).copy()
-    rng = np.random.Generator(np.random.PCG64([7, shards]))
-    hot_parent = np.zeros((SWEEPS, len(hot)))
-    for s in range(SWEEPS):  # the hot words' own tables in the parent restaurant need their totals
-        base = (prior.theta0 + prior.d0 * max(parent[s, 1], 1)) / (vocabulary + 1)
-        hot_parent[s] = sample_tables(np.maximum(by_hot[1 + s].astype(np.int64), 1), np.full(len(hot), base), prior.d0, rng) * (by_hot[1 + s] > 0)
-        parent[s, 1] += hot_parent[s].sum()
-    totals = Totals(contexts[0], contexts[1:], parent, int(one[0]), vocabulary, by_hot[0].astype(np.int64), by_hot[1:], hot_parent)
-    parted = dealt(True).transform(arrow_map, _scores(shards, len(hot), prior, totals), _SUMS)
+    def by_shard(messages: DataFrame) -> DataFrame:
+        return messages.repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard", F.desc("kind"))
+
+    training = texts.transform(arrow_map, _messages(shards, hot, False), _MESSAGE)
+    state = materialize(by_shard(training).transform(arrow_map, _counted(hot), _STATE), "counts")
+    corpus, totals = _totals(state, 0, hot, None, prior)
+    kept: list[Totals] = []
+    for sweep in range(1, BURN_IN + SWEEPS + 1):
+        keep = len(kept) > 0  # the samples before stay as well
+        after = materialize(state.select("shard", "data").transform(arrow_map, _swept(sweep, max(len(kept), 1), keep, totals, corpus.vocabulary, hot, prior), _STATE), "sweep")
+        drop(state)
+        state = after
+        _, totals = _totals(state, sweep, hot, totals, prior)
+        if sweep > BURN_IN:
+            kept.append(totals)
+    scoring = texts.transform(arrow_map, _messages(shards, hot, True), _MESSAGE)
+    samples = state.select("shard", F.lit(3).alias("kind"), F.lit(0).cast("long").alias("base"), "data")
+    parted = by_shard(scoring.unionByName(samples)).transform(arrow_map, _scores(corpus, kept, hot, prior), _SUMS)
     by_doc = parted.repartition(parts, "base").transform(arrow_map, _finish, _SCORES)
     return by_doc.select(
         "doc_id",
         "held_out",
         "n_tokens",
         "n_known",
-        F.lit(totals.tokens).cast("long").alias("train_tokens"),
-        (F.col("log_count") - F.col("n_tokens") * float(np.log10(totals.tokens + totals.vocabulary + 1))).alias("base_score"),
+        F.lit(corpus.tokens).cast("long").alias("train_tokens"),
+        (F.col("log_count") - F.col("n_tokens") * float(np.log10(corpus.tokens + corpus.vocabulary + 1))).alias("base_score"),
         F.col("log_model").alias("score"),
         F.pow(F.lit(10.0), -F.col("log_model") / F.col("n_tokens")).alias("perplexity"),
     )

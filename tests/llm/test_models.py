@@ -68,34 +68,95 @@ def test_language_model_of_odd_rows(spark):
     assert (nothing[0]["train_tokens"], nothing[0]["n_known"]) == (0, 0) and math.isfinite(nothing[0]["score"])
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = []
+    for parts, shards, hot in ((4, None, 0.002), (16, 5, 0.002), (3, 64, 0.05), (7, 1, 1.0)):
+        old, H.HOT = (spark.conf.get("spark.sql.shuffle.partitions"), H.HOT), hot
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        rows = H.score_corpus(docs.repartition(parts), held_out=X.held_out_rows(2, 7), shards=shards).orderBy("doc_id").collect()
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        H.HOT = old[1]
+        found.append([tuple(r) for r in rows])
+    assert found[0] == found[1] == found[2] == found[3]
+
+
+def test_model_against_a_plain_version(spark):
+    """The same sweeps over dictionaries, with draws by the same keys."""
+    r = random.Random(8)
+    docs = {i: " ".join(r.choice(["aa", "bb", "cc", "dd", f"w{r.randrange(40)}"]) for _ in range(r.randint(0, 60))) for i in range(60)}
+    held = {i for i in docs if zlib.crc32(str(i).encode()) % 7 == 2}
+    prior, counts, lines = H.Prior(), {}, {}
+    for i, text in docs.items():
+        for _, _, tokens, contexts in H._tokens(pa.RecordBatch.from_arrays([pa.array([text])], ["text"])):
+            lines[i] = list(zip(tokens.tolist(), contexts.tolist(), strict=True))
+        for w, g in lines[i] if i not in held else []:
+            counts[w, g] = counts.get((w, g), 0) + 1
+    words, contexts = sorted({w for w, _ in counts}), {g for _, g in counts}
+    total = lambda d, at, x: sum(n for key, n in d.items() if key[at] == x)
+    draw = lambda c, rate, d, key: int(H.sample_tables(np.array([c]), np.array([rate]), d, np.array([key], np.uint64))[0])
+    step, whole = 0x9E3779B97F4A7C15, 1 << 64
+    mixed = lambda x: int(H.mix(np.array([x % whole], np.uint64))[0])
+    t, k, kept = dict.fromkeys(counts, 1), dict.fromkeys(words, 1), []
+
+    def parent(w, t, k):
+        base = (prior.theta0 + prior.d0 * sum(k.values())) / (len(words) + 1)
+        return (max(total(t, 0, w) - prior.d0 * k.get(w, 0), 0) + base) / (prior.theta0 + sum(t.values()))
+
+    for sweep in range(1, H.BURN_IN + H.SWEEPS + 1):
+        above, tables = {w: parent(w, t, k) for w in words}, {g: total(t, 1, g) for g in contexts}
+        base = (prior.theta0 + prior.d0 * sum(k.values())) / (len(words) + 1)
+        t = {(w, g): draw(c, (prior.theta + prior.d * tables[g]) * above[w], prior.d, mixed(w + (2 * sweep + 1) * step) ^ (g << 7)) for (w, g), c in counts.items()}
+        k = {w: draw(total(t, 0, w), base, prior.d0, mixed(w + (2 * sweep + 2) * step)) for w in words}
+        if sweep > H.BURN_IN:
+            kept.append((t, k, {w: parent(w, t, k) for w in words}, {g: total(t, 1, g) for g in contexts}))
+    customers = {g: total(counts, 1, g) for g in contexts}
+
+    def log_probability(w, g):
+        p = 0.0
+        for t, k, above, tables in kept:
+            own = counts.get((w, g), 0) - prior.d * t.get((w, g), 0)
+            p += (own + (prior.theta + prior.d * tables.get(g, 0)) * (above[w] if w in above else parent(w, t, k))) / (prior.theta + customers.get(g, 0))
+        return math.log10(p / len(kept))
+
+    found = {x["doc_id"]: x["score"] for x in H.score_corpus(frame(spark, docs.items()), held_out=X.held_out_rows(2, 7)).collect()}
+    for i in docs:
+        assert math.isclose(found[i], sum(log_probability(w, g) for w, g in lines[i]), rel_tol=1e-7)
+
+
 def test_probabilities_sum_to_one():
     """Over the vocabulary and the unknown word, in one context, with one shard."""
     prior, rng = H.Prior(), np.random.default_rng(1)
     words = np.sort(rng.integers(1, 2**62, 30).astype(np.uint64))
     keys = np.unique(rng.integers(0, 30, 200) << H.CLASS_BITS | rng.integers(0, 5, 200))
     keys = np.unique(np.concatenate([keys, np.arange(30) << H.CLASS_BITS | 3]))
-    shard = H.Shard(0, 1, words, keys, rng.integers(1, 9, len(keys)), 0, prior)
-    for t, k in shard.samples:
+    hot = np.zeros(0, np.uint64)
+    shard = H.Shard(words, keys, rng.integers(1, 9, len(keys)), hot, [])
+    shard.start()
+    for sweep in range(1, 4):
+        t, k = shard.samples[-1]
+        totals = H.Totals(np.bincount(shard.context, t, H.CLASSES).astype(np.int64), (int(t.sum()), int(k.sum())), hot.astype(np.int64), hot.astype(np.int64))
         assert ((t >= 1) & (t <= shard.counts)).all()
-        by_word, total, tables = np.bincount(shard.word, t), t.sum(), k.sum()
-        base = (prior.theta0 + prior.d0 * tables) / 31
-        parent = (np.append(by_word - prior.d0 * k, 0) + base) / (prior.theta0 + total)
+        parent, base = shard.parent(-1, totals, 30, prior)
+        parent = np.append(parent, base / (prior.theta0 + t.sum()))
         assert math.isclose(parent.sum(), 1)
         for g in range(5):
-            own = np.zeros(31)
-            here = shard.context == g
+            own, here = np.zeros(31), shard.context == g
             own[shard.word[here]] = shard.counts[here] - prior.d * t[here]
             p = (own + (prior.theta + prior.d * t[here].sum()) * parent) / (prior.theta + shard.counts[here].sum())
             assert math.isclose(p.sum(), 1)
+        shard.sweep(sweep, totals, 30, prior, keep=False)
 
 
 def test_tables_follow_their_distribution():
     d, c, r = 0.8, 6, 0.7
+    keys = H.mix(np.arange(1, 40_001).astype(np.uint64))
     weights = np.exp([H.log_stirling(d, c)[c, t] + t * math.log(r) for t in range(1, c + 1)])
-    drawn = H.sample_tables(np.full(40_000, c), np.full(40_000, r), d, np.random.default_rng(0))
+    drawn = H.sample_tables(np.full(40_000, c), np.full(40_000, r), d, keys)
     assert abs(drawn.mean() - (weights * np.arange(1, c + 1)).sum() / weights.sum()) < 0.03
-    large = H.sample_tables(np.array([5000, 1, 2]), np.array([0.5, 0.5, 1e-12]), d, np.random.default_rng(0))
+    large = H.sample_tables(np.array([5000, 1, 2]), np.array([0.5, 0.5, 1e-12]), d, keys[:3])
     assert 1 <= large[0] < 5000 and large[1:].tolist() == [1, 1]
+    assert large[0] == H.sample_tables(np.array([5000]), np.array([0.5]), d, keys[:1])[0]
 
 
 def held_out_accuracy(found, label):
