@@ -35,7 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm.shared import arrow_map, drop, materialize
@@ -46,6 +46,8 @@ CLASSES = 1 << CLASS_BITS
 SWEEPS, BURN_IN = 4, 4
 #: Share of all tokens beyond which a word is spread.
 HOT = 0.002
+#: Tokens of a shard, which one worker holds in memory.
+SHARD_TOKENS = 4_000_000
 END, BEGIN = U64(0x0E4D0E4D0E4D0E4D), U64(0x0B0B0B0B0B0B0B0B)
 #: Documents of a message, which it names with 15 bits; they bound a worker's memory.
 ROWS = 3000
@@ -179,13 +181,21 @@ class Shard:
         return {-1: single.astype(np.int64), **{b: x for b, x in enumerate(np.split(contexts, _BLOCKS, axis=1)) if x.any()}}
 
     def pack(self) -> bytes:
-        return _pack(self.words, np.diff(self.keys, prepend=0), self.counts.astype(np.uint32), *(x.astype(np.uint32) for sample in self.samples for x in sample))
+        """Dishes and words of one customer have one table always and need no space."""
+        dishes, words = self.counts > 1, self.by_word(self.counts)[: self.n] > 1
+        samples = [x for t, k in self.samples for x in (t[dishes], k[: self.n][words])]
+        return _pack(self.words, np.diff(self.word, prepend=0).astype(np.uint32), self.context.astype(np.uint16), *(x.astype(np.uint32) for x in (self.counts, *samples)))
 
     @staticmethod
     def unpack(data: bytes, samples: int, hot: np.ndarray) -> Shard:
-        words, steps, counts, *rest = _unpacked(data, "<u8", "<i8", *["<u4"] * (1 + 2 * samples))
-        rest = [x.astype(np.int64) for x in rest]
-        return Shard(words, np.cumsum(steps), counts.astype(np.int64), hot, list(zip(rest[::2], rest[1::2], strict=True)))
+        names, steps, contexts, counts, *rest = _unpacked(data, "<u8", "<u4", "<u2", *["<u4"] * (1 + 2 * samples))
+        shard = Shard(names, np.cumsum(steps, dtype=np.int64) << CLASS_BITS | contexts, counts.astype(np.int64), hot, [])
+        dishes, words = shard.counts > 1, shard.by_word(shard.counts)[: shard.n] > 1
+        for some_t, some_k in zip(rest[::2], rest[1::2], strict=True):
+            t, k = np.ones(len(shard.keys), np.int64), np.append(np.ones(shard.n, np.int64), np.zeros(len(hot), np.int64))
+            t[dishes], k[: shard.n][words] = some_t, some_k
+            shard.samples.append((t, k))
+        return shard
 
 
 def parent_tables(by_word: np.ndarray, words: np.ndarray, sweep: int, tables: int, vocabulary: int, prior: Prior) -> np.ndarray:
@@ -472,8 +482,8 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SCORES.split(", ")])
 
 
-def hot_words(texts: DataFrame) -> np.ndarray:
-    """Hashes of the words with more than HOT of some block of about a megabyte of text and, counted in such blocks alone, half that of all: at most 2 / HOT words."""
+def hot_words(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Hashes of the words with more than HOT of some block of about a megabyte of text and, counted in such blocks alone, half that of all: at most 2 / HOT words. And the number of all tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, int] = defaultdict(int)
@@ -486,10 +496,10 @@ def hot_words(texts: DataFrame) -> np.ndarray:
                     found[w] += c
         yield pa.RecordBatch.from_arrays([pa.array([None, *found], pa.int64()), pa.array([total, *found.values()], pa.int64())], ["word", "n"])
 
-    found = texts.transform(arrow_map, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = F.sum(F.when(F.col("word").isNull(), F.col("n"))).over(Window.partitionBy())
-    rows = found.where(F.col("n") > 0).withColumn("total", total).where("word is not null and n > total * %r" % (HOT / 2)).select("word").collect()
-    return np.sort(np.array([r["word"] for r in rows], np.int64)).view(U64)
+    found = materialize(texts.transform(arrow_map, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
+    total = found.where("word is null").agg(F.sum("n")).first()[0] or 0
+    rows = found.where((F.col("n") > total * HOT / 2) & F.col("word").isNotNull()).select("word").collect()
+    return np.sort(np.array([r["word"] for r in rows], np.int64)).view(U64), int(total)
 
 
 def score_corpus(docs: DataFrame, *, held_out: Column, prior: Prior = Prior(), shards: int | None = None) -> DataFrame:
@@ -500,13 +510,13 @@ def score_corpus(docs: DataFrame, *, held_out: Column, prior: Prior = Prior(), s
     base_score is that of add-one unigrams, score the model's log10 probability. Rows that
     repeat a doc_id, and null doc_ids, are documents of their own. An empty table gives no
     rows; with nothing to learn from, every word is the unknown one. shards (two for each
-    partition) divides the work and changes no score.
+    partition, or as many as hold SHARD_TOKENS each) divides the work and changes no score.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = shards or 2 * parts
-    hot = hot_words(texts.select("text"))
+    hot, tokens = hot_words(texts.select("text"))
+    shards = shards or max(2 * parts, -(-tokens // SHARD_TOKENS))
 
     def by_shard(messages: DataFrame) -> DataFrame:
         return messages.repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard", F.desc("kind"))
