@@ -114,4 +114,4 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, shar
     key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
     texts = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"))
     leaked = _measured(texts, benchmark, window, broadcast).where((F.col("longest") >= window) | _heavy(share)).select(F.col("doc_id").alias("leaked_text")).distinct()
-    return docs.join(leaked, key == F.col("leaked_text"), "left_anti")
+    return docs.join(leaked, key == leaked["leaked_text"], "left_anti")

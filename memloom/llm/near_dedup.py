@@ -257,11 +257,12 @@ def keep_one_of_each(docs: DataFrame, **how: int) -> DataFrame:
     dropped = found.where("doc_id is not null and not kept").select("doc_id").distinct()
     again = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     own = F.col("doc_id").cast("long")
-    stay = docs.join(dropped.withColumnRenamed("doc_id", "dropped_doc_id"), own == F.col("dropped_doc_id"), "left_anti")
+    dropped = dropped.withColumnRenamed("doc_id", "dropped_doc_id")
+    stay = docs.join(dropped, own == dropped["dropped_doc_id"], "left_anti")
     if again.isEmpty():
         return stay
     again = again.withColumnRenamed("doc_id", "repeated_doc_id")
-    once = stay.join(again, own == F.col("repeated_doc_id"), "left_anti")
+    once = stay.join(again, own == again["repeated_doc_id"], "left_anti")
     first = F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNotNull(), "text")).alias("row")
-    rows = stay.join(again, own == F.col("repeated_doc_id"), "left_semi").groupBy(own).agg(first).select("row.*")
+    rows = stay.join(again, own == again["repeated_doc_id"], "left_semi").groupBy(own).agg(first).select("row.*")
     return once.unionByName(rows)

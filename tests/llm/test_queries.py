@@ -47,3 +47,30 @@ def test_pipeline(spark):
     given, packed = out["packing"]
     check_packed(packed, given, 1024)
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "piece", "length").collect())) == sorted((r["doc_id"], r["piece"], r["length"]) for r in packed)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null and repeated doc_ids, null, empty and long texts, ties, and columns of any name: each stage alone, on the same rows."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    long, same = " ".join(f"w{i}" for i in range(30_000)), " ".join(f"v{i}" for i in range(40))
+    rows = [(None, same), (5, same), (3, same), (3, same), (9, None), (10, ""), (11, " \n"), (12, long), (13, f"{same[:9]} {item} x"), (None, item), (14, "one"), (14, "two")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, spans string, needs string, key string, row string, leaked_text string, group string"
+    docs = spark.createDataFrame([(i, t, None, "s", None, *["x"] * 6) for i, t in rows], schema)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def after(name):
+        found = stages[name](spark, docs, SF)
+        assert found.columns == docs.columns and stages[name](spark, docs.limit(0), SF).count() == 0
+        got = found.collect()
+        assert {tuple(r)[5:] for r in got} == {("x",) * 6}
+        return sorted((r["doc_id"] or 0, r["text"] or "") for r in got)
+
+    plain = sorted((i or 0, t or "") for i, t in rows)
+    assert after("toxicity") == plain
+    assert after("near_dedup") == sorted([(0, same), (3, same), (9, ""), (10, ""), (11, " \n"), (12, long), (13, rows[8][1]), (0, item), (14, "one")])
+    cut = dict.fromkeys((3, 5), "")
+    assert [x for x in after("substring_dedup") if x[0] == 5] == [(5, "")] and [x for x in after("substring_dedup") if x[0] not in cut] == [x for x in plain if x[0] not in cut]
+    assert after("decontamination") == [x for x in plain if item not in x[1]]
+    packed = stages["packing"](spark, docs, SF).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in packed}) == len(packed) and sorted(r["doc_id"] or 0 for r in packed if not r["piece"]) == [i for i, _ in plain]
+    assert stages["packing"](spark, docs.limit(0), SF).count() == 0
