@@ -30,6 +30,8 @@ SMALL = 12
 REDEALT = 8
 #: Pairs of one document that are confirmed in one group; a document with more is copied to further groups.
 SPREAD = 200
+#: Documents with many partners that are broadcast at most, 16 bytes each; more are joined by shuffle.
+BROADCAST = 100_000
 _BLOCK = 512
 
 
@@ -239,7 +241,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, part: int, whole: int)
     pairs = pairs.where(F.least("na", "nb") * whole >= F.greatest("na", "nb") * part).select("a", "b").distinct()
     pairs = materialize(pairs, "pairs")
     many = pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > SPREAD).select("a", F.ceil(F.col("c") / SPREAD).alias("groups"))
-    pairs = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1))).alias("group"))
+    many = materialize(many, "many")
+    pairs = pairs.join(F.broadcast(many) if many.count() <= BROADCAST else many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1))).alias("group"))
     texts = texts.where("doc_id is not null")
     second = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     first = pairs.select("a", "group").distinct().join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
