@@ -79,7 +79,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def drop(df: DataFrame) -> None:
     """Delete the table that materialize() wrote for df, once nothing reads it any more."""
-    for made in [x for x in _made if x[1] in _folders.pop(id(df), ())]:
+    paths = _folders.pop(id(df), ())
+    for made in [x for x in _made if x[1] in paths]:
         _made.remove(made)
         _delete(*made)
 
