@@ -10,6 +10,8 @@ Consecutive windows with one anchor form a stretch of at most 2 * window - ancho
    repeat within one batch are settled there, so a hot passage leaves one row for each batch.
 2. ``_settle``: the shard of an anchor. Stretches with equal content are settled by hash;
    only anchors with several contents (the edges of repeated passages) need their words.
+   Anchors of more than ``hot`` contents would be one task's work: their windows are dealt
+   one by one, each to the shard of its own hash, where equal windows still meet.
 3. ``_match``: a suffix automaton for each anchor's reference stretches, grown in corpus
    order while the later stretches stream through it: the matching statistic of each word
    tells whether the window that ends there started earlier.
@@ -20,6 +22,7 @@ Everything is one lazy plan: nothing is collected, and lost executors are recomp
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,45 +154,69 @@ def _stretches(window: int, anchor: int):
     return run
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (part, doc_id, at) -> covered spans (part null), and the stretches whose words are needed (part: their anchor)."""
-    held: list[np.ndarray] | None = None  # the distinct stretches of the last anchor, which may go on
+def _settle(hot: int):
+    """Rows sorted by (part, doc_id, at) -> covered spans (part null), and the stretches whose words are needed (part: their anchor).
 
-    def out(part: np.ndarray, doc_id: np.ndarray, at: np.ndarray, covered: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(part, pa.int64(), mask=np.full(len(part), covered)), pa.array(doc_id), pa.array(at)], ["part", "doc_id", "at"])
+    Stretches of an anchor with more than hot contents are marked split: their windows are
+    dealt one by one, and no more than hot contents of an anchor are held beyond a batch.
+    """
+
+    def out(part: np.ndarray, doc_id: np.ndarray, at: np.ndarray, *, covered: bool = False, split: np.ndarray | bool = False) -> pa.RecordBatch:
+        columns = [pa.array(part, pa.int64(), mask=np.full(len(part), covered)), pa.array(doc_id), pa.array(at), pa.array(np.broadcast_to(split, len(part)))]
+        return pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "at", "split"])
 
     def needed(rows: list[np.ndarray]) -> pa.RecordBatch:
-        runs = _runs(rows[0])
-        several = np.repeat(np.diff(np.append(runs, len(rows[0]))) > 1, np.diff(np.append(runs, len(rows[0]))))
-        return out(rows[0][several], rows[2][several], rows[3][several], False)
-
-    for batch in batches:
-        known = batch.column("content").is_valid()
-        done = batch.filter(pc.invert(known))
-        yield out(done.column("part").to_numpy(), done.column("doc_id").to_numpy(), done.column("at").to_numpy(), True)
-        rows = [batch.filter(known).column(c).to_numpy() for c in ("part", "content", "doc_id", "at")]
+        runs = np.diff(np.append(_runs(rows[0]), len(rows[0])))
+        contents = np.repeat(runs, runs)
+        several = contents > 1
+        return out(rows[0][several], rows[2][several], rows[3][several], split=contents[several] > hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # the distinct stretches of the last anchor, which may go on
+        busy: int | None = None  # an anchor that went on beyond hot contents
+        for batch in batches:
+            known = batch.column("content").is_valid()
+            done = batch.filter(pc.invert(known))
+            yield out(done.column("part").to_numpy(), done.column("doc_id").to_numpy(), done.column("at").to_numpy(), covered=True)
+            rows = [batch.filter(known).column(c).to_numpy() for c in ("part", "content", "doc_id", "at")]
+            if held:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            if not len(rows[0]):
+                continue
+            order = np.lexsort((np.arange(len(rows[0])), rows[1], rows[0]))  # stable: the first of each content leads
+            head = np.concatenate([[True], (rows[0][order][1:] != rows[0][order][:-1]) | (rows[1][order][1:] != rows[1][order][:-1])])
+            lead = np.empty(len(order), np.int64)  # for each row, the first of its content
+            lead[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+            first = lead == np.arange(len(order))
+            later = (rows[2] != rows[2][lead]) | (rows[3] != rows[3][lead])
+            doc_id, at = _merged(rows[2][later], rows[3][later])
+            yield out(np.zeros(len(at), np.int64), doc_id, at, covered=True)
+            rows, held = [x[first] for x in rows], None
+            if busy is not None:
+                on = int(np.searchsorted(rows[0], busy, side="right"))
+                yield out(rows[0][:on], rows[2][:on], rows[3][:on], split=True)
+                rows = [x[on:] for x in rows]
+                if not len(rows[0]):
+                    continue
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            yield needed([x[:last] for x in rows])
+            held = [x[last:] for x in rows]
+            if len(held[0]) > hot:
+                busy = int(held[0][0])
+                yield out(held[0], held[2], held[3], split=True)
+                held = None
         if held:
-            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        if not len(rows[0]):
-            continue
-        order = np.lexsort((np.arange(len(rows[0])), rows[1], rows[0]))  # stable: the first of each content leads
-        head = np.concatenate([[True], (rows[0][order][1:] != rows[0][order][:-1]) | (rows[1][order][1:] != rows[1][order][:-1])])
-        lead = np.empty(len(order), np.int64)  # for each row, the first of its content
-        lead[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1]
-        first = lead == np.arange(len(order))
-        later = (rows[2] != rows[2][lead]) | (rows[3] != rows[3][lead])
-        doc_id, at = _merged(rows[2][later], rows[3][later])
-        yield out(np.zeros(len(at), np.int64), doc_id, at, True)
-        rows = [x[first] for x in rows]
-        last = int(np.searchsorted(rows[0], rows[0][-1]))
-        held = [x[last:] for x in rows]
-        yield needed([x[:last] for x in rows])
-    if held:
-        yield needed(held)
+            yield needed(held)
+
+    return run
+
+
+def _window_hash(words: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "little", signed=True)
 
 
 def _words_needed(window: int):
-    """(doc_id, text, needs) -> the words of each needed stretch."""
+    """(doc_id, text, needs) -> the words of each needed stretch; of a split one, those of each window, whose part is its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,10 +227,13 @@ def _words_needed(window: int):
                     words = (text or "").encode().split()
                     for need in needs:
                         start, n = need["at"] >> 32, need["at"] & 0xFFFFFFFF
-                        part.append(need["part"])
-                        docs.append(doc_id)
-                        ats.append(need["at"])
-                        texts.append(b" ".join(words[start : start + n + window - 1]))
+                        size, n = (window, n) if need["split"] else (n + window - 1, 1)
+                        for first in range(start, start + n):
+                            found = b" ".join(words[first : first + size])
+                            part.append(_window_hash(found) if need["split"] else need["part"])
+                            docs.append(doc_id)
+                            ats.append(first << 32 | size - window + 1)
+                            texts.append(found)
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(docs, pa.int64()), pa.array(ats, pa.int64()), pa.array(texts, pa.binary())], ["part", "doc_id", "at", "words"])
 
     return run
@@ -276,12 +306,12 @@ def _replace(window: int, names: list[str]):
     return run
 
 
-def _with_spans(texts: DataFrame, rows: DataFrame, window: int, anchor: int) -> DataFrame:
+def _with_spans(texts: DataFrame, rows: DataFrame, window: int, anchor: int, hot: int) -> DataFrame:
     """rows (doc_id, ...) and a column spans: the covered stretches of each row's document in texts, as start << 32 | number of windows."""
     known, texts = rows.where("doc_id is not null"), texts.where("doc_id is not null")
     dealt = texts.transform(arrow_map, _stretches(window, anchor), _STRETCH).repartition("part").sortWithinPartitions("part", "doc_id", "at")
-    settled = dealt.transform(arrow_map, _settle, "part long, doc_id long, at long")
-    needs = settled.where("part is not null").groupBy("doc_id").agg(F.collect_list(F.struct("part", "at")).alias("needs"))  # within one document
+    settled = dealt.transform(arrow_map, _settle(hot), "part long, doc_id long, at long, split boolean")
+    needs = settled.where("part is not null").groupBy("doc_id").agg(F.collect_list(F.struct("part", "at", "split")).alias("needs"))  # within one document
     stretches = texts.hint("merge").join(needs, "doc_id").select("doc_id", "text", "needs").transform(arrow_map, _words_needed(window), "part long, doc_id long, at long, words binary")
     matched = stretches.repartition("part").sortWithinPartitions("part", "doc_id", "at").transform(arrow_map, _match(window), "doc_id long, at long")
     covered = settled.where("part is null").select("doc_id", "at").unionAll(matched)
@@ -290,7 +320,7 @@ def _with_spans(texts: DataFrame, rows: DataFrame, window: int, anchor: int) ->
     return known.hint("merge").join(spans, "doc_id", "left").unionByName(nobody)
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 20, anchor: int = 8) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 20, anchor: int = 8, hot: int = 1000) -> DataFrame:
     """docs (doc_id long, text, ...) -> (doc_id, n_words, n_removed, kept string), a row for each row of docs.
 
     Each word is removed that is covered by a window of that many words whose sequence
@@ -299,15 +329,16 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, anchor: int = 8) -> Dat
     text has no words. Rows that repeat a doc_id are one document: a place that any of
     them repeats from elsewhere is removed in each. Rows with a null doc_id come back
     whole and count as no one's source. Other columns are ignored, whatever their names.
+    Beyond hot contents of one anchor its windows are spread over all shards; that moves work only.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = _with_spans(texts, texts, window, anchor)
+    out = _with_spans(texts, texts, window, anchor, hot)
     return out.select("doc_id", "text", "spans").transform(arrow_map, _cut(window), "doc_id long, n_words long, n_removed long, kept string")
 
 
-def replace_repeats(docs: DataFrame, *, window: int = 20, anchor: int = 8) -> DataFrame:
+def replace_repeats(docs: DataFrame, *, window: int = 20, anchor: int = 8, hot: int = 1000) -> DataFrame:
     """docs with texts cut as by remove_repeats(); texts that lose nothing, and all other columns, whatever their names, stay as they are."""
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     texts, rows = docs.select(doc_id, F.col("text").cast("string").alias("text")), docs.select(doc_id, F.struct(*docs.columns).alias("row"))
-    out = _with_spans(texts, rows, window, anchor).select("row", "spans")
+    out = _with_spans(texts, rows, window, anchor, hot).select("row", "spans")
     return out.transform(arrow_map, _replace(window, docs.columns), docs.schema)

@@ -173,6 +173,21 @@ def test_repeats(spark, seed):
     assert any(x[1] for x in want.values())
 
 
+def test_anchor_with_many_continuations(spark):
+    """Windows of a hot anchor are dealt one by one; few rows a batch let an anchor go on over many."""
+    common = [f"c{i}" for i in range(20)]
+    docs = {i: " ".join([f"a{i % 350}x{j}" for j in range(13)] + common[: 19 + i % 2] + [f"b{i % 300}x{j}" for j in range(25)]) for i in range(600)}
+    want = {i: (n, n - len(k), " ".join(k)) for i, (n, k) in brute.remove_repeats(docs).items()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+        for hot in (2, 100, 1000):
+            rows = S.remove_repeats(table(spark, docs.items()), hot=hot).collect()
+            assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in rows} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_repeats_of_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(30))
     found = S.remove_repeats(table(spark, [(None, text), (4, text), (4, text), (7, text), (9, None)])).collect()
