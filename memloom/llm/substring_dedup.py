@@ -6,17 +6,20 @@ the stretches of documents that can match it: every window is filed under its mi
 (the least hash among its ``anchor``-word shingles), so equal windows have equal anchors.
 Consecutive windows with one anchor form a stretch of at most 2 * window - anchor words.
 
-1. ``_stretches``: a row for each stretch (anchor, content hash, place). Stretches that
-   repeat within one batch are settled there, so a hot passage leaves one row for each batch.
-2. ``_settle``: the shard of an anchor. Stretches with equal content are settled by hash;
-   only anchors with several contents (the edges of repeated passages) need their words.
-   Anchors of more than ``hot`` contents would be one task's work: their windows are dealt
-   one by one, each to the shard of its own hash, where equal windows still meet.
+1. ``_stretches``: a row for each stretch (anchor, place). Stretches of equal content hash
+   within one batch meet in an automaton there, so a hot passage leaves one row for each batch.
+2. ``_settle``: the shard of an anchor. An anchor of one stretch has no repeats; the words of
+   all other stretches are needed. Anchors of more than ``hot`` stretches would be one task's
+   work: their windows are dealt one by one, each to the shard of its own hash, where equal
+   windows still meet.
 3. ``_match``: a suffix automaton for each anchor's reference stretches, grown in corpus
    order while the later stretches stream through it: the matching statistic of each word
    tells whether the window that ends there started earlier.
 4. ``_cut``: all covered spans meet their document once, and the words outside are kept.
 
+Hashes only choose what meets; automata decide every window that is removed. Those of a
+batch compare words by their 64-bit hashes, those of shards the words themselves.
+
 Everything is one lazy plan: nothing is collected, and lost executors are recomputed.
 """
 
@@ -35,29 +38,31 @@ from memloom.llm.shared import arrow_map
 from memloom.llm.words import U64, mix, shingles, split_words
 
 _PLACE = U64((1 << 28) - 1)
-_STRETCH = "part long, content long, doc_id long, at long"  # at: start * 64 + number of windows
+_STRETCH = "part long, doc_id long, at long, settled boolean"  # at: start << 32 | number of windows; settled: a covered span already
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton, grown online over several sequences."""
+    """Generalised suffix automaton, grown online over several sequences; first: where each state was first seen to end."""
 
     def __init__(self) -> None:
         self.next: list[dict] = [{}]
         self.link = [-1]
         self.length = [0]
+        self.first = [0]
 
-    def grow(self, sequence: list) -> list[int]:
-        """Add a sequence; for each place, the length of the longest match ending there that also ends earlier, in it or in those before."""
-        nxt, link, length = self.next, self.link, self.length
+    def _grow(self, sequence: list, place: int) -> list[int]:
+        """Add a sequence whose words stand at place, place + 1, ...; for each, the state of the longest match ending there that also ends earlier, in it or in those before."""
+        nxt, link, length, first = self.next, self.link, self.length, self.first
         last, out = 0, []
-        for c in sequence:
+        for at, c in enumerate(sequence, place):
             if (q := nxt[last].get(c)) is not None:
                 last = q if length[q] == length[last] + 1 else self._clone(last, c, q)
-                out.append(length[last])
+                out.append(last)
                 continue
             cur = len(length)
             nxt.append({})
             length.append(length[last] + 1)
+            first.append(at)
             link.append(0)
             p = last
             while p >= 0 and c not in nxt[p]:
@@ -66,7 +71,7 @@ class SuffixAutomaton:
             if p >= 0:
                 q = nxt[p][c]
                 link[cur] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
-            out.append(length[link[cur]])
+            out.append(link[cur])
             last = cur
         return out
 
@@ -75,6 +80,7 @@ class SuffixAutomaton:
         new = len(self.length)
         nxt.append(dict(nxt[q]))
         self.length.append(self.length[p] + 1)
+        self.first.append(self.first[q])
         link.append(link[q])
         link[q] = new
         while p >= 0 and nxt[p].get(c) == q:
@@ -82,15 +88,34 @@ class SuffixAutomaton:
             p = link[p]
         return new
 
+    def grow(self, sequence: list, place: int = 0) -> list[int]:
+        """Add a sequence; for each word, the matching statistic: the length of the longest match ending there that also ends earlier."""
+        return [self.length[s] for s in self._grow(sequence, place)]
+
+    def repeats(self, sequence: list, place: int, window: int) -> list[int]:
+        """Add a sequence; the starts of its windows whose words were first seen at a smaller place."""
+        link, length, out = self.link, self.length, []
+        for j, state in enumerate(self._grow(sequence, place)):
+            if length[state] >= window:
+                while length[link[state]] >= window:
+                    state = link[state]
+                if self.first[state] < place + j:
+                    out.append(j - window + 1)
+        return out
+
 
 def _runs(values: np.ndarray) -> np.ndarray:
     """Starts of runs of equal values."""
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, int)
 
 
-def _rows(part: np.ndarray, content: np.ndarray, doc_id: np.ndarray, at: np.ndarray, settled: np.ndarray) -> pa.RecordBatch:
-    """settled rows have no content: they are covered spans already."""
-    return pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(content.view(np.int64), mask=settled), pa.array(doc_id), pa.array(at)], ["part", "content", "doc_id", "at"])
+def _place(doc_id: int, start: int) -> int:
+    """Places of words in corpus order."""
+    return (doc_id << 40) + start
+
+
+def _rows(part: np.ndarray, doc_id: np.ndarray, at: np.ndarray, *, settled: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(doc_id), pa.array(at), pa.array(np.full(len(part), settled))], ["part", "doc_id", "at", "settled"])
 
 
 def _merged(doc_id: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,24 +157,41 @@ def _stretches(window: int, anchor: int):
         count = tails - heads + 1
         with np.errstate(over="ignore"):
             content = mix(whole[heads] * U64(0x9E3779B97F4A7C15) + mix(whole[tails]) + count.astype(U64))
-        return grams[place[heads]], content, doc_ids[words.rows][doc[heads]], ((heads - words.first[doc[heads]]) << 32) | count
+        return grams[place[heads]], content, doc_ids[words.rows][doc[heads]], ((heads - words.first[doc[heads]]) << 32) | count, heads
+
+    def decide(content: np.ndarray, doc_id: np.ndarray, at: np.ndarray, head: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which stretches are repeats as a whole of others in the batch, and the spans (doc_id, at) that automata found in them."""
+        order = np.lexsort((at, doc_id, content))
+        edges = _runs(content[order])
+        sizes = np.diff(np.append(edges, len(order)))
+        whole, docs, ats = np.zeros(len(order), bool), [], []
+        for first, size in zip(edges[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            shard = SuffixAutomaton()
+            for i in order[first : first + size].tolist():
+                own, start, n = int(doc_id[i]), int(at[i]) >> 32, int(at[i]) & 0xFFFFFFFF
+                begin = int(head[i])
+                found = shard.repeats(hashes[begin : begin + n + window - 1].tolist(), _place(own, start), window)
+                whole[i] = len(found) == n
+                docs.extend([own] * len(found))
+                ats.extend([(start + j) << 32 | 1 for j in found])
+        return whole, np.array(docs, np.int64), np.array(ats, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            found = [x for w in split_words(batch.column("text"), lower=False) if (x := find(w, ids))]
+            found, hashes, size = [], [], 0
+            for w in split_words(batch.column("text"), lower=False):
+                if x := find(w, ids):
+                    found.append((*x[:4], x[4] + size))
+                    hashes.append(w.hashes)
+                    size += len(w.hashes)
             if not found:
                 continue
-            part, content, doc_id, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((at, doc_id))
-            part, content, doc_id, at = part[order], content[order], doc_id[order], at[order]
-            _, lead, of = np.unique(content, return_index=True, return_inverse=True)
-            first = np.zeros(len(part), bool)
-            first[lead] = True
-            yield _rows(part[first], content[first], doc_id[first], at[first], np.zeros(int(first.sum()), bool))
-            later = (doc_id != doc_id[lead][of]) | (at != at[lead][of])  # a row that repeats a doc_id is no later place
-            doc_id, at = _merged(doc_id[later], at[later])
-            yield _rows(mix(doc_id.view(U64)), np.zeros(len(at), U64), doc_id, at, np.ones(len(at), bool))
+            part, content, doc_id, at, head = (np.concatenate(x) for x in zip(*found, strict=True))
+            whole, docs, ats = decide(content, doc_id, at, head, np.concatenate(hashes))
+            yield _rows(part[~whole], doc_id[~whole], at[~whole], settled=False)
+            docs, ats = _merged(docs, ats)
+            yield _rows(mix(docs.view(U64)), docs, ats, settled=True)
 
     return run
 
@@ -157,8 +199,8 @@ def _stretches(window: int, anchor: int):
 def _settle(hot: int):
     """Rows sorted by (part, doc_id, at) -> covered spans (part null), and the stretches whose words are needed (part: their anchor).
 
-    Stretches of an anchor with more than hot contents are marked split: their windows are
-    dealt one by one, and no more than hot contents of an anchor are held beyond a batch.
+    Stretches of an anchor with more than hot of them are marked split: their windows are
+    dealt one by one, and no more than hot rows of an anchor are held beyond a batch.
     """
 
     def out(part: np.ndarray, doc_id: np.ndarray, at: np.ndarray, *, covered: bool = False, split: np.ndarray | bool = False) -> pa.RecordBatch:
@@ -167,43 +209,31 @@ def _settle(hot: int):
 
     def needed(rows: list[np.ndarray]) -> pa.RecordBatch:
         runs = np.diff(np.append(_runs(rows[0]), len(rows[0])))
-        contents = np.repeat(runs, runs)
-        several = contents > 1
-        return out(rows[0][several], rows[2][several], rows[3][several], split=contents[several] > hot)
+        stretches = np.repeat(runs, runs)
+        several = stretches > 1
+        return out(*(x[several] for x in rows), split=stretches[several] > hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None  # the distinct stretches of the last anchor, which may go on
-        busy: int | None = None  # an anchor that went on beyond hot contents
+        held: list[np.ndarray] | None = None  # the stretches of the last anchor, which may go on
+        busy: int | None = None  # an anchor that went on beyond hot stretches
         for batch in batches:
-            known = batch.column("content").is_valid()
-            done = batch.filter(pc.invert(known))
-            yield out(done.column("part").to_numpy(), done.column("doc_id").to_numpy(), done.column("at").to_numpy(), covered=True)
-            rows = [batch.filter(known).column(c).to_numpy() for c in ("part", "content", "doc_id", "at")]
+            done = batch.filter(batch.column("settled"))
+            yield out(*(done.column(c).to_numpy() for c in ("part", "doc_id", "at")), covered=True)
+            rows = [batch.filter(pc.invert(batch.column("settled"))).column(c).to_numpy() for c in ("part", "doc_id", "at")]
             if held:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            if not len(rows[0]):
-                continue
-            order = np.lexsort((np.arange(len(rows[0])), rows[1], rows[0]))  # stable: the first of each content leads
-            head = np.concatenate([[True], (rows[0][order][1:] != rows[0][order][:-1]) | (rows[1][order][1:] != rows[1][order][:-1])])
-            lead = np.empty(len(order), np.int64)  # for each row, the first of its content
-            lead[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1]
-            first = lead == np.arange(len(order))
-            later = (rows[2] != rows[2][lead]) | (rows[3] != rows[3][lead])
-            doc_id, at = _merged(rows[2][later], rows[3][later])
-            yield out(np.zeros(len(at), np.int64), doc_id, at, covered=True)
-            rows, held = [x[first] for x in rows], None
+                rows, held = [np.concatenate(x) for x in zip(held, rows, strict=True)], None
             if busy is not None:
                 on = int(np.searchsorted(rows[0], busy, side="right"))
-                yield out(rows[0][:on], rows[2][:on], rows[3][:on], split=True)
+                yield out(*(x[:on] for x in rows), split=True)
                 rows = [x[on:] for x in rows]
-                if not len(rows[0]):
-                    continue
+            if not len(rows[0]):
+                continue
             last = int(np.searchsorted(rows[0], rows[0][-1]))
             yield needed([x[:last] for x in rows])
             held = [x[last:] for x in rows]
             if len(held[0]) > hot:
                 busy = int(held[0][0])
-                yield out(held[0], held[2], held[3], split=True)
+                yield out(*held, split=True)
                 held = None
         if held:
             yield needed(held)
@@ -243,20 +273,16 @@ def _match(window: int):
     """Stretches sorted by (part, doc_id, at) -> the spans of windows that started earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, place, shard = None, None, SuffixAutomaton()
+        part, shard = None, SuffixAutomaton()
         for batch in batches:
             docs, ats = [], []
             for p, doc_id, at, words in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "at", "words")), strict=True):
                 if p != part:
-                    part, place, shard = p, None, SuffixAutomaton()
-                if (doc_id, at) == place:  # of a row that repeats a doc_id
-                    continue
-                place = doc_id, at
+                    part, shard = p, SuffixAutomaton()
                 start = at >> 32
-                for j, matched in enumerate(shard.grow(words.split(b" "))):
-                    if matched >= window:
-                        docs.append(doc_id)
-                        ats.append((start + j - window + 1) << 32 | 1)
+                found = shard.repeats(words.split(b" "), _place(doc_id, start), window)
+                docs.extend([doc_id] * len(found))
+                ats.extend([(start + j) << 32 | 1 for j in found])
             doc_id, at = _merged(np.array(docs, np.int64), np.array(ats, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(doc_id), pa.array(at)], ["doc_id", "at"])
 
@@ -329,7 +355,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, anchor: int = 8, hot: i
     text has no words. Rows that repeat a doc_id are one document: a place that any of
     them repeats from elsewhere is removed in each. Rows with a null doc_id come back
     whole and count as no one's source. Other columns are ignored, whatever their names.
-    Beyond hot contents of one anchor its windows are spread over all shards; that moves work only.
+    Beyond hot stretches of one anchor its windows are spread over all shards; that moves work only.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = _with_spans(texts, texts, window, anchor, hot)
