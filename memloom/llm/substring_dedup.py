@@ -33,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memloom.llm.shared import arrow_map
 from memloom.llm.words import U64, mix, shingles, split_words
@@ -246,14 +247,14 @@ def _window_hash(words: bytes) -> int:
 
 
 def _words_needed(window: int):
-    """(doc_id, text, needs) -> the words of each needed stretch; of a split one, those of each window, whose part is its hash."""
+    """(doc_id, row, needs) -> the words of each needed stretch; of a split one, those of each window, whose part is its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 rows = batch.slice(i, 256)
                 part, docs, ats, texts = [], [], [], []
-                for doc_id, needs, text in zip(rows.column("doc_id").to_pylist(), rows.column("needs").to_pylist(), rows.column("text").to_pylist(), strict=True):
+                for doc_id, needs, text in zip(rows.column("doc_id").to_pylist(), rows.column("needs").to_pylist(), rows.column("row").field("text").to_pylist(), strict=True):
                     words = (text or "").encode().split()
                     for need in needs:
                         start, n = need["at"] >> 32, need["at"] & 0xFFFFFFFF
@@ -309,7 +310,7 @@ def _kept(spans: list[int] | None, text: str | None, window: int) -> tuple[int,
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [_kept(spans, text, window) for spans, text in zip(batch.column("spans").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            made = [_kept(spans, text, window) for spans, text in zip(batch.column("spans").to_pylist(), batch.column("row").field("text").to_pylist(), strict=True)]
             total, removed, kept = zip(*made, strict=True) if made else ((), (), ())
             kept = pa.array(kept, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), kept], ["doc_id", "n_words", "n_removed", "kept"])
@@ -332,18 +333,26 @@ def _replace(window: int, names: list[str]):
     return run
 
 
-def _with_spans(texts: DataFrame, rows: DataFrame, window: int, anchor: int, hot: int) -> DataFrame:
-    """rows (doc_id, ...) and a column spans: the covered stretches of each row's document in texts, as start << 32 | number of windows."""
-    known, texts = rows.where("doc_id is not null"), texts.where("doc_id is not null")
+def _with_spans(docs: DataFrame, columns: list[str], window: int, anchor: int, hot: int) -> DataFrame:
+    """(doc_id, row, spans): row has the columns, spans the covered stretches of the row's document, as start << 32 | number of windows.
+
+    Both joins that need texts read rows of one and the same exchange, so whole texts are
+    shuffled once; that is why a plain doc_id goes without an alias, and rows stay whole.
+    """
+    plain = docs.schema["doc_id"].dataType == T.LongType()
+    doc_id = F.col("doc_id") if plain else F.col("doc_id").cast("long").alias("doc_id")
+    texts = docs.select(doc_id, F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    rows = docs.select(doc_id, F.struct(*(F.col("text").cast("string").alias("text") if c == "text" else F.col(c) for c in columns)).alias("row"))
+    known = rows.where("doc_id is not null")
     dealt = texts.transform(arrow_map, _stretches(window, anchor), _STRETCH).repartition("part").sortWithinPartitions("part", "doc_id", "at")
     settled = dealt.transform(arrow_map, _settle(hot), "part long, doc_id long, at long, split boolean")
     needs = settled.where("part is not null").groupBy("doc_id").agg(F.collect_list(F.struct("part", "at", "split")).alias("needs"))  # within one document
-    stretches = texts.hint("merge").join(needs, "doc_id").select("doc_id", "text", "needs").transform(arrow_map, _words_needed(window), "part long, doc_id long, at long, words binary")
+    stretches = known.hint("merge").join(needs, "doc_id").select("doc_id", "row", "needs").transform(arrow_map, _words_needed(window), "part long, doc_id long, at long, words binary")
     matched = stretches.repartition("part").sortWithinPartitions("part", "doc_id", "at").transform(arrow_map, _match(window), "doc_id long, at long")
     covered = settled.where("part is null").select("doc_id", "at").unionAll(matched)
     spans = covered.groupBy("doc_id").agg(F.collect_list("at").alias("spans"))
     nobody = rows.where("doc_id is null").withColumn("spans", F.array().cast("array<long>"))
-    return known.hint("merge").join(spans, "doc_id", "left").unionByName(nobody)
+    return known.hint("merge").join(spans, "doc_id", "left").select("doc_id", "row", "spans").unionByName(nobody)
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 20, anchor: int = 8, hot: int = 1000) -> DataFrame:
@@ -357,14 +366,11 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, anchor: int = 8, hot: i
     whole and count as no one's source. Other columns are ignored, whatever their names.
     Beyond hot stretches of one anchor its windows are spread over all shards; that moves work only.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = _with_spans(texts, texts, window, anchor, hot)
-    return out.select("doc_id", "text", "spans").transform(arrow_map, _cut(window), "doc_id long, n_words long, n_removed long, kept string")
+    out = _with_spans(docs, ["text"], window, anchor, hot)
+    return out.transform(arrow_map, _cut(window), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def replace_repeats(docs: DataFrame, *, window: int = 20, anchor: int = 8, hot: int = 1000) -> DataFrame:
     """docs with texts cut as by remove_repeats(); texts that lose nothing, and all other columns, whatever their names, stay as they are."""
-    doc_id = F.col("doc_id").cast("long").alias("doc_id")
-    texts, rows = docs.select(doc_id, F.col("text").cast("string").alias("text")), docs.select(doc_id, F.struct(*docs.columns).alias("row"))
-    out = _with_spans(texts, rows, window, anchor, hot).select("row", "spans")
+    out = _with_spans(docs, docs.columns, window, anchor, hot).select("row", "spans")
     return out.transform(arrow_map, _replace(window, docs.columns), docs.schema)
