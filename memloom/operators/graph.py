@@ -46,8 +46,8 @@ def traverse(drawers: DataFrame, start: str, max_hops: int = 2) -> DataFrame:
     """Breadth-first: (room, hop, via) from a room; via: the wings, comma-joined, shared with the first room that reached it.
 
     Among rooms of one hop those that an earlier room reached come first, then the smaller
-    name: the order of their paths from the start, which needs no ranking. Each hop is a join of the frontier
-    with the wings' rooms, so the work follows the edges; only whether a frontier is empty
+    name: the order of their paths from the start, which needs no ranking. Each hop takes the least path to each
+    wing, then to each room of it, so the work follows the members; only whether a frontier is empty
     reaches the driver.
     """
     member = drawers.select("room", "wing").distinct()
@@ -55,9 +55,10 @@ def traverse(drawers: DataFrame, start: str, max_hops: int = 2) -> DataFrame:
     frontier = seen
     for hop in range(1, max_hops + 1):
         wings = frontier.select(F.col("room").alias("from_room"), "path").join(member.withColumnRenamed("room", "from_room"), "from_room")
-        reached = wings.join(member, "wing").join(seen.select("room"), "room", "left_anti")
-        pairs = reached.groupBy("room", "path").agg(F.sort_array(F.collect_set("wing")).alias("shared"))
-        nearest = pairs.groupBy("room").agg(F.min_by("shared", "path").alias("shared"), F.min("path").alias("path"))
+        per_wing = wings.groupBy("wing").agg(F.min("path").alias("path"))  # before rooms join, so a wing of many rooms makes no pairs of them
+        nearest = per_wing.join(member, "wing").join(seen.select("room"), "room", "left_anti").groupBy("room").agg(F.min("path").alias("path"))
+        both = nearest.withColumn("from_room", F.element_at("path", -1)).join(member, "room").join(member.withColumnRenamed("room", "from_room"), ["from_room", "wing"])
+        nearest = both.groupBy("room", "path").agg(F.sort_array(F.collect_set("wing")).alias("shared"))
         frontier = nearest.select("room", F.lit(hop).alias("hop"), F.array_join("shared", ",").alias("via"), F.concat("path", F.array("room")).alias("path"))
         frontier = frontier.persist()
         if frontier.isEmpty():
