@@ -14,6 +14,9 @@ from memloom.functions.lexicon import COMMON_WORDS, CONCEPT_CONTEXTS, NAME_PHRAS
 from memloom.functions.text import LEFT, RIGHT, once, trim
 from memloom.operators.entities import for_mark, marked, needed_word
 
+#: Names and aliases that are broadcast; a larger registry meets the texts by shuffle.
+MOST_NAMES = 50_000
+
 
 def seed(people: DataFrame, aliases: DataFrame) -> DataFrame:
     """people (name, relationship, context, ord), aliases (alias, canonical, ord) -> the registry's people.
@@ -135,10 +138,11 @@ def learn(detected: DataFrame, people: DataFrame, projects: DataFrame, *, mode:
 def people_in(queries: DataFrame, people: DataFrame) -> DataFrame:
     """queries (query_id, text) -> (query_id, name): people whose name or alias is in the text, common words only where the context says so."""
     flags = ambiguous_flags(people).select(F.col("word").alias("_w"), F.lit(True).alias("flagged"))
-    names = people.select("name", F.explode(F.concat(F.array("name"), F.col("aliases"))).alias("word")).join(flags, F.lower("word") == F.col("_w"), "left")
-    words = queries.select("query_id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), F.lit(1)))).alias("token"))
     first = F.regexp_extract(F.lower("word"), "[a-z0-9_]+", 0)  # a word of the name that the text must have: an equi-join
-    met = words.join(names.withColumn("token", first), "token")
+    names = people.select("name", F.explode(F.concat(F.array("name"), F.col("aliases"))).alias("word")).join(flags, F.lower("word") == F.col("_w"), "left").withColumn("token", first)
+    words = queries.select("query_id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), F.lit(1)))).alias("token"))
+    few = names.limit(MOST_NAMES + 1).count() <= MOST_NAMES
+    met = words.join(F.broadcast(names) if few else names.hint("merge"), "token")  # said outright: the words of all texts look small to the planner, as it knows the file's size only
     whole = F.rlike("text", F.concat(F.lit("(?i)" + LEFT), F.regexp_replace("word", r"([.*+?^${}()|\[\]\\])", r"\\$1"), F.lit(RIGHT)))
     judged = disambiguate(met.where(whole).withColumn("context", F.col("text")))
     return judged.where(F.col("flagged").isNull() | (F.col("meaning") == "person")).select("query_id", "name").distinct()
