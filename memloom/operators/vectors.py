@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import round_half_up
 
-#: Query vectors that are met with the store at a time: a block of them is a few megabytes.
-QUERY_BLOCK = 2000
+#: A tile is a block of queries that meets a part of the store in one task: at most about so many of each.
+QUERY_TILE, STORE_TILE = 16_384, 32_768
+#: Inside a tile products are formed for so many queries and stored vectors at a time: 16 MB.
+_QUERIES, _VECTORS, _FIRST = 1024, 2048, 256
+#: More than the rounding errors of products, as a share of the lengths multiplied.
+_EPS = 1e-9
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,25 +30,111 @@ def similarity(a: Column, b: Column) -> Column:
     return round_half_up(dot(a, b), 3)
 
 
+def _matrices(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: the rows with whole, finite vectors of that length, and these."""
+    lists = vectors.combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    length = np.asarray(pc.fill_null(pc.list_value_length(lists), -1))
+    out = {}
+    for n in np.unique(length[length >= 0]).tolist():
+        at = np.flatnonzero(length == n)
+        flat = lists.take(pa.array(at)).flatten()
+        m = flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(at), n)  # nulls become NaN
+        fine = np.isfinite(m).all(axis=1)
+        out[n] = (at[fine], m[fine])
+    return out
+
+
+def _best(q: np.ndarray, x: np.ndarray, k: int, same: Callable[[slice, slice], np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, thousandths) of each query's k best rows of x, the first rows among equals.
+
+    Matrix products choose what is looked at. What is looked at is summed up in the vectors'
+    order, as the column expression does, so both round alike.
+    """
+    out = []
+    longest = lambda m: float(np.sqrt(np.einsum("ij,ij->i", m, m).max(initial=0.0)))
+    eps = _EPS * max(1.0, longest(q) * longest(x))
+    for a in range(0, len(q), _QUERIES):
+        block = q[a : a + _QUERIES]
+        who, row, best = (np.empty(0, t) for t in (np.int64, np.int64, np.float64))
+        least = np.full(len(block), -np.inf)  # what a row must reach
+        start = 0
+        while start < len(x):
+            end = min(len(x), start + (_VECTORS if start else max(_FIRST, k)))
+            s = block @ x[start:end].T
+            if same is not None:
+                s[same(slice(a, a + len(block)), slice(start, end))] = -np.inf
+            if not start and end > k:
+                kth = np.partition(s, end - k, axis=1)[:, end - k]
+                least = (np.floor((kth - eps) * 1000 + 0.5) - 0.5) / 1000 - eps
+            i, j = np.nonzero(s >= least[:, None]) if same is None else np.nonzero((s >= least[:, None]) & (s > -np.inf))
+            if len(i):
+                total = np.zeros(len(i))
+                for d in range(x.shape[1]):
+                    total += block[i, d] * x[start + j, d]
+                who, row, best = np.concatenate([who, i]), np.concatenate([row, start + j]), np.concatenate([best, np.floor(total * 1000 + 0.5)])
+                order = np.lexsort((row, -best, who))
+                who, row, best = who[order], row[order], best[order]
+                first = np.searchsorted(who, np.arange(len(block)))
+                keep = np.arange(len(who)) - first[who] < k
+                who, row, best = who[keep], row[keep], best[keep]
+                n = np.bincount(who, minlength=len(block))
+                full = np.flatnonzero(n == k)
+                least[full] = (best[np.cumsum(n)[full] - 1] + 0.5) / 1000 - eps  # later rows lose ties
+            start = end
+        out.append((who + a, row, best))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _meet(k: int, exclude_self: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(queries: pa.Table, store: pa.Table) -> pa.Table:
+        names = ["query_id", "id", "similarity"]
+        qid, store = queries["query_id"].combine_chunks(), store.sort_by("id")
+        sid = store["id"].combine_chunks()
+        code = pa.concat_arrays([qid, sid]).dictionary_encode().indices.to_numpy() if exclude_self else np.empty(0)
+        qc, sc = code[: len(qid)], code[len(qid) :]
+        parts, sides = [], _matrices(store["embedding"])
+        left = np.full(len(qid), k)  # neighbours still to find
+        for n, (at, q) in _matrices(queries["_q"]).items():
+            if n in sides and len(q):
+                rows, x = sides[n]
+                who, row, best = _best(q, x, k, (lambda a, b, at=at, rows=rows: qc[at[a], None] == sc[None, rows[b]]) if exclude_self else None)
+                left -= np.bincount(at[who], minlength=len(qid))
+                parts.append((at[who], rows[row], best / 1000))
+        for i in np.flatnonzero(left > 0):  # too few that can be compared: others follow, without a similarity
+            had = np.concatenate([rows[who == i] for who, rows, _ in parts]) if parts else np.empty(0, np.int64)
+            more = np.setdiff1d(np.flatnonzero(sc != qc[i]) if exclude_self else np.arange(len(sid)), had)[: left[i]]
+            parts.append((np.full(len(more), i), more, np.full(len(more), np.nan)))
+        who, rows, best = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table([qid.take(pa.array(who)), sid.take(pa.array(rows)), pa.array(best, mask=np.isnan(best))], names)
+
+    return run
+
+
 def nearest(store: DataFrame, queries: DataFrame, k: int = 5, *, where: Column | None = None, exclude_self: bool = False) -> DataFrame:
-    """(query_id, id, similarity, rank) of the k most similar vectors for each query.
+    """(query_id, id, similarity, rank) of the k most similar vectors for each query (id, embedding).
 
-    The queries (id, embedding) are a stated set: block after block of at most QUERY_BLOCK
-    meets all vectors, each task keeps its own k best, and only those move. Ties go to the
-    smaller id.
+    Every query meets every vector: blocks of queries and parts of the store form tiles of
+    bounded size, each a task's work by matrix products, and only the k best of a tile move.
+    Ties go to the smaller id; pairs without a similarity (nulls, other lengths) come last.
     """
     store = store if where is None else store.where(where)
+    v = store.select("id", "embedding")
     q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("_q"))
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        block = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q
-        met = store.select("id", "embedding").join(F.broadcast(block), F.col("id") != F.col("query_id") if exclude_self else F.lit(True))  # QUERY_BLOCK vectors
-        scored = met.select("query_id", "id", similarity(F.col("embedding"), F.col("_q")).alias("similarity"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))  # limited in each task before it moves
-        best = scored.withColumn("rank", rank).where(F.col("rank") <= k)
-        out = best if out is None else out.unionAll(best)
-    return out
+    n, m = v.select("id").count(), q.select("query_id").count()
+    cores = v.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-n // STORE_TILE), min(2 * cores, n // _VECTORS))  # small stores are spread too
+    blocks = max(1, -(-m // QUERY_TILE))
+    share = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    tile = (F.col("_b") * F.lit(parts) + F.col("_p")).alias("_t")
+    spread = lambda x: x.repartition(2 * parts * blocks, "_t").groupBy("_t")
+    asked = q.withColumns({"_b": share("query_id", blocks), "_p": each(parts)}).select(tile, "query_id", "_q")
+    held = v.withColumns({"_p": share("id", parts), "_b": each(blocks)}).select(tile, "id", "embedding")
+    kinds = {f.name: f.dataType.simpleString() for f in [*q.schema, *v.schema]}
+    met = spread(asked).cogroup(spread(held)).applyInArrow(_meet(k, exclude_self), f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))  # limited in each task before it moves
+    return met.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def check_duplicate(store: DataFrame, queries: DataFrame, threshold: float = 0.9, n: int = 5) -> DataFrame:
@@ -49,7 +144,7 @@ def check_duplicate(store: DataFrame, queries: DataFrame, threshold: float = 0.9
 
 def without_duplicates(store: DataFrame, new: DataFrame, threshold: float = 0.9) -> DataFrame:
     """New rows that nothing in the store is that similar to: what filing lets in."""
-    taken = check_duplicate(store, new, threshold).select(F.col("query_id").alias("id")).distinct()
+    taken = check_duplicate(store, new, threshold, 1).select(F.col("query_id").alias("id"))
     return new.join(taken, "id", "left_anti")
 
 

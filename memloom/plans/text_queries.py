@@ -526,7 +526,7 @@ def deep_search(spark: SparkSession, d: str) -> DataFrame:
     vectors = views.vectors(spark, d)
     hits = nearest(vectors, vectors.where("id % 20 = 0").select("id", "embedding"), 5)
     number: Column = F.col("id").cast("string")
-    full = hits.join(vectors.select("id", "wing", "room"), "id").withColumns({"content": F.concat(F.lit("item "), number), "source_file": F.concat(F.lit("/v/v"), number, F.lit(".txt"))})
+    full = hits.join(vectors.select("id", "wing", "room").hint("merge"), "id").withColumns({"content": F.concat(F.lit("item "), number), "source_file": F.concat(F.lit("/v/v"), number, F.lit(".txt"))})
     return L.deep_search_lines(full).withColumn("rank", F.col("rank").cast("long"))
 
 

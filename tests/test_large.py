@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from memloom.operators import registry as R
+from memloom.operators import vectors as V
 from memloom.plans import all_queries
 from tests.oracle import connect, expected, rows
 from tests.test_queries import SF
@@ -45,3 +49,39 @@ def test_words_of_texts_are_not_broadcast(spark, tmp_path, small_broadcasts, mon
 def test_resumed_migration_with_empty_documents(spark, tmp_path):
     d = with_documents(spark, tmp_path, lambda x: x.selectExpr("doc_id", "case when doc_id % 7 = 1 then '' when doc_id % 7 != 2 then text end as text", "lang", "source", "n_chars"))
     assert rows(QUERIES["migrate_resume_counts"](spark, d)) == expected(connect(d), ORACLE["migrate_resume_counts"])[1]
+
+
+def plain_nearest(store, queries, k, exclude_self):
+    """Pair by pair, by column expressions."""
+    met = store.crossJoin(queries.selectExpr("id as query_id", "embedding as _q")).where((F.col("id") != F.col("query_id")) | F.lit(not exclude_self))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return met.select("query_id", "id", V.similarity(F.col("embedding"), F.col("_q")).alias("similarity")).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize(("k", "exclude_self"), [(1, False), (5, False), (5, True), (400, False)])
+def test_tiles_find_what_all_pairs_hold(spark, monkeypatch, k, exclude_self, kind):
+    """Copies, ties, odd lengths and nulls, over tiles and inner blocks far smaller than the tables."""
+    for name, n in (("QUERY_TILE", 20), ("STORE_TILE", 90), ("_QUERIES", 7), ("_VECTORS", 16), ("_FIRST", 8)):
+        monkeypatch.setattr(V, name, n)
+    x = np.random.default_rng(3).standard_normal((300, 6))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x[10:90] = x[3]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [0.5]), (302, [None] * 6), (303, [])]
+    store = spark.createDataFrame(rows, "id long, embedding array<float>").withColumn("id", F.col("id").cast(kind)).cache()
+    queries = store.where("id % 6 = 0 or id >= 300")
+    found, want = V.nearest(store, queries, k, exclude_self=exclude_self), plain_nearest(store, queries, k, exclude_self)
+    assert rows_of(found) == rows_of(want) and found.columns == want.columns
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_search_has_one_plan_for_any_number_of_queries(spark, monkeypatch):
+    """Before, each block of queries was a branch of the plan that scanned the store anew."""
+    monkeypatch.setattr(V, "QUERY_BLOCK", 10, raising=False)
+    monkeypatch.setattr(V, "QUERY_TILE", 10)
+    v = spark.range(100).selectExpr("id", "array(cast(id as float)) as embedding")
+    plan = V.nearest(v, v, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 0 and plan.count("Range (") == 2
