@@ -187,7 +187,7 @@ _SUMMARY = f"""{_TOPICS}, {_SENTENCES}, {_PEOPLE}, parts AS (SELECT note_id, use
 
 
 def _summaries(spark: SparkSession, d: str) -> DataFrame:
-    notes = views.notes(spark, d)
+    notes = views.spread_notes(spark, d)
     wing = F.concat(F.lit("w"), (F.col("user_id") % 5).cast("string"))
     file = F.concat(F.lit("/notes/n"), F.col("note_id").cast("string"), F.lit(".txt"))
     return once(notes, {"summary": S.compress("text", source_file=file, wing=wing, room=F.lit("notes"))})
@@ -205,22 +205,22 @@ def flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("notes", f"WITH {_TOPICS} SELECT note_id, coalesce(topics, '') AS topics FROM notes LEFT JOIN topics USING (note_id)"))
 def topics(spark: SparkSession, d: str) -> DataFrame:
-    return views.notes(spark, d).select("note_id", F.array_join(S.topics("text"), "_").alias("topics"))
+    return views.spread_notes(spark, d).select("note_id", F.array_join(S.topics("text"), "_").alias("topics"))
 
 
 @query(sql("notes", f"WITH {_SENTENCES} SELECT note_id, coalesce(sentence, '') AS sentence FROM notes LEFT JOIN sentences USING (note_id)"))
 def key_sentence(spark: SparkSession, d: str) -> DataFrame:
-    return views.notes(spark, d).select("note_id", S.key_sentence("text").alias("sentence"))
+    return views.spread_notes(spark, d).select("note_id", S.key_sentence("text").alias("sentence"))
 
 
 @query(sql("notes", f"WITH {_PEOPLE} SELECT note_id, coalesce(people, '') AS people FROM notes LEFT JOIN guessed USING (note_id)"))
 def entities_in_text(spark: SparkSession, d: str) -> DataFrame:
-    return views.notes(spark, d).select("note_id", F.array_join(S.entities("text"), "+").alias("people"))
+    return views.spread_notes(spark, d).select("note_id", F.array_join(S.entities("text"), "+").alias("people"))
 
 
 @query(sql("notes", f"WITH {_PEOPLE} SELECT note_id, CASE WHEN contains(lower(text), 'grace') THEN 'GRC' || CASE WHEN contains(lower(text), 'quartz') THEN '+QTZ' ELSE '' END WHEN contains(lower(text), 'quartz') THEN 'QTZ' ELSE coalesce(people, '') END AS people FROM notes LEFT JOIN guessed USING (note_id)"))
 def known_entities_in_text(spark: SparkSession, d: str) -> DataFrame:
-    return views.notes(spark, d).select("note_id", F.array_join(S.entities("text", {"Grace": "GRC", "Quartz": "QTZ", "bob": "BOB"}), "+").alias("people"))
+    return views.spread_notes(spark, d).select("note_id", F.array_join(S.entities("text", {"Grace": "GRC", "Quartz": "QTZ", "bob": "BOB"}), "+").alias("people"))
 
 
 @query(sql("notes", f"WITH {_SUMMARY} SELECT note_id, summary FROM summaries"))
@@ -265,7 +265,7 @@ def decode(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def encode_zettel(spark: SparkSession, d: str) -> DataFrame:
-    notes = views.notes(spark, d)
+    notes = views.spread_notes(spark, d)
     name = F.element_at(F.array(*map(F.lit, views.NAMES)), (F.col("user_id") % 6).cast("int") + 1)
     z = F.struct(
         F.concat(F.lit("zettel-"), F.col("note_id").cast("string")).alias("id"),
@@ -397,7 +397,7 @@ _JUDGED = f"judged AS (SELECT *, {_matches(X.PERSON_CONTEXTS)} AS p, {_matches(X
 
 
 def _lookup_words(spark: SparkSession, d: str) -> DataFrame:
-    notes = views.notes(spark, d)
+    notes = views.spread_notes(spark, d)
     pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (F.col("user_id") % n).cast("int") + 1)
     own = notes.select(F.col("note_id").alias("word_id"), pick(views.NAMES, 6).alias("word"), F.col("text").alias("context"))
     return own.unionAll(notes.select((-1 - F.col("note_id")), pick(views.PROJECTS, 3), "text"))
@@ -423,7 +423,7 @@ def registry_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("notes", f"SELECT note_id AS query_id, w AS word FROM (SELECT note_id, unnest(list_distinct(regexp_extract_all(text, '\\b[A-Z][a-z]{{2,15}}\\b'))) AS w FROM notes) WHERE NOT list_contains({_list(X.COMMON_WORDS)}, lower(w)) AND w NOT IN ('Alice', 'Grace', 'Riley', 'Bob', 'Atlas', 'Nimbus', 'Quartz')"))
 def unknown_candidates(spark: SparkSession, d: str) -> DataFrame:
-    queries = views.notes(spark, d).select(F.col("note_id").alias("query_id"), "text")
+    queries = views.spread_notes(spark, d).select(F.col("note_id").alias("query_id"), "text")
     return R.unknown_words(queries, _people(spark), _projects(spark), _wiki(spark))
 
 
@@ -434,7 +434,7 @@ def unknown_candidates(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def people_in_query(spark: SparkSession, d: str) -> DataFrame:
-    queries = views.notes(spark, d).select(F.col("note_id").alias("query_id"), "text")
+    queries = views.spread_notes(spark, d).select(F.col("note_id").alias("query_id"), "text")
     return R.people_in(queries, _people(spark))
 
 

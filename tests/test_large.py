@@ -5,10 +5,15 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from memloom.functions.text import SPACES
+from memloom.operators import dialect as S
+from memloom.operators import embedding as B
+from memloom.operators import entities as E
 from memloom.operators import registry as R
 from memloom.operators import vectors as V
 from memloom.plans import all_queries
@@ -51,6 +56,23 @@ def test_resumed_migration_with_empty_documents(spark, tmp_path):
     assert rows(QUERIES["migrate_resume_counts"](spark, d)) == expected(connect(d), ORACLE["migrate_resume_counts"])[1]
 
 
+@pytest.mark.parametrize("alone", [True, False])
+def test_inner_blocks_of_a_tile(monkeypatch, alone):
+    """Ties within and across blocks go to the first rows; bounds taken from earlier blocks lose nothing."""
+    for name, n in (("_QUERIES", 7), ("_VECTORS", 16), ("_FIRST", 8)):
+        monkeypatch.setattr(V, name, n)
+    x = np.random.default_rng(5).standard_normal((300, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[40:120] = x[2]
+    q = x[::9]
+    same = None if alone else lambda a, b: np.arange(0, 300, 9)[a, None] == np.arange(300)[None, b]
+    who, row, best = V._best(q, x, 5, same)
+    for i in range(len(q)):
+        s = np.floor(sum(q[i, d] * x[:, d] for d in range(4)) * 1000 + 0.5)
+        order = [j for j in np.lexsort((np.arange(300), -s)) if alone or j != 9 * i][:5]
+        assert row[who == i].tolist() == order and best[who == i].tolist() == s[order].tolist()
+
+
 def plain_nearest(store, queries, k, exclude_self):
     """Pair by pair, by column expressions."""
     met = store.crossJoin(queries.selectExpr("id as query_id", "embedding as _q")).where((F.col("id") != F.col("query_id")) | F.lit(not exclude_self))
@@ -85,3 +107,8 @@ def test_search_has_one_plan_for_any_number_of_queries(spark, monkeypatch):
     v = spark.range(100).selectExpr("id", "array(cast(id as float)) as embedding")
     plan = V.nearest(v, v, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Union") == 0 and plan.count("Range (") == 2
+
+
+def test_costly_expressions_of_notes_run_in_many_tasks(spark):
+    """The file of events has one row group, so one task reads it."""
+    assert QUERIES["decode"](spark, SF).select(F.spark_partition_id().alias("p")).distinct().count() > 1
