@@ -35,12 +35,12 @@ def for_mark(pattern: str, options: str = "") -> str:
 
 
 def needed_word(pattern: str) -> str:
-    """A word that every match has, or the mark: texts without it aren't searched."""
+    """The longest word that every match has, or the mark: texts without it aren't searched."""
     if re.search(r"\|(?![^()]*\))", pattern):  # alternatives outside groups
         return MARK
     plain = re.sub(r"\\[bswd][+*]?", " ", re.sub(r"\([^()]*\)\??", " ", pattern))
     words = [w[:-2] if w.endswith("?") else w for w in re.findall(r"[a-z]+\??", plain)]
-    return next((w for w in words if len(w) > 1), MARK)
+    return max((w for w in words if len(w) > 1), key=len, default=MARK)
 
 
 def marked(text: Column, name: Column) -> Column:
@@ -67,7 +67,7 @@ def score(names: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     Each kind of signal adds its weight for every match. The pronoun signal counts lines with
     the name that have a pronoun within two lines. Of each side only the first signals stay.
     """
-    met = names.join(texts, key)
+    met = names.join(texts.hint("merge"), key)  # dealt by the texts' size: with either side broadcast, few tasks would search all texts
     count = lambda p, o="": F.when(F.contains(F.col("marked"), F.lit(needed_word(p))), F.regexp_count("marked", F.lit(for_mark(p, o)))).otherwise(0)
     pronoun = ascii_bounds(rf"\b(?:{'|'.join(PRONOUNS)})\b")
     lines = F.transform(F.split(F.lower("text"), "\n", -1), lambda x: F.struct(F.contains(x, F.lower("name")).alias("named"), x.rlike(pronoun).alias("pronoun")))
@@ -75,23 +75,27 @@ def score(names: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     near = lambda i: F.exists(F.slice("lines", F.greatest(i - 1, F.lit(1)), F.least(i + 1, F.lit(3)) + 2), lambda x: x["pronoun"])
     hits = F.filter(F.transform("lines", lambda x, i: x["named"] & near(i)), lambda x: x)
 
-    def signal(n: Column, text: Column) -> Column:
-        return F.struct(n.alias("n"), F.concat(text, F.lit(" ("), n.cast("string"), F.lit("x)")).alias("s"))
-
     action = F.concat(F.lit("'"), F.col("name"), F.lit(" ...' action"))
-    person = [(3, signal(count(p, "m"), F.lit("dialogue marker"))) for p in DIALOGUE_PATTERNS]
-    person += [(2, signal(count(p), action)) for p in PERSON_VERBS]
-    person += [(2, signal(F.size(hits), F.lit("pronoun nearby"))), (4, signal(count(DIRECT_PATTERN), F.lit("addressed directly")))]
-    project = [(2, signal(count(p), F.lit("project verb"))) for p in PROJECT_VERBS]
-    project += [(3, signal(count(VERSIONED_PATTERN), F.lit("versioned/hyphenated"))), (3, signal(count(CODE_PATTERN), F.lit("code file reference")))]
-    out = once(met, {"p": F.array(*(x for _, x in person)), "q": F.array(*(x for _, x in project))})
+    direct = sum((count(p) for p in DIRECT_PATTERN.split("|")), F.lit(0))  # each ends with the name, before which there is one word only
+    person = [(3, count(p, "m"), F.lit("dialogue marker")) for p in DIALOGUE_PATTERNS]
+    person += [(2, count(p), action) for p in PERSON_VERBS]
+    person += [(2, F.size(hits), F.lit("pronoun nearby")), (4, direct, F.lit("addressed directly"))]
+    project = [(2, count(p), F.lit("project verb")) for p in PROJECT_VERBS]
+    project += [(3, count(VERSIONED_PATTERN), F.lit("versioned/hyphenated")), (3, count(CODE_PATTERN), F.lit("code file reference"))]
+    counted = once(met, {c: F.array(*(n for _, n, _ in side)) for c, side in (("_p", person), ("_q", project))})  # before they are named, else each is searched for twice
+
+    def signals(c: str, side: list[tuple[int, Column, Column]]) -> Column:
+        n = lambda i: F.get(c, F.lit(i))
+        return F.array(*(F.struct(n(i).alias("n"), F.concat(text, F.lit(" ("), n(i).cast("string"), F.lit("x)")).alias("s")) for i, (_, _, text) in enumerate(side)))
+
+    out = once(counted, {"p": signals("_p", person), "q": signals("_q", project)})
 
     def total(c: str, weights: list[int]) -> Column:
         each = F.zip_with(c, F.array(*map(F.lit, weights)), lambda x, w: x["n"] * w)
         return F.aggregate(each, F.lit(0), lambda s, x: s + x)
 
     first = lambda c: F.slice(F.transform(F.filter(c, lambda x: x["n"] > 0), lambda x: x["s"]), 1, KEPT_SIGNALS)
-    scores = {"person_score": total("p", [w for w, _ in person]), "project_score": total("q", [w for w, _ in project]), "person_signals": first("p"), "project_signals": first("q")}
+    scores = {"person_score": total("p", [w for w, _, _ in person]), "project_score": total("q", [w for w, _, _ in project]), "person_signals": first("p"), "project_signals": first("q")}
     return once(out.select(key, "name", "frequency", "p", "q"), scores).drop("p", "q")
 
 

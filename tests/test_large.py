@@ -112,3 +112,13 @@ def test_search_has_one_plan_for_any_number_of_queries(spark, monkeypatch):
 def test_costly_expressions_of_notes_run_in_many_tasks(spark):
     """The file of events has one row group, so one task reads it."""
     assert QUERIES["decode"](spark, SF).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_patterns_are_searched_once_by_tasks_dealt_by_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "Ann said. Ann laughed. Hey Ann! Hi Ann, thanks Ann.")], "k int, text string").write.parquet(str(tmp_path / "t"))
+    texts = spark.read.parquet(str(tmp_path / "t"))
+    found = E.score(E.candidates(texts, "k"), texts, "k")
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("laughed") == 2  # once in contains, once in the pattern
+    assert found.first().asDict() == {"k": 1, "name": "Ann", "frequency": 5, "person_score": 22, "project_score": 0, "person_signals": [f"'Ann ...' action ({n}x)" for n in (1, 1, 1)], "project_signals": []}
+    assert E.needed_word(r"\bthe\s+{}\s+architecture\b") == "architecture"
