@@ -9,12 +9,14 @@ from pathlib import Path
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIMENSION, MOST_TOKENS, LONGEST_WORD = 384, 256, 100
 MODEL_TAG = "hashing-384"
+#: Rows whose embeddings a worker holds at a time.
+SLICE = 1024
 #: Blocks of ideographs that are words of their own.
 IDEOGRAPHS = [(0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F)]
 
@@ -135,20 +137,24 @@ class OnnxEmbedder:
 
 
 def embed_column(df: DataFrame, text: str, embedder: Embedder, *, batch: int = 32) -> DataFrame:
-    """df with a column embedding; null texts get none. The embedder loads once for each worker's batch stream."""
+    """df with a column embedding; null texts get none. The embedder loads once for each worker's batch stream.
+
+    A worker holds one batch of texts and the vectors of SLICE rows, however many rows there are.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", embedding array<float>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            vectors: list[np.ndarray | None] = [None] * len(x)
-            at = [i for i, t in enumerate(x[text]) if t is not None]
-            for i in range(0, len(at), batch):
-                some = at[i : i + batch]
-                for j, v in zip(some, embedder.embed([x[text].iloc[k] for k in some]), strict=True):
-                    vectors[j] = v
-            yield x.assign(embedding=vectors)
-
-    return df.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            texts = rows.column(text).to_pylist()
+            some = [t for t in texts if t is not None]
+            vectors = [embedder.embed(some[i : i + batch]) for i in range(0, len(some), batch)]
+            flat = np.concatenate(vectors).astype(np.float32, copy=False) if some else np.empty((0, 0), np.float32)
+            none = np.array([t is None for t in texts], bool)
+            ends = np.cumsum(np.where(none, 0, flat.shape[1]), dtype=np.int32)
+            column = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int32), ends])), pa.array(flat.ravel()), mask=pa.array(none))
+            yield pa.RecordBatch.from_arrays([*rows.columns, column], [*rows.schema.names, "embedding"])
+
+    return df.mapInArrow(run, schema)
 
 
 def to_migrate(drawers: DataFrame, tag: str, *, resume: bool) -> DataFrame:

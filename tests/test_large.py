@@ -122,3 +122,17 @@ def test_patterns_are_searched_once_by_tasks_dealt_by_texts(spark, tmp_path):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("laughed") == 2  # once in contains, once in the pattern
     assert found.first().asDict() == {"k": 1, "name": "Ann", "frequency": 5, "person_score": 22, "project_score": 0, "person_signals": [f"'Ann ...' action ({n}x)" for n in (1, 1, 1)], "project_signals": []}
     assert E.needed_word(r"\bthe\s+{}\s+architecture\b") == "architecture"
+
+
+def test_embedding_holds_few_rows(spark):
+    class Frame:
+        schema = spark.createDataFrame([], "k long, t string").schema
+        mapInArrow = staticmethod(lambda run, schema: run)  # noqa: N815
+
+    texts = [None if i % 5 == 0 else f"text {i}" for i in range(2500)]
+    run = B.embed_column(Frame, "t", B.HashingEmbedder())
+    out = list(run(iter([pa.RecordBatch.from_arrays([pa.array(range(2500)), pa.array(texts)], ["k", "t"])])))
+    assert [b.num_rows for b in out] == [1024, 1024, 452]
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["k"] for r in rows] == list(range(2500)) and [r["embedding"] is None for r in rows] == [t is None for t in texts]
+    assert rows[7]["embedding"] == B.HashingEmbedder().embed(["text 7"])[0].tolist()
