@@ -14,10 +14,8 @@ from memloom.functions.text import round_half_up
 
 #: A tile is a block of queries that meets a part of the store in one task: at most about so many of each.
 QUERY_TILE, STORE_TILE = 16_384, 32_768
-#: Inside a tile products are formed for so many queries and stored vectors at a time: 16 MB.
+#: Inside a tile products are formed for so many queries and stored vectors at a time: 8 MB.
 _QUERIES, _VECTORS, _FIRST = 1024, 2048, 256
-#: More than the rounding errors of products, as a share of the lengths multiplied.
-_EPS = 1e-9
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -45,6 +43,13 @@ def _matrices(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarra
     return out
 
 
+def _products(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Both sides as they are multiplied, in single precision unless vectors are long, and more than a product's rounding errors."""
+    most = max(1.0, *(float(np.sqrt(np.einsum("ij,ij->i", m, m).max(initial=0.0))) for m in (q, x)))
+    kind = np.float32 if most < 2 else np.float64
+    return q.astype(kind), x.astype(kind), float(np.finfo(kind).eps) * (q.shape[1] + 8) * most * most
+
+
 def _best(q: np.ndarray, x: np.ndarray, k: int, same: Callable[[slice, slice], np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, thousandths) of each query's k best rows of x, the first rows among equals.
 
@@ -52,22 +57,22 @@ def _best(q: np.ndarray, x: np.ndarray, k: int, same: Callable[[slice, slice], n
     order, as the column expression does, so both round alike.
     """
     out = []
-    longest = lambda m: float(np.sqrt(np.einsum("ij,ij->i", m, m).max(initial=0.0)))
-    eps = _EPS * max(1.0, longest(q) * longest(x))
+    fast_q, fast_x, eps = _products(q, x)
     for a in range(0, len(q), _QUERIES):
-        block = q[a : a + _QUERIES]
+        block, fast = q[a : a + _QUERIES], fast_q[a : a + _QUERIES]
         who, row, best = (np.empty(0, t) for t in (np.int64, np.int64, np.float64))
         least = np.full(len(block), -np.inf)  # what a row must reach
         start = 0
         while start < len(x):
             end = min(len(x), start + (_VECTORS if start else max(_FIRST, k)))
-            s = block @ x[start:end].T
+            s = fast @ fast_x[start:end].T
             if same is not None:
                 s[same(slice(a, a + len(block)), slice(start, end))] = -np.inf
             if not start and end > k:
-                kth = np.partition(s, end - k, axis=1)[:, end - k]
+                kth = np.partition(s, end - k, axis=1)[:, end - k].astype(np.float64)
                 least = (np.floor((kth - eps) * 1000 + 0.5) - 0.5) / 1000 - eps
-            i, j = np.nonzero(s >= least[:, None]) if same is None else np.nonzero((s >= least[:, None]) & (s > -np.inf))
+            near = s >= least.astype(s.dtype)[:, None]
+            i, j = np.divmod(np.flatnonzero(near if same is None else near & (s > -np.inf)), end - start)
             if len(i):
                 total = np.zeros(len(i))
                 for d in range(x.shape[1]):

@@ -73,6 +73,17 @@ def test_inner_blocks_of_a_tile(monkeypatch, alone):
         assert row[who == i].tolist() == order and best[who == i].tolist() == s[order].tolist()
 
 
+@pytest.mark.parametrize("length", [1.0, 1e3])
+def test_products_of_single_precision_only_choose(monkeypatch, length):
+    """Sums that single precision can't tell apart, half of them just below a half thousandth, are ranked by double precision."""
+    monkeypatch.setattr(V, "_FIRST", 8)
+    q = np.array([[length, 0.0]])
+    x = np.stack([(0.5005 + np.where(np.arange(200) % 3, -1e-12, 1e-12)) / length, np.linspace(0, 0.8, 200) * length], axis=1)
+    who, row, best = V._best(q, x, 5, None)
+    assert row.tolist() == [0, 3, 6, 9, 12] and best.tolist() == [501] * 5 and who.tolist() == [0] * 5
+    assert {m.dtype for m in V._products(q, x)[:2]} == {np.dtype(np.float32 if length == 1 else np.float64)}
+
+
 def plain_nearest(store, queries, k, exclude_self):
     """Pair by pair, by column expressions."""
     met = store.crossJoin(queries.selectExpr("id as query_id", "embedding as _q")).where((F.col("id") != F.col("query_id")) | F.lit(not exclude_self))
