@@ -116,6 +116,65 @@ def _meet(k: int, exclude_self: bool) -> Callable[[pa.Table, pa.Table], pa.Table
     return run
 
 
+def _any(q: np.ndarray, x: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
+    """Whether some row of x is that similar, for each query, and the number of pairs met: a query that is settled meets no more."""
+    fast_q, fast_x, eps = _products(q, x)
+    eps += 1e-9
+    found, pairs = np.zeros(len(q), bool), 0
+    for a in range(0, len(q), _QUERIES):
+        open_ = np.arange(a, min(len(q), a + _QUERIES))
+        start = 0
+        while start < len(x) and len(open_):
+            end = min(len(x), start + (_VECTORS if start else _FIRST))
+            s = fast_q[open_] @ fast_x[start:end].T
+            pairs += s.size
+            most = s.max(axis=1).astype(np.float64)
+            found[open_[most >= threshold + 0.0005 + eps]] = True
+            near = np.flatnonzero((most >= threshold - 0.0005 - eps) & ~found[open_])  # these are summed up in the vectors' order
+            i, j = np.nonzero(s[near] >= np.asarray(threshold - 0.0005 - eps, s.dtype))
+            total = np.zeros(len(i))
+            for d in range(x.shape[1]):
+                total += q[open_[near[i]], d] * x[start + j, d]
+            found[open_[near[i[np.floor(total * 1000 + 0.5) / 1000 >= threshold]]]] = True
+            open_, start = open_[~found[open_]], end
+    return found, pairs
+
+
+def _resembled(threshold: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """(query_id, _q, found): whether the part has a vector that similar."""
+
+    def run(queries: pa.Table, store: pa.Table) -> pa.Table:
+        found, sides = np.zeros(len(queries), bool), _matrices(store["embedding"])
+        for n, (at, q) in _matrices(queries["_q"]).items():
+            if n in sides and len(q) and len(sides[n][1]):
+                found[at] = _any(q, sides[n][1], threshold)[0]
+        return pa.table([queries["query_id"], queries["_q"], pa.array(found)], ["query_id", "_q", "found"])
+
+    return run
+
+
+def _sides(store: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """The store (id, embedding), the queries (query_id, _q), and how many parts and blocks these make."""
+    v = store.select("id", "embedding")
+    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("_q"))
+    n, cores = v.select("id").count(), v.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-n // STORE_TILE), min(2 * cores, n // _VECTORS))  # small stores are spread too
+    return v, q, parts, max(1, -(-q.select("query_id").count() // QUERY_TILE))
+
+
+def _tiles(q: DataFrame, v: DataFrame, parts: int, blocks: int, which: range, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """run(block, part) of each block of the queries with each part of the store whose number is named."""
+    share = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    each = lambda r: F.explode(F.sequence(F.lit(r.start), F.lit(r.stop - 1)))
+    tile = (F.col("_b") * F.lit(parts) + F.col("_p")).alias("_t")
+    spread = lambda x: x.repartition(2 * len(which) * blocks, "_t").groupBy("_t")
+    asked = q.withColumns({"_b": share("query_id", blocks), "_p": each(which)}).select(tile, "query_id", "_q")
+    part = v.withColumn("_p", share("id", parts))
+    part = part if len(which) == parts else part.where(F.col("_p").between(which.start, which.stop - 1))
+    held = part.withColumn("_b", each(range(blocks))).select(tile, "id", "embedding")
+    return spread(asked).cogroup(spread(held)).applyInArrow(run, schema)
+
+
 def nearest(store: DataFrame, queries: DataFrame, k: int = 5, *, where: Column | None = None, exclude_self: bool = False) -> DataFrame:
     """(query_id, id, similarity, rank) of the k most similar vectors for each query (id, embedding).
 
@@ -124,20 +183,9 @@ def nearest(store: DataFrame, queries: DataFrame, k: int = 5, *, where: Column |
     Ties go to the smaller id; pairs without a similarity (nulls, other lengths) come last.
     """
     store = store if where is None else store.where(where)
-    v = store.select("id", "embedding")
-    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("_q"))
-    n, m = v.select("id").count(), q.select("query_id").count()
-    cores = v.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, -(-n // STORE_TILE), min(2 * cores, n // _VECTORS))  # small stores are spread too
-    blocks = max(1, -(-m // QUERY_TILE))
-    share = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
-    each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    tile = (F.col("_b") * F.lit(parts) + F.col("_p")).alias("_t")
-    spread = lambda x: x.repartition(2 * parts * blocks, "_t").groupBy("_t")
-    asked = q.withColumns({"_b": share("query_id", blocks), "_p": each(parts)}).select(tile, "query_id", "_q")
-    held = v.withColumns({"_p": share("id", parts), "_b": each(blocks)}).select(tile, "id", "embedding")
+    v, q, parts, blocks = _sides(store, queries)
     kinds = {f.name: f.dataType.simpleString() for f in [*q.schema, *v.schema]}
-    met = spread(asked).cogroup(spread(held)).applyInArrow(_meet(k, exclude_self), f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double")
+    met = _tiles(q, v, parts, blocks, range(parts), _meet(k, exclude_self), f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))  # limited in each task before it moves
     return met.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -148,9 +196,20 @@ def check_duplicate(store: DataFrame, queries: DataFrame, threshold: float = 0.9
 
 
 def without_duplicates(store: DataFrame, new: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """New rows that nothing in the store is that similar to: what filing lets in."""
-    taken = check_duplicate(store, new, threshold, 1).select(F.col("query_id").alias("id"))
-    return new.join(taken, "id", "left_anti")
+    """New rows that nothing in the store is that similar to: what filing lets in.
+
+    A row is settled by the first vector that resembles it. All rows meet one part of the
+    store; only those that it leaves open meet the others.
+    """
+    v, q, parts, blocks = _sides(store, new)
+    kinds = {f.name: f.dataType.simpleString() for f in q.schema}
+    many = max(blocks, v.sparkSession.sparkContext.defaultParallelism)  # one part is cheap to repeat
+    run, schema = _resembled(threshold), f"query_id {kinds['query_id']}, _q {kinds['_q']}, found boolean"
+    first = _tiles(q, v, parts, many, range(1), run, schema)
+    taken, left = first.where("found"), first.where("not found").select("query_id", "_q")
+    if parts > 1 and (blocks := -(-left.count() // QUERY_TILE)):
+        taken = taken.unionAll(_tiles(left, v, parts, blocks, range(1, parts), run, schema).where("found"))
+    return new.join(taken.select(F.col("query_id").alias("id")), "id", "left_anti")
 
 
 def self_recall(store: DataFrame, queries: DataFrame) -> DataFrame:

@@ -111,6 +111,29 @@ def rows_of(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
+@pytest.mark.parametrize("threshold", [-2.0, 0.3, 0.6, 0.9, 1.0])
+def test_new_rows_meet_the_rest_of_the_store_only_while_unsettled(spark, monkeypatch, threshold):
+    """A twin, a near one, one with its only twin in the last part, odd lengths and nulls; as by all pairs."""
+    for name, n in (("QUERY_TILE", 20), ("STORE_TILE", 90), ("_QUERIES", 7), ("_VECTORS", 16), ("_FIRST", 8)):
+        monkeypatch.setattr(V, name, n)
+    x = np.random.default_rng(4).standard_normal((300, 6))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x[::30] = x[1::30]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [0.5]), (302, [None] * 6), (303, [])]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>").cache()
+    store, new = v.where("id % 6 != 0 or id = 301"), v.where("id % 6 = 0 or id >= 300")
+    best = plain_nearest(store, new, 1, False).where(F.col("similarity") >= threshold)
+    assert rows_of(V.without_duplicates(store, new, threshold).select("id")) == rows_of(new.join(best.select(F.col("query_id").alias("id")), "id", "left_anti").select("id"))
+
+
+def test_pairs_met_by_new_rows_grow_with_the_rows():
+    """Before, each new row met each stored one."""
+    x = np.random.default_rng(6).standard_normal((20_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found, pairs = V._any(x[::20], x, 0.5)
+    assert found.all() and pairs < 1000 * 1000
+
+
 def test_search_has_one_plan_for_any_number_of_queries(spark, monkeypatch):
     """Before, each block of queries was a branch of the plan that scanned the store anew."""
     monkeypatch.setattr(V, "QUERY_BLOCK", 10, raising=False)
